@@ -19,6 +19,7 @@ def build_session(app: str = "threadloom", cores: int | str = "*", shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
     )
     if memory:

@@ -66,3 +66,66 @@ def channels(messages_df: DataFrame) -> DataFrame:
         .when(first == "G", F.lit("mpdm-ana.lee--bo.kim--cy-1")).alias("name"),
         (first == "C").alias("is_channel"), (digit == 7).alias("is_group"), (first == "D").alias("is_im"),
         (first == "G").alias("is_mpim"), (digit == 6).alias("is_private"), (digit != 5).alias("is_member"), "num_members")
+
+
+def reference_texts(messages_df: DataFrame) -> DataFrame:
+    """Every message with a link or name of one reference type woven into its text, so all types occur."""
+    n = F.col("msg_id").cast("string")
+    forms = [
+        F.concat(F.lit("see acme/app#"), n), F.concat(F.lit("https://github.com/acme/app/pull/"), n),
+        F.concat(F.lit("https://gitlab.com/acme/group/app/-/merge_requests/"), n), F.concat(F.lit("AUTH2-"), n, F.lit(" and x9AB-1")),
+        F.concat(F.lit("https://www.figma.com/design/Ab"), n, F.lit("/title")),
+        F.concat(F.lit("https://www.notion.so/acme/"), F.md5(n)),
+        F.concat(F.lit("https://acme.atlassian.net/wiki/spaces/ENG/pages/"), n, F.lit("/Plan")),
+        F.concat(F.lit("https://docs.google.com/document/d/doc_"), n, F.lit("/edit")),
+        F.concat(F.lit("https://docs.google.com/spreadsheets/d/sheet-"), n), F.concat(F.lit("https://docs.google.com/presentation/d/p"), n),
+        F.concat(F.lit("https://app.asana.com/0/77/"), n), F.concat(F.lit("https://app.clickup.com/t/ab"), n),
+        F.concat(F.lit("https://sentry.io/organizations/acme/issues/"), n, F.lit("/")),
+        F.concat(F.lit("https://app.datadoghq.com/monitors/m-"), n), F.concat(F.lit("https://acme.pagerduty.com/incidents/Q"), n),
+        F.concat(F.lit("https://acme.zendesk.com/agent/tickets/"), n),
+        F.concat(F.lit("https://acme.lightning.force.com/lightning/r/Case/"), F.lpad(n, 15, "0"), F.lit("/view")),
+        F.concat(F.lit("NullPointerException, Error and 404 status in job "), n), F.concat(F.lit("<@U"), n, F.lit("|sam> and <@W1>")),
+        F.concat(F.lit("https://eu.console.aws.amazon.com/cloudwatch/home#logsV2:log-groups/log-group/App_"), n),
+        F.concat(F.lit("Billing"), n, F.lit("prd-worker is slow")),
+        F.concat(F.lit("https://acme.slack.com/archives/C1/p1704067200"), F.lpad(n, 6, "0"), F.lit("?thread_ts=1 twice")),
+    ]
+    which = F.col("msg_id") % len(forms)
+    extra = F.element_at(F.array(*forms), (which + 1).cast("int"))
+    return messages_df.withColumn("text", F.concat("text", F.lit(" "), extra))
+
+
+def with_reactions(messages_df: DataFrame) -> DataFrame:
+    """Messages with a ``reactions`` array; the users follow from the message number."""
+    person = lambda k: F.concat(F.lit("U"), ((F.col("msg_id") * k) % 150).cast("string"))
+    one = F.struct(F.lit("eyes").alias("name"), F.lit(2).cast("long").alias("count"), F.array(person(3), person(7)).alias("users"))
+    two = F.struct(F.lit("done").alias("name"), F.lit(1).cast("long").alias("count"), F.array(person(11)).alias("users"))
+    return messages_df.withColumn("reactions", F.when(F.col("event_type") == "purchase", F.array(one, two))
+                                  .when(F.col("event_type") == "error", F.array(two)))
+
+
+def with_links(messages_df: DataFrame) -> DataFrame:
+    """Thread replies that quote the message their thread starts with, some of them twice, some into nowhere."""
+    opened = F.concat(F.lit(f"{CHAT_BASE}/archives/"), F.col("channel"), F.lit("/p"), F.col("thread_us").cast("string"))
+    nowhere = F.lit(f" {CHAT_BASE}/archives/C1/p1")
+    return messages_df.withColumn("text", F.when(
+        F.col("thread_us").isNotNull(),
+        F.concat("text", F.lit(" "), opened, F.when(F.col("msg_id") % 3 == 0, F.concat(F.lit(" "), opened)).otherwise(nowhere)))
+        .otherwise(F.col("text")))
+
+
+def with_attachments(messages_df: DataFrame) -> DataFrame:
+    """Messages with attachments of the kinds the line rendering tells apart."""
+    n = F.col("msg_id").cast("string")
+    none = F.lit(None).cast("string")
+
+    def attachment(**fields):
+        names = ("fallback", "text", "title", "author_name", "author_id", "channel_name", "from_url")
+        return F.struct(*[fields.get(f, none).alias(f) for f in names])
+
+    shared = attachment(text=F.concat(F.lit("Shared "), n, F.lit(" <@U3>")), author_id=F.concat(F.lit("U"), (F.col("msg_id") % 200).cast("string")),
+                        channel_name=F.lit("general"))
+    named = attachment(fallback=F.concat(F.lit("Fallback "), F.repeat(F.lit("long "), 70), n), author_name=F.lit("Ana"))
+    linked = attachment(title=F.concat(F.lit("Title "), n), from_url=F.lit("https://example.com/x"))
+    plain = attachment(text=F.concat(F.lit("Plain "), n))
+    return messages_df.withColumn("attachments", F.when(F.col("event_type") == "purchase", F.array(shared, linked, attachment()))
+                                  .when(F.col("event_type") == "signup", F.array(named, plain)))

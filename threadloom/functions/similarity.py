@@ -40,12 +40,9 @@ def hybrid(reference: Column, a: Column, b: Column, reference_weight: float = RE
     return F.when(a.isNull() | b.isNull(), reference).otherwise(reference_weight * reference + embedding_weight * vector)
 
 
-def same_author(shared: Column, left: Column, right: Column, owner_left: Column | None = None, owner_right: Column | None = None) -> Column:
-    """Same author from participant counts: the owner is in both; or one person each and the same; or the
-    participant overlap is at least 0.7. ``shared`` is the size of the intersection."""
+def same_author(shared: Column, left: Column, right: Column) -> Column:
+    """Same author from participant counts: one person each and the same, or a participant overlap of at least 0.7.
+    ``shared`` is the size of the intersection."""
     single = (left == 1) & (right == 1)
     union = left + right - shared
-    rule = F.when(single, shared == 1).otherwise((union > 0) & (shared / F.greatest(union, F.lit(1)) >= SAME_AUTHOR_OVERLAP))
-    if owner_left is None or owner_right is None:
-        return rule
-    return F.when(owner_left & owner_right, F.lit(True)).otherwise(rule)
+    return F.when(single, shared == 1).otherwise((union > 0) & (shared / F.greatest(union, F.lit(1)) >= SAME_AUTHOR_OVERLAP))

@@ -89,29 +89,39 @@ def shared_reference_pairs(conv: DataFrame, conv_refs: DataFrame, scope: Sequenc
         "_left_size", "_right_size")
 
 
-def with_same_author(pairs: DataFrame, people: DataFrame, scope: Sequence[str], owner: str | None = None) -> DataFrame:
-    """Add ``same_author`` to pairs of conversations from their long participant tables."""
-    ids = [*scope, "conv_id"]
-    owned = F.max(F.col("user_id") == F.col(owner)) if owner else F.lit(False)
-    sizes = people.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), owned.alias("_own"))
-    left_sizes = sizes.withColumnsRenamed({"conv_id": "left_id", "_n": "_ln", "_own": "_lown"})
-    right_sizes = sizes.withColumnsRenamed({"conv_id": "right_id", "_n": "_rn", "_own": "_rown"})
+def with_same_author(pairs: DataFrame, people: DataFrame, scope: Sequence[str], owned: DataFrame | None = None) -> DataFrame:
+    """Add ``same_author`` to pairs of conversations from their long participant table.
+
+    ``owned``: ``(scope..., conv_id)`` of the conversations the requesting user takes part in. Pairs of two such conversations are
+    settled by that alone; participants are compared only for the other pairs.
+    """
+    scope, ids = list(scope), [*scope, "conv_id"]
+    if owned is not None:
+        for side in ("left", "right"):
+            pairs = pairs.join(owned.select(*scope, F.col("conv_id").alias(f"{side}_id"), F.lit(True).alias(f"_{side}_own")),
+                               [*scope, f"{side}_id"], "left")
+        both = F.coalesce("_left_own", F.lit(False)) & F.coalesce("_right_own", F.lit(False))
+        flagged = pairs.withColumn("_both", both).drop("_left_own", "_right_own")
+        settled = flagged.filter("_both").drop("_both").withColumn("same_author", F.lit(True))
+        rest = flagged.filter(~F.col("_both")).drop("_both")
+        asked = rest.select(*scope, F.explode(F.array("left_id", "right_id")).alias("conv_id")).distinct()
+        return settled.unionByName(with_same_author(rest, people.join(asked, ids, "left_semi"), scope))
+    sizes = people.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
     members = people.select(*ids, "user_id")
     common = (pairs.select(*scope, "left_id", "right_id")
               .join(members.withColumnRenamed("conv_id", "left_id"), [*scope, "left_id"])
               .join(members.withColumnRenamed("conv_id", "right_id"), [*scope, "right_id", "user_id"])
               .groupBy(*scope, "left_id", "right_id").agg(F.count(F.lit(1)).alias("_common")))
-    wide = (pairs.join(left_sizes, [*scope, "left_id"], "left").join(right_sizes, [*scope, "right_id"], "left")
+    wide = (pairs.join(sizes.withColumnsRenamed({"conv_id": "left_id", "_n": "_ln"}), [*scope, "left_id"], "left")
+            .join(sizes.withColumnsRenamed({"conv_id": "right_id", "_n": "_rn"}), [*scope, "right_id"], "left")
             .join(common, [*scope, "left_id", "right_id"], "left"))
     zero = F.lit(0)
-    flag = similarity.same_author(
-        F.coalesce("_common", zero), F.coalesce("_ln", zero), F.coalesce("_rn", zero),
-        F.coalesce("_lown", F.lit(False)) if owner else None, F.coalesce("_rown", F.lit(False)) if owner else None)
-    return wide.withColumn("same_author", flag).drop("_ln", "_rn", "_lown", "_rown", "_common")
+    flag = similarity.same_author(F.coalesce("_common", zero), F.coalesce("_ln", zero), F.coalesce("_rn", zero))
+    return wide.withColumn("same_author", flag).drop("_ln", "_rn", "_common")
 
 
 def merge_edges(conv: DataFrame, conv_refs: DataFrame, people: DataFrame, scope: Sequence[str], rules: MergeRules = MergeRules(),
-                owner: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+                owned: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Pairs that the rules join, with ``gap_us``, ``similarity``, ``same_author`` and the counter label ``merged_by``.
 
     ``vectors``: optional ``(scope..., conv_id, embedding)``. A vector alone can lift a pair over a threshold, so with
@@ -127,7 +137,7 @@ def merge_edges(conv: DataFrame, conv_refs: DataFrame, people: DataFrame, scope:
                  .join(vectors.withColumnsRenamed({"conv_id": "right_id", "embedding": "_b"}), [*scope, "right_id"], "left")
                  .withColumn("similarity", similarity.hybrid(F.col("similarity"), F.col("_a"), F.col("_b"),
                                                              rules.reference_weight, rules.embedding_weight)).drop("_a", "_b"))
-    judged = with_same_author(pairs, people, scope, owner)
+    judged = with_same_author(pairs, people, scope, owned)
     adjacent, near_enough, similar = _rule_columns(rules)
     label = (F.when(adjacent & ~F.col("same_author"), "adjacent")
              .when(near_enough & (F.col("similarity") < rules.same_author_similarity), "proximity")

@@ -29,8 +29,11 @@ USER = T.StructType([*_strings("user_id", "name", "real_name", "display_name"),
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records with every field parsed. A JSON scan checks only the columns a query asks for, so whether a record is malformed would
+    depend on the query; parsing the line as an expression with options keeps the whole schema."""
     fields = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    return spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    return spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(F.from_json("value", fields, options).alias("_r")).select("_r.*")
 
 
 def _split(rows: DataFrame, needed: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -108,6 +108,13 @@ def test_mention_context_reaches_thread_topics(build):
     assert "[PRIOR CONTEXT] [Bo]: background one" in lines
 
 
+def test_linked_messages_are_shown(build):
+    quoted = 1704067200000000
+    rows = [(quoted / MIN, "U2", "the quoted words"), (DAY + 400, "U1", f"see https://acme.slack.com/archives/C1/p{quoted} {WORK}")]
+    shown = [r.line for r in build(rows).topic_lines.collect()]
+    assert len(shown) == 1 and shown[0].endswith('\n[Shared message from Bo]: "the quoted words"')
+
+
 def test_model_and_its_failures(build):
     rows = [(DAY + 400 * k, "U1", f"{WORK} AB-{k} {WORK}") for k in range(3)]
 

@@ -109,9 +109,14 @@ class Consolidation:
         self.scope = scope
         self.conv_msgs = conversations.channel_conversations(messages(spark, sf_dir))
 
+    @cached_property
+    def authors(self) -> DataFrame:
+        """Sums per conversation and author: the one pass over the messages that roll-ups and participants share."""
+        return cut_lineage(segments.author_counts(self.conv_msgs, [*self.scope, "conv_id", "kind"]))
+
     @cached_property
     def original(self) -> DataFrame:
-        return cut_lineage(conversations.roll_up(self.conv_msgs, self.scope))
+        return cut_lineage(conversations.ranked(segments.roll_up_authors(self.authors, [*self.scope, "conv_id", "kind"])))
 
     @cached_property
     def bot_map(self) -> DataFrame:
@@ -129,18 +134,27 @@ class Consolidation:
     def conv(self) -> DataFrame:
         return cut_lineage(folds.apply_merges(self.after_bots, self.trivial_map, self.scope))
 
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        return folds.remap(folds.remap(rows, self.bot_map, self.scope), self.trivial_map, self.scope)
+
     @cached_property
     def kept_msgs(self) -> DataFrame:
-        return folds.remap(folds.remap(self.conv_msgs, self.bot_map, self.scope), self.trivial_map, self.scope)
+        return self._merged(self.conv_msgs)
 
     @cached_property
     def conv_refs(self) -> DataFrame:
-        return cut_lineage(refs.conversation_references(self.kept_msgs, [*self.scope, "conv_id"]))
+        """References are extracted before the merges, so the maps are joined to distinct values and not to messages."""
+        ids = [*self.scope, "conv_id"]
+        return cut_lineage(self._merged(refs.conversation_references(self.conv_msgs, ids)).groupBy(*ids, "value").agg(F.max("comparable").alias("comparable")))
+
+    @cached_property
+    def people(self) -> DataFrame:
+        ids = [*self.scope, "conv_id"]
+        return self._merged(self.authors.filter(F.col("user_id").isNotNull()).select(*ids, "user_id")).distinct()
 
     @cached_property
     def edges(self) -> DataFrame:
-        people = cut_lineage(segments.participants(self.kept_msgs, [*self.scope, "conv_id"]))
-        return cut_lineage(merging.merge_edges(self.conv, self.conv_refs, people, self.scope))
+        return cut_lineage(merging.merge_edges(self.conv, self.conv_refs, cut_lineage(self.people), self.scope))
 
     @cached_property
     def members(self) -> DataFrame:

@@ -88,7 +88,7 @@ def message_links(text: str = "text") -> Column:
 def references(text: str = "text", raw: bool = True) -> Column:
     """Array of ``(type, value, raw)`` with every match of every type; ``raw=False`` skips the matched text.
 
-    All link types contain a slash, so their patterns are tried only on texts that have one.
+    All link types contain a slash, so their patterns are tried only on texts that have one; the others have similar tests.
     """
     column = F.coalesce(F.col(text), F.lit(""))
 
@@ -105,12 +105,21 @@ def references(text: str = "text", raw: bool = True) -> Column:
 
     links = F.transform(message_links(text), lambda m: entry(
         "slack_message", F.concat(F.lit("slack:"), m["link_channel"], F.lit(":"), m["link_ts"]), m["raw"] if raw else None))
+    nothing = F.slice(entry_type(raw), 1, 0)
     slashed = F.concat(*[found(e) for e in EXTRACTORS if e.type in LINK_TYPES], links)
-    plain = [found(e) for e in EXTRACTORS if e.type not in LINK_TYPES]
-    return F.concat(*plain, F.when(column.contains("/"), slashed).otherwise(F.slice(slashed_type(raw), 1, 0)))
+    plain = [F.when(_may_hold(column, e.type), found(e)).otherwise(nothing) for e in EXTRACTORS if e.type not in LINK_TYPES]
+    return F.concat(*plain, F.when(column.contains("/"), slashed).otherwise(nothing))
 
 
-def slashed_type(raw: bool) -> Column:
+def _may_hold(text: Column, type_: str) -> Column:
+    """Substring test that every match of a type passes; it spares most texts the pattern."""
+    if type_ == "error_pattern":
+        low = F.lower(text)
+        return low.contains("error") | low.contains("exception") | low.contains("status")
+    return text.contains({"github_issue": "#", MENTION_TYPE: "<@U"}.get(type_, "-"))
+
+
+def entry_type(raw: bool) -> Column:
     """One empty entry, to give the empty array its type."""
     fields = ["type", "value", "raw"] if raw else ["type", "value"]
     return F.array(F.struct(*[F.lit("").alias(f) for f in fields]))

@@ -33,8 +33,11 @@ def channel_conversations(messages: DataFrame, gap_minutes: float = segments.GAP
 
 
 def roll_up(conv_msgs: DataFrame, scope: Sequence[str] = ("channel",), owner: str | None = None) -> DataFrame:
-    """One row per conversation with the order key of the reference: start, threads first, then id."""
-    rows = segments.roll_up(conv_msgs, [*scope, "conv_id", "kind"], owner)
+    """One row per conversation with the order key: start, threads first, then id."""
+    return ranked(segments.roll_up(conv_msgs, [*scope, "conv_id", "kind"], owner))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kind_rank", F.when(F.col("kind") == "t", 0).otherwise(1))
 
 

@@ -72,23 +72,30 @@ def segment_statistics(messages: DataFrame, keys: Sequence[str] = ("channel",),
         F.greatest(segments - 1, F.lit(0)).alias("time_gap_splits"))
 
 
+def author_counts(conv_msgs: DataFrame, ids: Sequence[str], owner: str | None = None) -> DataFrame:
+    """One row per conversation and author with fixed-size sums: the base of roll-ups and of participant tables."""
+    own = F.coalesce(F.col("user_id") == F.col(owner), F.lit(False)) if owner else F.lit(False)
+    return conv_msgs.groupBy(*ids, "user_id").agg(
+        F.min("ts_us").alias("_lo"), F.max("ts_us").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count_if(own).alias("_own"),
+        F.count_if(is_bot_message()).alias("_bot"), F.sum(F.length("text")).alias("_chars"), F.max(has_work_indicator()).alias("_work"))
+
+
+def roll_up_authors(authors: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Conversation roll-up from :func:`author_counts`."""
+    return authors.groupBy(*ids).agg(
+        F.min("_lo").alias("start_us"), F.max("_hi").alias("end_us"), F.sum("_n").alias("message_count"),
+        F.sum("_own").alias("user_message_count"), F.count("user_id").alias("participant_count"),
+        (F.sum("_bot") == F.sum("_n")).alias("is_bot"), F.coalesce(F.sum("_chars"), F.lit(0)).alias("chars"),
+        F.coalesce(F.max("_work"), F.lit(False)).alias("has_work"))
+
+
 def roll_up(conv_msgs: DataFrame, ids: Sequence[str], owner: str | None = None) -> DataFrame:
     """Conversation roll-up: span, counts, bot and character totals, distinct author count.
 
     Two steps, ``(conversation, author)`` then ``conversation``; both are partial aggregates of fixed-size
     state, so a conversation that holds a third of all messages still reduces on the map side.
     """
-    bot = is_bot_message()
-    own = F.coalesce(F.col("user_id") == F.col(owner), F.lit(False)) if owner else F.lit(False)
-    per_author = conv_msgs.groupBy(*ids, "user_id").agg(
-        F.min("ts_us").alias("_lo"), F.max("ts_us").alias("_hi"), F.count(F.lit(1)).alias("_n"),
-        F.count_if(own).alias("_own"), F.count_if(bot).alias("_bot"), F.sum(F.length("text")).alias("_chars"),
-        F.max(has_work_indicator()).alias("_work"))
-    return per_author.groupBy(*ids).agg(
-        F.min("_lo").alias("start_us"), F.max("_hi").alias("end_us"), F.sum("_n").alias("message_count"),
-        F.sum("_own").alias("user_message_count"), F.count("user_id").alias("participant_count"),
-        (F.sum("_bot") == F.sum("_n")).alias("is_bot"), F.coalesce(F.sum("_chars"), F.lit(0)).alias("chars"),
-        F.coalesce(F.max("_work"), F.lit(False)).alias("has_work"))
+    return roll_up_authors(author_counts(conv_msgs, ids, owner), ids)
 
 
 def participants(conv_msgs: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -25,6 +25,8 @@ SCOPE = [*OWNER, "channel"]
 CONV = [*SCOPE, "conv_id"]
 TOPIC = [*SCOPE, "topic_id"]
 THREAD = ["period_no", "channel", "thread_us"]
+# Attachment fields a prompt line can show.
+ATTACHMENT_FIELDS = ("fallback", "text", "title", "author_name", "author_id", "channel_name", "from_url")
 Boundaries = Callable[[DataFrame], DataFrame]
 
 
@@ -192,8 +194,26 @@ class UserSummaries:
         extra = [c for c in ("attachments",) if c in self.messages.columns]
         head = first_n(self.shared, THREAD, ["ts_us", "msg_id"], prompts.GROUP_LINES).join(self.threads, THREAD).select(*CONV, *keep, *extra)
         rows = self.main.select(*CONV, *keep, *extra).unionByName(head).unionByName(self.context.select(*CONV, *keep), allowMissingColumns=True)
-        placed = first_n(rows.join(self.topic_of, CONV), TOPIC, ["ts_us", "msg_id", "conv_id"], prompts.GROUP_LINES, "line_no")
-        return cut_lineage(message_lines(placed, self.people, [*TOPIC, "line_no"]))
+        placed = cut_lineage(first_n(rows.join(self.topic_of, CONV), TOPIC, ["ts_us", "msg_id", "conv_id"], prompts.GROUP_LINES, "line_no"))
+        return cut_lineage(message_lines(self._with_linked(placed), self.people, [*TOPIC, "line_no"]))
+
+    def _with_linked(self, placed: DataFrame) -> DataFrame:
+        """Give messages without attachments the messages they link to as attachments."""
+        key, missing = [*TOPIC, "line_no"], F.lit(None).cast("string")
+
+        def attachment(item: Column, present: tuple[str, ...]) -> Column:
+            return F.struct(*[(item[f] if f in present else missing).alias(f) for f in ATTACHMENT_FIELDS])
+
+        none = F.array().cast(f"array<struct<{','.join(f'{f}:string' for f in ATTACHMENT_FIELDS)}>>")
+        if "attachments" in placed.columns:
+            present = tuple(placed.schema["attachments"].dataType.elementType.names)
+            placed = placed.withColumn("attachments", F.coalesce(F.transform("attachments", lambda a: attachment(a, present)), none))
+        else:
+            placed = placed.withColumn("attachments", none)
+        found = links.linked_messages(placed, self.messages, key, SCOPE, has_attachments=F.size("attachments") > 0)
+        linked = found.select(*key, F.struct("at", attachment(F.struct("text", "author_id", "from_url"), ("text", "author_id", "from_url")).alias("a")).alias("_l")).groupBy(*key).agg(
+            F.transform(F.array_sort(F.collect_list("_l")), lambda row: row["a"]).alias("_linked"))
+        return placed.join(linked, key, "left").withColumn("attachments", F.coalesce("_linked", "attachments")).drop("_linked")
 
     @cached_property
     def top_words(self) -> DataFrame:

@@ -86,9 +86,9 @@ def _runs(rows: DataFrame, key: str, short: list[int], known, items: bool, n: in
 
 
 def _text_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of each whole text, which tells apart rows that share an id."""
+    """Spark's ``xxhash64`` of each whole text, which tells apart rows that share an id."""
     raw = data.tobytes()
-    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64).astype(np.int64)
+    return np.array([xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64).astype(np.int64)
 
 
 def _shared(a: str, b: str):
@@ -98,7 +98,7 @@ def _shared(a: str, b: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items)``, one row per row of ``docs``.
+    """``(doc_id, text_mark, n_words, n_hit, items)``, one row per row of ``docs``; ``text_mark`` is ``xxhash64`` of the text.
 
     A window is ``n`` consecutive words of an item, or a shorter item that is not empty as a whole; ``n_hit`` counts the document's
     words inside any occurrence of a window, ``items`` are the ids, as strings in order, of the items with one. Null and empty
@@ -133,5 +133,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, k: int = K,
 
     rows = found.filter(F.col("_at").isNull()).select("doc_id", "_text", "_words")
     return rows.join(result, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left").select(
-        "doc_id", F.col("_words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", F.col("_text").alias("text_mark"), F.col("_words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, leaks, mixing, tokens, urls
+from threadloom.llm import chats, exact, langid, leaks, mixing, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -82,6 +82,15 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"),
+                        F.col("_language.loss").alias("loss"), F.col("_language.rejected").alias("rejected"))
+
+
 def _escaped_sql(text: str) -> str:
     pieces = "<\\|", "<s>", "</s>", "\\[INST\\]", "\\[/INST\\]", "<<SYS>>", "<</SYS>>"
     return f"len(regexp_extract_all({text}, '\\\\')) + len(regexp_extract_all({text}, '{'|'.join(pieces)}'))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, langid, leaks, mixing, tokens, urls
+from threadloom.llm import chats, exact, jaccard, langid, leaks, mixing, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -41,6 +41,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(spark, path)
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+c AS (SELECT min(doc_id) AS rep, len(g) AS n, g FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT rep, n, unnest(g[1:n - (n * 85 + 99) // 100 + 1]) AS t FROM c),
+p AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.t = b.t AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+e AS (SELECT a, b FROM (SELECT a, b, ca.n AS n, cb.n AS m, len(list_intersect(ca.g, cb.g)) AS o FROM p JOIN c ca ON ca.rep = a JOIN c cb ON cb.rep = b) WHERE 100 * o >= 85 * (n + m - o)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen),
+k AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN k ON k.node = c.rep"""
+
+
+@query("op3_near_copies", JACCARD_SQL)
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 LEAK_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

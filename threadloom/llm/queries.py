@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, jaccard, langid, leaks, mixing, tokens, urls
+from threadloom.llm import chats, exact, jaccard, langid, leaks, mixing, substrings, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -100,6 +100,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op6_repeated_substrings")
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.common import small_side
 from threadloom.session import cut_lineage
@@ -23,10 +23,14 @@ BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame, seed: str = "") -> DataFrame:
-    """``(doc_id, source, size, h)``: words of the whole text (null: 0) and a hash of the id (null: that of an empty string)."""
+    """``(doc_id, source, size, _h)``: words of the whole text (null: 0) and a hash of the id (null: that of an empty string)."""
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), hashed(seed).alias("_h"))
+
+
+def hashed(seed: str = "") -> Column:
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", size.alias("size"), F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long").alias("h"))
+    return F.conv(F.substring(digest, 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -44,8 +48,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_no") % len(weights) + 1).cast("int"))
     levels = placed.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most).withColumn("_full", F.col("_cap") / F.col("_w")).withColumn(
         "_level", (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(upto), F.lit(0))) / F.sum("_w").over(beyond))
-    level = F.min(F.when(F.col("_level") <= F.col("_full"), F.col("_level"))).over(everything)
-    found = levels.withColumn("_at", level)
+    # The first source that its level does not fill: the levels of those after it may be lower still.
+    level = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "_no", "_level"))).over(everything)
+    found = levels.withColumn("_at", level["_level"])
     open_ = F.col("_at").isNotNull() & (F.col("_full") >= F.col("_at"))
     return found.select("source", "source_size", F.when(open_, F.col("_w") * F.col("_at")).otherwise(F.col("_cap").cast("double")).alias("target"))
 
@@ -60,26 +65,39 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     not used.
     """
     rows = cut_lineage(sized(docs, seed))
+    return _joined(rows, _thresholds(rows, weights, share, most)).select(
+        "doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "") -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it. Only the sources' thresholds are joined; texts stay where they are."""
+    state = _thresholds(cut_lineage(sized(docs, seed)), weights, share, most)
+    taken = _joined(docs.withColumn("_h", hashed(seed)), state).withColumn("_copies", _copies())
+    return taken.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _thresholds(rows: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """One row per source: whole copies, budget left, and the hash value at which it runs out."""
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = cut_lineage(goals.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).withColumn(
         "_path", F.lit(0).cast("long")).withColumn("_before", F.lit(0).cast("long")).withColumn("_tie", F.lit(0).cast("long")))
     for level in range(1, LEVELS + 1):
         state = cut_lineage(_refined(rows, state, level))
-    return _joined(rows, state).select(
-        "doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+    return state
 
 
 def _joined(rows: DataFrame, state: DataFrame) -> DataFrame:
-    side = small_side(state.withColumnRenamed("source", "_source"), BROADCAST_SOURCES)
+    side = small_side(state.withColumnsRenamed({"source": "_source", "source_size": "_size", "target": "_target"}), BROADCAST_SOURCES)
     return rows.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def _refined(rows: DataFrame, state: DataFrame, level: int) -> DataFrame:
     """One histogram of the boundary bucket of each source; its own boundary bucket is the new one."""
     above, below = BITS * (LEVELS - level + 1), BITS * (LEVELS - level)
-    inside = _joined(rows, state).filter(F.shiftright("h", above) == F.col("_path"))
-    histogram = inside.groupBy("source", F.shiftright("h", below).alias("_bucket")).agg(F.sum("size").alias("_n"), F.first("_rest").alias("_rest"),
+    inside = _joined(rows, state).filter(F.shiftright("_h", above) == F.col("_path"))
+    histogram = inside.groupBy("source", F.shiftright("_h", below).alias("_bucket")).agg(F.sum("size").alias("_n"), F.first("_rest").alias("_rest"),
                                                                                          F.first("_before").alias("_before"))
     order = Window.partitionBy("source").orderBy("_bucket")
     running = histogram.withColumn("_until", F.col("_before") + F.sum("_n").over(order))
@@ -94,5 +112,5 @@ def _refined(rows: DataFrame, state: DataFrame, level: int) -> DataFrame:
 def _copies():
     over, under = F.col("_before") + F.col("_tie") - F.col("_rest"), F.col("_rest") - F.col("_before")
     once_more = F.when(F.col("_rest") <= 0, False).when(F.col("_path").isNull(), True).otherwise(
-        (F.col("h") < F.col("_path")) | ((F.col("h") == F.col("_path")) & (over < under)))
+        (F.col("_h") < F.col("_path")) | ((F.col("_h") == F.col("_path")) & (over < under)))
     return F.col("_whole") + once_more.cast("long")

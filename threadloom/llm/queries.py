@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, jaccard, langid, leaks, mixing, substrings, tokens, urls
+from threadloom.llm import chats, exact, jaccard, langid, leaks, licenses, mixing, substrings, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -17,7 +17,7 @@ w AS (SELECT *, CASE no % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * sou
 f AS (SELECT *, cap::DOUBLE / w AS full_at FROM w),
 l AS (SELECT *, (1.5 * (SELECT sum(source_size)::DOUBLE FROM s) - coalesce(sum(cap) OVER (ORDER BY full_at, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
   / (sum(w) OVER (ORDER BY full_at, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM f),
-t AS (SELECT source, source_size, CASE WHEN full_at >= a THEN w * a ELSE cap::DOUBLE END AS target FROM l, (SELECT min(level) AS a FROM l WHERE level <= full_at)),
+t AS (SELECT source, source_size, CASE WHEN full_at >= a THEN w * a ELSE cap::DOUBLE END AS target FROM l, (SELECT arg_min(level, {'f': full_at, 'n': no}) AS a FROM l WHERE level <= full_at)),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT *, target - whole * source_size AS rest FROM k),
 g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
@@ -114,6 +114,38 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_language.loss").alias("loss"), F.col("_language.rejected").alias("rejected"))
 
 
+#: Documents as files: a directory per source, one per thousand ids and one per hundred; every twentieth id is a license file.
+FILE_PATH = "concat(coalesce(source, 'none'), '/', cast(floor(doc_id / 1000) as int), '/', cast(floor(doc_id / 100) as int), '/', CASE WHEN doc_id % 20 = 0 THEN 'LICENSE.' ELSE 'file.' END, doc_id)"
+
+LICENSE_SQL = r"""
+WITH f AS (SELECT doc_id, """ + FILE_PATH + r""" AS path, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t(license, said) AS (VALUES """ + ", ".join(f"('{k}', '{v.lower()}')" for k, v in licenses.TEMPLATES.items()) + r"""),
+tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
+n AS (SELECT count(*) AS n FROM f),
+idf AS (SELECT DISTINCT tt.term, ln((1 + n.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM n, tt LEFT JOIN df USING (term)),
+tw AS (SELECT license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM f),
+lt AS (SELECT doc_id, no, term, count(*) AS tf FROM (SELECT doc_id, no, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS term FROM l) GROUP BY ALL),
+lw AS (SELECT doc_id, no, term, tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS w FROM lt LEFT JOIN idf USING (term)),
+ln_ AS (SELECT doc_id, no, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+s AS (SELECT doc_id, no, license, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
+c AS (SELECT doc_id, license, round(dot / ln_.norm / tn.norm, 6) AS score FROM s JOIN ln_ USING (doc_id, no) JOIN tn USING (license) WHERE round(dot / ln_.norm / tn.norm, 6) >= 0.75),
+own AS (SELECT doc_id, license, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+o AS (SELECT f.doc_id, f.path, own.license, own.score, regexp_extract(f.path, '^(.*)/', 1) AS dir FROM f LEFT JOIN own USING (doc_id)),
+d AS (SELECT dir, license, score, path FROM o WHERE license IS NOT NULL AND contains(path, '/LICENSE.') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
+i AS (SELECT o.doc_id, d.license, d.score, d.path FROM o JOIN d ON o.license IS NULL AND (d.dir = o.dir OR starts_with(o.dir, d.dir || '/')) QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(d.dir) DESC) = 1)
+SELECT o.doc_id, o.path, coalesce(o.license, i.license) AS license, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN i.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  coalesce(o.score, i.score) AS score, CASE WHEN o.license IS NOT NULL THEN o.path ELSE i.path END AS from_path FROM o LEFT JOIN i USING (doc_id)"""
+
+
+@query("op8_license_scan", LICENSE_SQL)
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files; the tables have no paths, so these are made from source and id."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", F.expr(FILE_PATH).alias("path"), "text"))
+
+
 def _escaped_sql(text: str) -> str:
     pieces = "<\\|", "<s>", "</s>", "\\[INST\\]", "\\[/INST\\]", "<<SYS>>", "<</SYS>>"
     return f"len(regexp_extract_all({text}, '\\\\')) + len(regexp_extract_all({text}, '{'|'.join(pieces)}'))"

@@ -1,3 +1,79 @@
-STAGES = []
+"""A corpus from ``documents`` to token files: language, near copies, benchmark leaks, mixing weights, token ids.
+
+``STAGES`` are functions of ``(spark, docs, sf_dir)``. Each works on all rows that the one before kept; all but the last return the
+columns of ``docs``, the last one row per written document.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from threadloom.llm import jaccard, langid, leaks, mixing, tokens
+from threadloom.llm.common import small_side, table
+from threadloom.session import cut_lineage, shared_folder
+
+#: Ids to drop up to this many rows go to every task; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what is in none of the learned languages, or has no letters; a missing ``lang`` becomes the one that was found."""
+    model = langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))))
+    found = langid.predict(docs, model).filter(~F.col("_language.rejected"))
+    return found.withColumn("lang", F.coalesce("lang", "_language.lang")).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays; equal rows become one."""
+    found = jaccard.near_copies(docs)
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_c"))
+    told = again.filter((F.col("_rows") > 1) | ~F.col("doc_id").eqNullSafe(F.col("_c"))).select(
+        F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("_c")).alias("_stays"))
+    side = small_side(cut_lineage(told), BROADCAST_IDS)
+    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single = marked.filter(F.col("_stays").isNull()).select(*docs.columns)
+    repeated = marked.filter("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold ten words in a row of a benchmark item, or a whole shorter one."""
+    found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    hit = cut_lineage(found.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct())
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(small_side(hit, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat and drop documents until the sources have their target weights."""
+    return mixing.mixed(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token ids and read them back: ``(doc_id, start, n_tokens, ids_crc32)``, one row per written document."""
+    path = shared_folder(spark, "pipeline-tokens")
+    tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_digests(spark, path)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_copies", one_of_near_copies),
+    ("benchmark_leaks", without_leaks),
+    ("source_mix", mixed_sources),
+    ("token_files", token_files),
+]
+
+#: Language models and hashes are not expressible in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; what a stage returns is written as Parquet beside the checkpoints and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

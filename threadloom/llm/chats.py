@@ -70,8 +70,8 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 2) -> DataFrame
 
     # A window is asked for under the place of its first turn: the turns just before it, and the system turn, go there again.
     begin = rows.groupBy("conv_id", "window_no").agg(F.min("place").alias("_first")).filter(F.col("_first") > 1)
-    wanted = begin.select(F.col("conv_id").alias("_conv"), F.col("window_no"), F.explode(F.array_distinct(F.concat(
-        F.array(F.lit(1).cast("long")), F.sequence(F.greatest(F.lit(1), F.col("_first") - history), F.col("_first") - 1)))).alias("_place"), "_first")
+    last = [F.col("_first") - back for back in range(1, history + 1)]
+    wanted = begin.select(F.col("conv_id").alias("_conv"), "window_no", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), *last))).alias("_place"), "_first")
     again = rows.drop("window_no").join(wanted, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("place") == F.col("_place"))).filter(
         (F.col("place") >= F.col("_first") - history) | (F.col("role") == "system"))
     old = again.select("conv_id", "window_no", "place", "role", "text", "tokens", F.lit(False).alias("new"))

@@ -37,3 +37,12 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def boxed(df: DataFrame, *more: Column | str) -> DataFrame:
+    """Whole rows as one column ``_row`` beside the given ones, so that no name of theirs meets a name used on the way."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")

@@ -117,5 +117,5 @@ def chained(values: np.ndarray, k: int) -> np.ndarray:
     factor = 1
     for j in range(k):
         factor = factor * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF | 1
-        total[:len(values) - j] += values[j:] * np.uint64(factor)
+        total[:max(0, len(values) - j)] += values[j:] * np.uint64(factor)
     return spread(total + np.uint64(k))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.llm.common import small_side
+from threadloom.llm.common import boxed, small_side, unboxed
 from threadloom.session import cut_lineage
 
 BITS, LEVELS = 12, 4
@@ -72,9 +72,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "") -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it. Only the sources' thresholds are joined; texts stay where they are."""
     state = _thresholds(cut_lineage(sized(docs, seed)), weights, share, most)
-    taken = _joined(docs.withColumn("_h", hashed(seed)), state).withColumn("_copies", _copies())
-    return taken.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    taken = _joined(boxed(docs, "source", hashed(seed).alias("_h")), state).withColumn("_copies", _copies()).filter(F.col("_copies") > 0)
+    return unboxed(taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))))
 
 
 def _thresholds(rows: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.llm import jaccard, langid, leaks, mixing, tokens
-from threadloom.llm.common import small_side, table
+from threadloom.llm.common import boxed, small_side, table, unboxed
 from threadloom.session import cut_lineage, shared_folder
 
 #: Ids to drop up to this many rows go to every task; more are joined by a shuffle.
@@ -20,8 +20,9 @@ BROADCAST_IDS = 200_000
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what is in none of the learned languages, or has no letters; a missing ``lang`` becomes the one that was found."""
     model = langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))))
-    found = langid.predict(docs, model).filter(~F.col("_language.rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "_language.lang")).select(*docs.columns)
+    told = boxed(docs, langid.identify(model, spark)("text").alias("_language")).filter(~F.col("_language.rejected"))
+    lang = F.coalesce(F.col("_row.lang"), F.col("_language.lang"))
+    return told.select(*[lang.alias(c) if c == "lang" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +32,18 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     told = again.filter((F.col("_rows") > 1) | ~F.col("doc_id").eqNullSafe(F.col("_c"))).select(
         F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("_c")).alias("_stays"))
     side = small_side(cut_lineage(told), BROADCAST_IDS)
-    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    single = marked.filter(F.col("_stays").isNull()).select(*docs.columns)
-    repeated = marked.filter("_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated)
+    marked = boxed(docs, "doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single = marked.filter(F.col("_stays").isNull())
+    repeated = marked.filter("_stays").dropDuplicates(["doc_id", "text"])
+    return unboxed(single.unionByName(repeated))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten words in a row of a benchmark item, or a whole shorter one."""
     found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
     hit = cut_lineage(found.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct())
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(small_side(hit, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    marked = boxed(docs, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_of"))
+    return unboxed(marked.join(small_side(hit, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_anti"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,8 +46,8 @@ sent AS (SELECT p.owner_id, m.* FROM msgs m JOIN per p ON p.owner_id = m.user_id
 ment AS (SELECT p.owner_id, m.channel, m.msg_id, m.ts_us FROM (SELECT *, unnest(list_distinct(regexp_extract_all(text, '<@([^|>]+)(?:\\|[^>]+)?>', 1))) AS u FROM msgs) m
   JOIN per p ON p.owner_id = m.u AND m.ts_us BETWEEN p.start_us AND p.end_us),
 act AS (SELECT DISTINCT owner_id, channel FROM sent),
-wide AS (SELECT owner_id, start_us, end_us, epoch_us(date_trunc('day', make_timestamp(start_us - 86400000000))::TIMESTAMP) AS ws,
-  epoch_us((date_trunc('day', make_timestamp(end_us)) + INTERVAL 1 DAY)::TIMESTAMP) - 1000 AS we FROM per),
+wide AS (SELECT owner_id, start_us, end_us, epoch_us(timezone(tz, date_trunc('day', timezone(tz, make_timestamptz(start_us - 86400000000)))::TIMESTAMP)) AS ws,
+  epoch_us(timezone(tz, (date_trunc('day', timezone(tz, make_timestamptz(end_us))) + INTERVAL 1 DAY)::TIMESTAMP)) - 1000 AS we FROM per),
 thr AS (SELECT DISTINCT w.owner_id, m.channel, m.thread_us, w.start_us, w.end_us FROM msgs m JOIN wide w ON w.owner_id = m.user_id AND m.ts_us BETWEEN w.ws AND w.we
   JOIN act a ON a.owner_id = m.user_id AND a.channel = m.channel WHERE m.thread_us IS NOT NULL),
 thn AS (SELECT t.owner_id, t.channel, t.thread_us, count(*) AS message_count FROM thr t JOIN tmsg x ON x.channel=t.channel AND x.t_us=t.thread_us
@@ -121,10 +121,17 @@ def _activity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tally, collection.reactions_given(with_reactions(msgs), spans)
 
 
-@query("channel_activity", with_(*TO_ACTIVITY) + """
+@query("channel_activity", with_(*TO_ACTIVITY) + "SELECT owner_id, channel, messages_sent, mentions_received, threads, messages_sent > 0 OR threads > 0 AS kept FROM tally")
+def channel_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every channel a user wrote in, was mentioned in or has threads in; a mention alone does not keep a channel."""
+    kept = (F.col("messages_sent") > 0) | (F.col("threads") > 0)
+    return _activity(spark, sf_dir)[0].select("owner_id", "channel", "messages_sent", "mentions_received", "threads", kept.alias("kept"))
+
+
+@query("top_channels", with_(*TO_ACTIVITY) + """
 SELECT owner_id, channel, messages_sent, mentions_received, threads, row_number() OVER (PARTITION BY owner_id ORDER BY messages_sent+mentions_received+threads DESC, channel) AS place
 FROM tally WHERE messages_sent > 0 OR threads > 0 QUALIFY place <= 5""")
-def channel_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most active channels of every user, the length of the report's list."""
     from threadloom.operators.ordered import first_n
     kept = collection.kept_channels(_activity(spark, sf_dir)[0]).withColumn("_sum", F.col("messages_sent") + F.col("mentions_received") + F.col("threads"))

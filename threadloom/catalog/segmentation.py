@@ -63,13 +63,14 @@ def all_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("participants_in_order", with_(MSGS, MAIN, THREADS) + """,
-p AS (SELECT channel||':m:'||min(ts_us) OVER (PARTITION BY channel, seg_no) AS conv_id, user_id, ts_us, msg_id FROM seg),
+p AS (SELECT channel||':m:'||min(ts_us) OVER (PARTITION BY channel, seg_no) AS conv_id, user_id, ts_us, msg_id FROM seg
+  UNION ALL SELECT channel||':t:'||t_us, user_id, ts_us, msg_id FROM tmsg),
 f AS (SELECT conv_id, user_id, min(ts_us) AS ts_us, arg_min(msg_id, (ts_us, msg_id)) AS msg_id FROM p
       WHERE user_id IS NOT NULL GROUP BY 1, 2)
 SELECT conv_id, string_agg(user_id, ',' ORDER BY ts_us, msg_id) AS participants FROM f GROUP BY 1""")
 def participants_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    main = conversations.channel_conversations(messages(spark, sf_dir)).filter(F.col("kind") == "m")
-    return conversations.participant_lists(segments.participants(main, ["conv_id"]), ["conv_id"]).select(
+    every = conversations.channel_conversations(messages(spark, sf_dir))
+    return conversations.participant_lists(segments.participants(every, ["conv_id"]), ["conv_id"]).select(
         "conv_id", F.array_join("participants", ",").alias("participants"))
 
 

@@ -100,11 +100,11 @@ def text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("source_text_hash", """
-SELECT source, sha256(string_agg(text, ' ' ORDER BY doc_id)) AS text_hash, length(string_agg(text, ' ' ORDER BY doc_id)) AS n_chars,
-  sha256(left(string_agg(text, ' ' ORDER BY doc_id), 32000)) AS head_hash FROM documents WHERE text <> '' GROUP BY source""")
+SELECT source, doc_id, sha256(text) AS text_hash, length(text) AS n_chars FROM documents WHERE text <> ''""")
 def source_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = texts.conversation_texts(table(spark, sf_dir, "documents"), ["source"], ["doc_id"])
-    return found.select("source", "text_hash", "n_chars", F.sha2("embed_text", 256).alias("head_hash"))
+    """Hash and length of every document by source, whole texts; a text is one value, so no group is longer than a document."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    return docs.select("source", "doc_id", F.sha2("text", 256).alias("text_hash"), F.length("text").cast("long").alias("n_chars"))
 
 
 def _hashed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

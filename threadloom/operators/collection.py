@@ -21,8 +21,9 @@ def own_messages(messages: DataFrame, periods: DataFrame) -> DataFrame:
     return in_period(messages.filter(F.col("user_id").isNotNull()).withColumn("owner_id", F.col("user_id")), periods).drop("start_us", "end_us")
 
 
-def context_window(periods: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Periods widened by 24 hours at the start and then to whole local days."""
+def context_window(periods: DataFrame, tz: str | None = None) -> DataFrame:
+    """Periods widened by 24 hours at the start and then to whole days in the zone of the request (column ``tz``), or in ``tz``."""
+    tz = tz or (F.col("tz") if "tz" in periods.columns else "UTC")
     first = day_start_us(local_day(F.col("start_us") - LOOKBACK_US, tz), tz)
     last = day_start_us(F.date_add(local_day("end_us", tz), 1), tz) - 1000
     return periods.withColumn("start_us", first).withColumn("end_us", last)

@@ -118,13 +118,14 @@ def thread_messages(messages: DataFrame) -> DataFrame:
 
 def message_pairs(messages: DataFrame, keys: Sequence[str], *, ts: str = "ts_us", tie: Sequence[str] = ("msg_id",),
                   width_us: int = HOUR_US) -> DataFrame:
-    """Adjacent messages of a conversation; blank text reads ``[no text]``."""
+    """Adjacent messages of a conversation; blank text reads ``[no text]``. With a ``user_id`` the pairs have both authors."""
     shown = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit("[no text]")).otherwise(F.col("text"))
+    authors = "user_id" in messages.columns
     pairs = ordered(messages, keys, ts=ts, tie=tie, width_us=width_us, number="_n",
-                    following={"second_text": shown, "second_ts": F.col(ts)})
+                    following={"second_text": shown, "second_ts": F.col(ts), **({"second_user": F.col("user_id")} if authors else {})})
     return pairs.filter(F.col("second_ts").isNotNull()).select(
         *keys, (F.col("_n") - 1).alias("pair_index"), F.col(ts).alias("first_ts"), shown.alias("first_text"),
-        "second_ts", "second_text")
+        "second_ts", "second_text", *([F.col("user_id").alias("first_user"), "second_user"] if authors else []))
 
 
 def split_at_boundaries(segment_msgs: DataFrame, decisions: DataFrame, ids: Sequence[str],

@@ -24,7 +24,7 @@ CHANNEL = T.StructType([
     *_strings("id", "name"), *[T.StructField(n, T.BooleanType()) for n in
                                ("is_channel", "is_group", "is_im", "is_mpim", "is_private", "is_member")],
     T.StructField("num_members", T.LongType()), *_strings("user"), T.StructField("members", T.ArrayType(T.StringType()))])
-USER = T.StructType([*_strings("user_id", "name", "real_name", "display_name"), T.StructField("is_bot", T.BooleanType()),
+USER = T.StructType([*_strings("id", "user_id", "name", "real_name", "display_name"), T.StructField("is_bot", T.BooleanType()),
                      T.StructField("deleted", T.BooleanType())])
 
 
@@ -70,5 +70,7 @@ def read_channels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_users(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    good, bad = _split(_read(spark, path, USER), ["user_id"])
+    """User records and quarantine. The key is ``id``; tables written with ``user_id`` are read too."""
+    rows = _read(spark, path, USER).withColumn("user_id", F.coalesce("id", "user_id")).drop("id")
+    good, bad = _split(rows, ["user_id"])
     return good.withColumn("name", F.coalesce("name", "user_id")), bad

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.common import small_side
+from threadloom.llm.components import components
 from threadloom.llm.grams import SPACED, Words, blocks, chained, spread, utf8
-from threadloom.operators.components import connected_components
 from threadloom.session import cut_lineage
 
 SHINGLE = 4
@@ -37,6 +37,8 @@ MOST_COMMON = 1 << 20
 DOCS_PER_RANGE = 16_384
 MEMBERS_PER_TASK = 4_096
 BROADCAST_MEMBERS = 200_000
+#: Binary searches made at once.
+PROBES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -232,18 +234,20 @@ def may_link(members: list[tuple[int, int, bytes]], percent: int = PERCENT) -> l
 def links(members: list[tuple[int, bytes]], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the linked pairs of ``(rep, set)``, by DivideSkip over an inverted index of the members.
 
-    A linked set has at least ``t`` of the elements of set x. Of the lists of x, the ``l`` longest are set aside; a linked set is
-    then at least ``t - l`` times in the others, which are merged. What passes is looked up in the long lists by binary search.
+    Sets come in order of size. Of a set x and a later y a link takes an overlap of ``t(x, y) >= t(x, x)``. The ``l`` longest lists of x
+    are set aside; then y is at least ``t(x, y) - l`` times in the others, which are merged. What passes is looked up in the long
+    lists by binary search, all of it at once.
     """
     members.sort(key=lambda m: (len(m[1]), m[0]))
     sets = [np.frombuffer(m[1], np.uint64) for m in members]
-    sizes = np.array([len(s) for s in sets])
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    sizes, count = np.array([len(s) for s in sets]), len(sets)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(count), sizes)
     order = np.argsort(tokens, kind="stable")  # lists keep members in order
     tokens, owner = tokens[order], owner[order]
-    keys, start = np.unique(tokens, return_index=True)
+    keys, start, which = np.unique(tokens, return_index=True, return_inverse=True)
     stop = np.append(start[1:], len(tokens))
-    label, edges = np.arange(len(members)), []
+    postings = which * count + owner  # sorted: list by list, member by member
+    label, edges = np.arange(count), []
     for i, found in enumerate(sets[:-1]):
         n = int(sizes[i])
         upto = int(np.searchsorted(sizes, n * 100 // percent, "right"))
@@ -251,20 +255,24 @@ def links(members: list[tuple[int, bytes]], percent: int = PERCENT) -> list[tupl
             continue
         lists = np.searchsorted(keys, found)
         length = stop[lists] - start[lists]
-        need = -(-n * percent // 100)
+        need = -(-percent * (n + sizes[i + 1:upto]) // (100 + percent))
         longest = int(length.max())
-        aside = min(need - 1, int(need / (0.0085 * math.log2(longest + 1) + 1))) if longest > 8 else 0
+        aside = min(int(need[0]) - 1, int(need[0] / (0.0085 * math.log2(longest + 1) + 1))) if longest > 8 else 0
         by_length = np.argsort(length, kind="stable")
         short, long_ = lists[by_length[:n - aside]], lists[by_length[n - aside:]]
         width = stop[short] - start[short]
         at = np.repeat(start[short] - np.concatenate([[0], np.cumsum(width)])[:-1], width) + np.arange(width.sum())
-        times = np.bincount(owner[at], minlength=len(members))
-        others = i + 1 + np.flatnonzero((times[i + 1:upto] >= need - aside) & (label[i + 1:upto] != label[i]))
-        for j in others.tolist():
-            if label[j] == label[i]:
-                continue
-            overlap = int(times[j]) + sum(1 for s in long_.tolist() if (p := start[s] + np.searchsorted(owner[start[s]:stop[s]], j)) < stop[s] and owner[p] == j)
-            if 100 * overlap >= percent * (n + int(sizes[j]) - overlap):
+        times = np.bincount(owner[at], minlength=count)[i + 1:upto]
+        others = np.flatnonzero((times >= need - aside) & (label[i + 1:upto] != label[i]))
+        if not len(others):
+            continue
+        overlap = times[others]
+        for a in range(0, len(others) if len(long_) else 0, step := max(1, PROBES // max(1, len(long_)))):
+            asked = (long_[:, None] * count + (others[a:a + step] + i + 1)).ravel()
+            places = np.minimum(np.searchsorted(postings, asked), len(postings) - 1)
+            overlap[a:a + step] += (postings[places] == asked).reshape(len(long_), -1).sum(0)
+        for j in (others[overlap >= need[others]] + i + 1).tolist():
+            if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 edges.append((members[i][0], members[j][0]))
     return edges
@@ -289,10 +297,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     described = lists.join(classes.select("rep", "n", "bitmap"), "rep")
     two = ["a", "b"], [pa.int64(), pa.int64()]
     perhaps = _grouped(described, ["list"], may_link, ["rep", "n", "bitmap"], "a long, b long", *two)
-    members = cut_lineage(connected_components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("block")))
+    members = cut_lineage(components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("block")))
     linked = _linked(rows, members)
-    components = connected_components(linked).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
-    named = classes.select("mark", "rep").join(components, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
+    placed = components(linked).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
+    named = classes.select("mark", "rep").join(placed, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
     out = told.select("doc_id", "mark", "n").join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(*[F.nullif(F.col(c), least).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 

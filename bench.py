@@ -12,7 +12,7 @@ from threadloom.catalog import QUERIES
 from threadloom.session import build_session
 
 HEADLINE = ["time_gap_segments", "segment_stats", "thread_conversations", "references", "conversation_refs", "message_pairs", "mention_lookback",
-            "short_segment_context", "channel_activity", "mention_names", "upsert_latest", "source_text_hash", "top_words", "topics"]
+            "short_segment_context", "channel_activity", "mention_names", "upsert_latest", "source_text_hash", "top_words", "topics", "merge_edges", "session_stream", "user_topics"]
 
 
 def main() -> None:

@@ -9,7 +9,8 @@ from threadloom.catalog.sql import MSGS, THREADS, with_
 from threadloom.functions import clock, predicates
 from threadloom.operators import collection, context, lookup, names, segments
 from threadloom.plans import periods
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, shared_folder
+from threadloom.sources import records, tables
 from threadloom.sources.event_feed import channels, directory, messages, with_reactions
 
 
@@ -182,6 +183,30 @@ def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.read_range(messages(spark, sf_dir), "C3", 1704412800000000, 1705708799999000).select("msg_id", "ts_us", "text")
 
 
+@query("message_roundtrip", with_(MSGS) + """
+SELECT msg_id, ts_us, user_id, text || CASE WHEN msg_id % 3 = 0 THEN ' (edited)' ELSE '' END AS text, strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day_bucket, 0::BIGINT AS quarantined FROM msgs
+  WHERE channel='C3' AND ts_us BETWEEN 1704412800000000 AND 1705708799999000 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 2 * count(*) FROM msgs WHERE msg_id % 10 = 0""")
+def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The write path: JSON export with broken records, reader and quarantine, upsert of a first and an edited version into the table
+    partitioned by day, pruned range read; one more row counts the quarantine."""
+    root = shared_folder(spark, "roundtrip")
+    rows = messages(spark, sf_dir)
+    stamp = F.concat(F.floor(F.col("ts_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0"))
+    record = F.struct("channel", stamp.alias("ts"), F.col("user_id").alias("user"), F.concat("msg_id", F.lit("|"), "text").alias("text"), "subtype")
+    broken = rows.filter(F.col("msg_id") % 10 == 0).select(F.explode(F.array(F.lit('{"channel": "C1", "ts": '), F.lit('{"channel": "C1", "text": "no stamp"}'))).alias("value"))
+    rows.select(F.to_json(record).alias("value")).unionByName(broken).write.text(f"{root}/export")
+    good, bad = records.read_messages(spark, f"{root}/export")
+    edited = good.filter(F.substring_index("text", "|", 1).cast("long") % 3 == 0).withColumn("text", F.concat("text", F.lit(" (edited)")))
+    for number, part in enumerate((good, edited)):
+        tables.upsert(spark, f"{root}/table", tables.message_rows(part, F.lit(number)), tables.MESSAGE_KEY, ["fetched_at", "msg_id"], "day_bucket")
+    found = lookup.read_range(tables.read_table(spark, f"{root}/table"), "C3", 1704412800000000, 1705708799999000)
+    number = F.substring_index("text", "|", 1)
+    kept = found.select(number.cast("long").alias("msg_id"), "ts_us", "user_id", F.substr("text", F.length(number) + 2).alias("text"), F.col("day_bucket").cast("string").alias("day_bucket"),
+                        F.lit(0).cast("long").alias("quarantined"))
+    lost = bad.agg(F.count(F.lit(1)).alias("quarantined"))
+    return kept.unionByName(lost, allowMissingColumns=True)
+
+
 PEOPLE = """
 usr AS (SELECT 'U'||c_custkey AS user_id, 'login'||c_custkey AS name, CASE c_custkey%3 WHEN 0 THEN c_name WHEN 1 THEN '' END AS real_name,
   CASE WHEN c_custkey%2=0 THEN upper(c_mktsegment[1])||lower(c_mktsegment[2:])||' '||c_custkey ELSE '' END AS display_name, c_custkey%11=5 AS deleted FROM customer),

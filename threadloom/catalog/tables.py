@@ -124,12 +124,20 @@ def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text_hash", F.col("embedding").isNotNull().alias("cached"), F.round(F.get("embedding", 0).cast("double"), 6).alias("first_value"))
 
 
-@query("embed_plugin")
+@query("embed_plugin", r"""
+WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY 1),
+stored AS (SELECT sha256(text) AS h FROM documents JOIN embeddings ON vec_id = doc_id),
+todo AS (SELECT DISTINCT sha256(text) AS text_hash, lower(left(text, 32000)) AS said FROM t WHERE sha256(text) NOT IN (SELECT h FROM stored)),
+w AS (SELECT text_hash, unnest(string_split_regex(trim(said, E' \n\t'), '\s+')) AS w FROM todo),
+c AS (SELECT text_hash, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 32 AS b, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+g AS (SELECT text_hash, unnest(range(32)) AS b FROM todo)
+SELECT g.text_hash, string_agg(coalesce(n, 0)::VARCHAR, ' ' ORDER BY g.b) AS vector FROM g LEFT JOIN c ON c.text_hash = g.text_hash AND c.b = g.b GROUP BY 1""")
 def embed_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by a fixed Python function for the conversations whose text has none stored."""
     _, stored = _hashed_documents(spark, sf_dir)
     spoken = texts.conversation_texts(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"])
-    return texts.embed_missing(spoken, stored, "m1", texts.hashed_words())
+    made = texts.embed_missing(spoken, stored, "m1", texts.hashed_words())
+    return made.select("text_hash", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ").alias("vector"))
 
 
 @query("top_words", r"""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.functions.clock import local_day
+from threadloom.functions.clock import DAY_US, local_day
 from threadloom.functions.predicates import channel_type, mentions_user
 
 SEARCH_LIMIT = 50
@@ -26,13 +27,26 @@ def search(messages: DataFrame, terms: Sequence[str], user: str | None = None, c
         hit = hit & (F.col("channel") == channel)
     if from_date and to_date:
         hit = hit & local_day("ts_us", tz).between(F.lit(from_date).cast("date"), F.lit(to_date).cast("date"))
+        first, last = (int((date.fromisoformat(d) - date(1970, 1, 1)).days) * DAY_US for d in (from_date, to_date))
+        messages = _days_around(messages, first, last)
     found = messages.filter(hit).orderBy(*ORDER)
     return found.limit(limit) if limit else found
 
 
+def _days_around(messages: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    if "day_bucket" not in messages.columns:
+        return messages
+    day = lambda us, more: str(date(1970, 1, 1) + timedelta(days=us // DAY_US + more))
+    return messages.filter(F.col("day_bucket").between(day(start_us, -1), day(end_us, 1)))
+
+
 def read_range(messages: DataFrame, channel: str | None, start_us: int, end_us: int, user: str | None = None) -> DataFrame:
-    """Messages of a channel in a closed range of time."""
-    rows = messages.filter(F.col("ts_us").between(start_us, end_us))
+    """Messages of a channel in a closed range of time.
+
+    A stored table has ``day_bucket``, its partition column: the range of days, a day wider on both sides for any zone, then prunes
+    the folders that are read.
+    """
+    rows = _days_around(messages, start_us, end_us).filter(F.col("ts_us").between(start_us, end_us))
     if channel:
         rows = rows.filter(F.col("channel") == channel)
     return rows.filter(F.col("user_id") == user) if user else rows

@@ -87,8 +87,9 @@ def ordered(
     return out.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows per key. Spark turns the rank filter into a per-task limit before the shuffle,
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | None, name: str = "rank") -> DataFrame:
+    """First ``n`` rows per key, all of them with ``None``. Spark turns the rank filter into a per-task limit before the shuffle,
     so a busy key sends at most ``n`` rows from each task."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    ranked = df.withColumn(name, F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col(name) <= n)

@@ -8,6 +8,7 @@ messages are not copied per user.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,18 +31,40 @@ ATTACHMENT_FIELDS = ("fallback", "text", "title", "author_name", "author_id", "c
 Boundaries = Callable[[DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Numbers and switches of a run. Every cut can be lifted with ``None``; the defaults are those of the original."""
+
+    gap_minutes: float = 60.0
+    #: Shorter segments are not cut at topic boundaries.
+    least_for_boundaries: int = segments.MIN_MESSAGES_FOR_BOUNDARIES
+    mention_context: bool = True
+    segment_context: bool = True
+    #: Lines of a topic in a prompt of its own and in a batch.
+    group_lines: int | None = prompts.GROUP_LINES
+    batch_lines: int | None = prompts.BATCH_LINES
+    batch_size: int = prompts.BATCH_SIZE
+    #: Batches up to this size are asked topic by topic.
+    single_up_to: int = prompts.SINGLE_UP_TO
+    #: Prompts given to the model function at once.
+    call_size: int | None = prompts.CALL_SIZE
+    #: Words that name a topic without a model.
+    topic_words: int | None = 3
+
+
 class UserSummaries:
     """Lazy tables of a summary run.
 
     ``messages`` as in the message table; ``periods``: ``(owner_id, period_no, start_us, end_us, tz)``; ``people``: the user directory;
     ``channels``: channel records with ``user``; ``members``: ``(channel, place, user_id)`` of group channels. ``model``: text model
     function, or none for the built-in summary. ``boundaries``: maps message pairs to decisions, or none for no extra cuts.
+    ``rules`` and ``limits``: thresholds, cuts and switches.
     """
 
     def __init__(self, messages: DataFrame, periods: DataFrame, people: DataFrame, channels: DataFrame, members: DataFrame, base: str,
-                 model: prompts.TextModel | None = None, boundaries: Boundaries | None = None, rules: merging.MergeRules = merging.MergeRules()):
+                 model: prompts.TextModel | None = None, boundaries: Boundaries | None = None, rules: merging.MergeRules = merging.MergeRules(), limits: Limits = Limits()):
         self.messages, self.periods, self.people, self.channels, self.members = messages, periods, people, channels, members
-        self.base, self.model, self.boundaries, self.rules = base, model, boundaries, rules
+        self.base, self.model, self.boundaries, self.rules, self.limits = base, model, boundaries, rules, limits
 
     # Collection
 
@@ -73,12 +96,12 @@ class UserSummaries:
     @cached_property
     def main(self) -> DataFrame:
         """Own channel messages with their conversation id."""
-        tagged = segments.gap_segments(segments.main_messages(self.sent), SCOPE)
+        tagged = segments.gap_segments(segments.main_messages(self.sent), SCOPE, self.limits.gap_minutes)
         name = [F.col(c) for c in SCOPE] + [F.lit("m"), F.col("seg_start_us").cast("string")]
         if self.boundaries is not None:
             ids = [*SCOPE, "seg_no"]
             tagged = cut_lineage(tagged)
-            sizes = tagged.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= segments.MIN_MESSAGES_FOR_BOUNDARIES)
+            sizes = tagged.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= self.limits.least_for_boundaries)
             pairs = segments.message_pairs(tagged.join(sizes.drop("_n"), ids, "left_semi"), ids)
             tagged = segments.split_at_boundaries(tagged, self.boundaries(pairs), ids)
             name.append(F.col("sub_no").cast("string"))
@@ -96,7 +119,8 @@ class UserSummaries:
         own = self.main.groupBy(*CONV).agg(F.count(F.lit(1)).alias("message_count"), F.count(F.lit(1)).alias("user_message_count"),
                                            F.min(F.struct("ts_us", "msg_id")).alias("_f")).withColumn("kind", F.lit("m"))
         own = own.select("*", F.col("_f.ts_us").alias("first_us"), F.col("_f.msg_id").alias("first_msg")).drop("_f")
-        return cut_lineage(fresh.unionByName(context.short_segment_context(own, positions, CONV)))
+        parts = [part for part, wanted in ((fresh, self.limits.mention_context), (context.short_segment_context(own, positions, CONV), self.limits.segment_context)) if wanted]
+        return cut_lineage(parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else fresh.limit(0))
 
     @cached_property
     def original(self) -> DataFrame:
@@ -189,12 +213,12 @@ class UserSummaries:
 
     @cached_property
     def topic_lines(self) -> DataFrame:
-        """The lines a prompt can show: at most the first fifty of a thread and all other messages, rendered."""
+        """The lines a prompt can show, rendered: the first ``group_lines`` of a topic."""
         keep = ["msg_id", "ts_us", "user_id", "text", "subtype"]
         extra = [c for c in ("attachments",) if c in self.messages.columns]
-        head = first_n(self.shared, THREAD, ["ts_us", "msg_id"], prompts.GROUP_LINES).join(self.threads, THREAD).select(*CONV, *keep, *extra)
+        head = first_n(self.shared, THREAD, ["ts_us", "msg_id"], self.limits.group_lines).join(self.threads, THREAD).select(*CONV, *keep, *extra)
         rows = self.main.select(*CONV, *keep, *extra).unionByName(head).unionByName(self.context.select(*CONV, *keep), allowMissingColumns=True)
-        placed = cut_lineage(first_n(rows.join(self.topic_of, CONV), TOPIC, ["ts_us", "msg_id", "conv_id"], prompts.GROUP_LINES, "line_no"))
+        placed = cut_lineage(first_n(rows.join(self.topic_of, CONV), TOPIC, ["ts_us", "msg_id", "conv_id"], self.limits.group_lines, "line_no"))
         return cut_lineage(message_lines(self._with_linked(placed), self.people, [*TOPIC, "line_no"]))
 
     def _with_linked(self, placed: DataFrame) -> DataFrame:
@@ -217,14 +241,14 @@ class UserSummaries:
 
     @cached_property
     def top_words(self) -> DataFrame:
-        """Three words per topic, from word counts per conversation and per thread."""
+        """The most frequent words per topic, from word counts per conversation and per thread."""
         def counted(rows: DataFrame, ids: list[str]) -> DataFrame:
             return words.count_words(rows, ids, ["ts_us", "msg_id"])
 
         own = counted(self.main.select(*CONV, "ts_us", "msg_id", "text").unionByName(self.context.select(*CONV, "ts_us", "msg_id", "text")), CONV)
         thread = counted(self.shared, THREAD).join(self.threads, THREAD).select(*own.columns)
         by_topic = own.unionByName(thread).join(self.topic_of, CONV).groupBy(*TOPIC, "word").agg(F.sum("n").alias("n"), F.min("first_place").alias("first_place"))
-        return first_n(by_topic, TOPIC, [F.desc("n"), "first_place"], 3).groupBy(*TOPIC).agg(in_order(["rank"], "word").alias("words"))
+        return first_n(by_topic, TOPIC, [F.desc("n"), "first_place"], self.limits.topic_words).groupBy(*TOPIC).agg(in_order(["rank"], "word").alias("words"))
 
     @cached_property
     def described(self) -> DataFrame:
@@ -252,26 +276,28 @@ class UserSummaries:
     def channel_names(self) -> DataFrame:
         return cut_lineage(names.channel_names(self.activity, self.channels, self.members, self.people))
 
-    def prompt_rows(self, lines: int = prompts.GROUP_LINES) -> DataFrame:
-        texts = self.topic_lines.filter(F.col("line_no") <= lines).groupBy(*TOPIC).agg(F.array_join(in_order(["line_no"], "line"), "\n").alias("messages_text"))
+    def prompt_rows(self, lines: int | None = None) -> DataFrame:
+        shown = self.topic_lines if lines is None else self.topic_lines.filter(F.col("line_no") <= lines)
+        texts = shown.groupBy(*TOPIC).agg(F.array_join(in_order(["line_no"], "line"), "\n").alias("messages_text"))
         return self.described.join(texts, TOPIC)
 
     @cached_property
     def batches(self) -> DataFrame:
-        return cut_lineage(prompts.topic_batches(self.topics.select(*TOPIC, "start_us"), SCOPE, ["start_us", "topic_id"]))
+        return cut_lineage(prompts.topic_batches(self.topics.select(*TOPIC, "start_us"), SCOPE, ["start_us", "topic_id"],
+                                                 self.limits.batch_size, self.limits.single_up_to))
 
     @cached_property
     def answers(self) -> DataFrame | None:
         """``(topic, summary)`` from the model: batches first, then one by one what a batch did not give."""
         if self.model is None:
             return None
-        rows = self.prompt_rows(prompts.BATCH_LINES).join(self.batches.select(*TOPIC, "batch_no", "place_in_batch", "single"), TOPIC)
+        rows = self.prompt_rows(self.limits.batch_lines).join(self.batches.select(*TOPIC, "batch_no", "place_in_batch", "single"), TOPIC)
         many = rows.filter(~F.col("single"))
-        asked = prompts.run_model(prompts.batch_prompts(many, SCOPE), self.model).join(many.groupBy(*SCOPE, "batch_no").agg(F.count(F.lit(1)).alias("_n")), [*SCOPE, "batch_no"])
+        asked = prompts.run_model(prompts.batch_prompts(many, SCOPE), self.model, call_size=self.limits.call_size).join(many.groupBy(*SCOPE, "batch_no").agg(F.count(F.lit(1)).alias("_n")), [*SCOPE, "batch_no"])
         found = asked.select(*SCOPE, "batch_no", F.posexplode(prompts.parse_summaries("response", F.col("_n"))).alias("_at", "summary"))
         batched = cut_lineage(self.batches.join(found.withColumn("place_in_batch", (F.col("_at") + 1).cast("long")), [*SCOPE, "batch_no", "place_in_batch"]).select(*TOPIC, "summary"))
         left = self.prompt_rows().join(batched, TOPIC, "left_anti").withColumn("prompt", prompts.group_prompt()).select(*TOPIC, "prompt")
-        single = prompts.run_model(left, self.model).select(*TOPIC, prompts.parse_summary("response").alias("summary")).filter(F.col("summary").isNotNull())
+        single = prompts.run_model(left, self.model, call_size=self.limits.call_size).select(*TOPIC, prompts.parse_summary("response").alias("summary")).filter(F.col("summary").isNotNull())
         return cut_lineage(batched.unionByName(single))
 
     @cached_property
@@ -314,9 +340,10 @@ class UserSummaries:
         return collection.totals(self.activity, given)
 
 
-def condense(topics: DataFrame) -> DataFrame:
-    """The short form: at most three key events, no list of links, no number of merged segments."""
-    return topics.withColumn("key_events", F.slice("key_events", 1, 3)).drop("slack_links", "segments_merged")
+def condense(topics: DataFrame, key_events: int | None = 3) -> DataFrame:
+    """The short form: at most so many key events (``None``: all), no list of links, no number of merged segments."""
+    kept = F.col("key_events") if key_events is None else F.slice("key_events", 1, key_events)
+    return topics.withColumn("key_events", kept).drop("slack_links", "segments_merged")
 
 
 def summary_documents(run: UserSummaries, generated_at: Column) -> DataFrame:

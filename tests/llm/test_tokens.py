@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import tokens
+from threadloom.llm.grams import utf8
 from threadloom.session import shared_folder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -35,12 +37,11 @@ def test_round_trip_of_files(spark, docs, shard_tokens):
 
 
 def test_a_cleared_word_store_gives_the_same_ids(monkeypatch):
-    texts = [t or "" for t in ODD]
-    whole = tokens.WordTokenizer(VOCABULARY).encode(texts)
+    whole = tokens.WordTokenizer(VOCABULARY).encode(*utf8(pa.array(ODD, pa.string())), 1)
     monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
     again = tokens.WordTokenizer(VOCABULARY)
-    for i, text in enumerate(texts):
-        ids, n = again.encode([text])
+    for i, text in enumerate(ODD):
+        ids, n = again.encode(*utf8(pa.array([text], pa.string())), 1)
         place = whole[1][:i].sum()
         assert n[0] == whole[1][i] and (ids == whole[0][place:place + n[0]]).all()
 

@@ -25,8 +25,10 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTES = spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+#: A value per byte; in the second table A-Z count as a-z.
+EXACT = spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+FOLDED = EXACT.copy()
+FOLDED[65:91] = EXACT[97:123]
 
 #: ``[^\x20\x09-\x0D]+``
 SPACED = np.ones(256, bool)
@@ -77,7 +79,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, most: int = BLOCK) -> Iterator
 class Words:
     """The words of a block: ``start`` and ``end`` in bytes, ``doc``, the text each is in, ``hash``; ``first`` word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, values: np.ndarray = FOLDED):
         n, docs = len(data), len(offsets) - 1
         inside, edge = word_bytes[data], np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -90,7 +92,7 @@ class Words:
         self.data, self.offsets = data, offsets
         up, down = power(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
+        np.cumsum(values[data] * up[:n], out=sums[1:])
         size = (self.end - self.start).astype(np.uint64)
         self.hash = spread((sums[self.end] - sums[self.start]) * down[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
 

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.llm.grams import _BYTES as FOLDED_BYTES, blocks, power, spread, utf8
+from threadloom.llm.grams import EXACT, blocks, power, spread, utf8
 from threadloom.session import cut_lineage
 
 L, G = 100, 16
@@ -34,8 +34,6 @@ BATCH = 32_768
 #: Anchors a task holds before it gives them out by range, and at least so many for each range.
 FLUSH, FLUSH_PER_RANGE = 250_000, 64
 
-BYTES = FOLDED_BYTES.copy()
-BYTES[65:91] = spread(np.arange(1000, 1026, dtype=np.uint64))  # here A-Z are bytes of their own
 RECORD = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
 PIECE = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
 
@@ -47,7 +45,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, RECORD), np.zeros(0, np.int64)
     up, down = power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTES[data] * up[:n], out=sums[1:])
+    np.cumsum(EXACT[data] * up[:n], out=sums[1:])
     grams = spread((sums[G:] - sums[:-G]) * down[:n - G + 1])
     value, place = (grams >> np.uint64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32)
     size = 1

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from threadloom.llm.grams import EXACT, Words, blocks, utf8
 from threadloom.session import cut_lineage
 
 MAGIC = b"WAVE0001"
@@ -29,44 +31,94 @@ PIECE = 1 << 16  # bytes of a plane compressed together
 STEP = 512  # bits between stored counts
 END_ID = 1
 #: Words remembered with their ids in each Python worker; the store is emptied when it is full.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
+#: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.
+PIECES = np.ones(256, bool)
+PIECES[[0x20, 0x0A]] = False
 
 
 class WordTokenizer:
-    """Ids of whole texts, each distinct piece between blanks given to the library once.
+    """Ids of whole texts, each distinct piece between blanks given to the library once, known again by its 64-bit hash.
 
     Right for tokenizers that drop white space before they split and so never join two pieces, as those here do.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(special.items()), (None, None))
+        if self.mark and any(s[0] != self.mark[0] for s in special):
+            self.mark = None  # special tokens of several kinds: every word goes alone
         self._clear()
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the number of ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split) - self.places.keys()
-        if missing:
-            if len(self.places) + len(missing) > WORDS_KEPT:
+    def _coded(self, words: list[str], alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one behind the other, and how many each has.
+
+        Many words go to the library as one text with a special token after each, by which the ids are cut again; words that may hold
+        a special token themselves go ``alone``.
+        """
+        if alone:
+            ids = [self.library.encode(w, add_special_tokens=False).ids for w in words]
+            return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64)
+        texts = [f" {self.mark} ".join([*words[i:i + 512], ""]) for i in range(0, len(words), 512)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark_id)
+        if len(marks) != len(words):
+            raise RuntimeError("the tokenizer joins words across a special token")
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        odd = np.array([self.mark is None or self.mark[0] in w for w in words])
+        for alone in (False, True):
+            some = np.flatnonzero(odd == alone)
+            if not len(some):
+                continue
+            ids, sizes = self._coded([words[i] for i in some.tolist()], alone)
+            order = np.argsort(keys[some])
+            fresh = keys[some][order]
+            at = np.searchsorted(self.keys, fresh)
+            self.places = np.insert(self.places, at, len(self.ends) - 1 + order)
+            self.keys = np.insert(self.keys, at, fresh)
+            self.flat = np.concatenate([self.flat, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block of texts, each with ``end_id`` behind, and their number for each text."""
+        words = Words(data, offsets, PIECES, EXACT)
+        distinct, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if not known.all():
+            if len(self.keys) + len(distinct) - known.sum() > WORDS_KEPT:
                 self._clear()
-                missing = set().union(*split)
-            fresh = sorted(missing)
-            coded = [e.ids for e in self.library.encode_batch(fresh, add_special_tokens=False)]
-            self.places.update(zip(fresh, range(len(self.ends) - 1, len(self.ends) - 1 + len(fresh))))
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(coded), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded])])
-        words = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), np.int64)
-        start, size = self.ends[words], np.diff(self.ends)[words]
+                known[:] = False
+            raw, new = data.tobytes(), first[~known]
+            self._learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist())])
+            at = np.searchsorted(self.keys, distinct)
+        # A document's end is one more word, after its last.
+        docs = len(offsets) - 1
+        place = np.empty(len(words.hash) + docs, np.int64)
+        last = words.first[1:] + np.arange(docs)
+        plain = np.ones(len(place), bool)
+        plain[last] = False
+        place[plain] = self.places[at][which]
+        start = np.zeros(len(place), np.int64)
+        size = np.ones(len(place), np.int64)
+        start[plain] = self.ends[place[plain]]
+        size[plain] = self.ends[place[plain] + 1] - start[plain]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])])
-        return ids, np.diff(upto[bounds])
+        ids = (self.flat if len(self.flat) else np.zeros(1, np.uint32))[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        ids[upto[last]] = end_id
+        return ids, np.diff(upto[last + 1], prepend=0)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -96,7 +148,7 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: np.ndarray, part: int, number: i
     rest = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     planes, zeros = [], []
     for level in range(levels - 1, -1, -1):
-        bits = (rest >> level & 1).astype(bool)
+        bits = (rest & rest.dtype.type(1 << level)) != 0
         raw = np.packbits(bits, bitorder="little")
         padded = np.zeros(-(-len(raw) // (STEP // 8)) * (STEP // 8), np.uint8)
         padded[:len(raw)] = raw
@@ -229,14 +281,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.large_binary())], names=["shard"])
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                flat, counts = coder.encode(["" if t is None else t for t in some.column(1).to_pylist()])
-                ends = np.cumsum(counts)
-                ids.append(np.insert(flat, ends, end_id))
-                sizes.append(counts + 1)
-                names += some.column(0).to_pylist()
-                held += len(ids[-1])
+            for a, b, data, offsets in blocks(*utf8(batch.column(1))):
+                found, counts = coder.encode(data, offsets, end_id)
+                ids.append(found)
+                sizes.append(counts)
+                names += batch.column(0).slice(a, b - a).to_pylist()
+                held += len(found)
                 if held >= shard_tokens:
                     yield shard()
         if names:

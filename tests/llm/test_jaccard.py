@@ -52,7 +52,7 @@ def test_components(docs, words, seed, monkeypatch):
     if seed == 3:  # only the most common few are told
         real = jaccard.common_shingles
         monkeypatch.setattr(jaccard, "common_shingles", lambda *a: real(*a, common=1, most=5))
-        monkeypatch.setattr(jaccard, "MEMBERS_PER_TASK", 2)  # blocks are dealt out by pairs of parts
+        monkeypatch.setattr(jaccard, "SHINGLES_PER_TASK", 100)  # blocks are dealt out by pairs of parts
     rows = corpus(words, seed)
     got = sorted(map(tuple, jaccard.near_copies(docs(rows)).collect()))
     assert got == expected(rows)

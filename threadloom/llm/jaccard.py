@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.common import small_side
 from threadloom.llm.components import components
-from threadloom.llm.grams import SPACED, Words, blocks, chained, spread, utf8
+from threadloom.llm.grams import SPACED, Words, blocks, chained, give_back, spread, utf8
 from threadloom.session import cut_lineage
 
 SHINGLE = 4
@@ -34,8 +34,11 @@ COMMON = 32
 #: So many common shingles are told to every task at most (12 bytes each); the threshold rises until they fit. Which shingles count
 #: as common changes the length of lists, never the result.
 MOST_COMMON = 1 << 20
-DOCS_PER_RANGE = 16_384
-MEMBERS_PER_TASK = 4_096
+DOCS_PER_RANGE = 4_096
+#: Shingles a task holds before it gives them out by range, and at least so many for each range.
+FLUSH, FLUSH_PER_RANGE = 500_000, 64
+#: Shingles, 8 bytes each, of the classes that a task searches; its arrays need some ten times that.
+SHINGLES_PER_TASK = 1 << 20
 BROADCAST_MEMBERS = 200_000
 #: Binary searches made at once.
 PROBES = 1 << 20
@@ -79,12 +82,23 @@ def _dealt(which: np.ndarray, ranges: int, *columns: np.ndarray) -> Iterator[tup
 def common_shingles(docs: DataFrame, ranges: int, common: int = COMMON, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Keys, ``range << 32 | low half of the hash``, and document counts of common shingles, by key."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def give() -> pa.RecordBatch:
+            tokens = np.concatenate(held)
+            rows = list(_dealt(_range_of(tokens, ranges), ranges, tokens.astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "tokens"])
+
         for batch in batches:
             for _, sets in _flat(batch.column(0)):
-                tokens = np.concatenate(sets)
-                rows = list(_dealt(_range_of(tokens, ranges), ranges, tokens.astype(np.uint32)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "tokens"])
+                held += [s for s in sets if len(s)]
+                count += sum(map(len, sets))
+                if count >= max(FLUSH, FLUSH_PER_RANGE * ranges):
+                    yield give()
+                    held, count = [], 0
+        if held:
+            yield give()
+        give_back()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = np.frombuffer(b"".join(pdf["tokens"]), np.uint32).copy()
@@ -120,9 +134,8 @@ def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]
         perhaps = np.zeros(1 << 20, bool)
         perhaps[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
-            out = []
-            for _, sets in _flat(batch.column(1)):
-                tokens = np.concatenate(sets)
+            for a, sets in _flat(batch.column(1)):
+                out, tokens = [], np.concatenate(sets)
                 rank = np.zeros(len(tokens), np.uint32)
                 some = np.flatnonzero(perhaps[(tokens & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 if len(some):
@@ -138,9 +151,9 @@ def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]
                     mark = int(mixed[place:place + n].sum(dtype=np.uint64)).to_bytes(8, "little") + int(np.bitwise_xor.reduce(mixed[place:place + n]) if n else 0).to_bytes(8, "little")
                     out.append((n, mark + n.to_bytes(4, "little"), first.tobytes(), _bitmap(found)))
                     place += n
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "mark", "prefix", "bitmap"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), *columns], names=["doc_id", "n", "mark", "prefix", "bitmap"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, mark binary, prefix binary, bitmap binary")
 
@@ -186,6 +199,7 @@ def _grouped(rows: DataFrame, keys: list[str], work, columns: list[str], schema:
                 held.append(row)
             yield made(out)
         yield made(work(held) if len(held) > 1 else [])
+        give_back()
 
     def made(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)
@@ -297,7 +311,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     described = lists.join(classes.select("rep", "n", "bitmap"), "rep")
     two = ["a", "b"], [pa.int64(), pa.int64()]
     perhaps = _grouped(described, ["list"], may_link, ["rep", "n", "bitmap"], "a long, b long", *two)
-    members = cut_lineage(components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("block")))
+    placed = components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("block"))
+    members = cut_lineage(placed.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"))
     linked = _linked(rows, members)
     placed = components(linked).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
     named = classes.select("mark", "rep").join(placed, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
@@ -309,12 +324,13 @@ def _linked(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Spanning links ``(a, b)`` of each block."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [s.tobytes() for _, found in _flat(batch.column(3)) for s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["block", "part", "rep", "set"])
+            for a, found in _flat(batch.column(3)):
+                packed = pa.array([s.tobytes() for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(found)).columns[:3], packed], names=["block", "part", "rep", "set"])
 
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
-    parts = members.join(sizes, "block").withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_n") / MEMBERS_PER_TASK * 2)).cast("int")).withColumn(
-        "_parts", F.when(F.col("_n") <= MEMBERS_PER_TASK, 1).otherwise(F.col("_parts"))).withColumn("_own", F.pmod(F.xxhash64("rep"), "_parts").cast("int"))
+    sizes = members.groupBy("block").agg(F.sum("n").alias("_n"))
+    number = F.when(F.col("_n") <= SHINGLES_PER_TASK, 1).otherwise(F.ceil(F.col("_n") / SHINGLES_PER_TASK * 2)).cast("int")
+    parts = members.join(sizes, "block").withColumn("_parts", number).withColumn("_own", F.pmod(F.xxhash64("rep"), "_parts").cast("int"))
     marked = cut_lineage(parts.select("rep", "block", "_parts", "_own"))
     texts = rows.withColumnRenamed("doc_id", "rep").join(small_side(marked, BROADCAST_MEMBERS), "rep")
     dealt = texts.select("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.common import small_side
-from threadloom.llm.grams import blocks, spread, utf8
+from threadloom.llm.grams import blocks, give_back, spread, utf8
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1_000
@@ -208,6 +208,7 @@ def cross_entropies(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndar
         sizes.append(n)
         means.append(first)
         variances.append(np.maximum(mean(loss * loss) - first * first, 0))
+    give_back()
     if not sizes:
         empty = np.zeros((0, len(model.languages)))
         return np.zeros(0, np.int64), empty, empty

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from threadloom.llm.grams import EXACT, Words, blocks, utf8
+from threadloom.llm.grams import EXACT, Words, blocks, give_back, utf8
 from threadloom.session import cut_lineage
 
 MAGIC = b"WAVE0001"
@@ -32,6 +32,8 @@ STEP = 512  # bits between stored counts
 END_ID = 1
 #: Words remembered with their ids in each Python worker; the store is emptied when it is full.
 WORDS_KEPT = 400_000
+#: Bytes encoded at once; each time the new words are merged into the store.
+BLOCK = 1 << 20
 #: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.
 PIECES = np.ones(256, bool)
 PIECES[[0x20, 0x0A]] = False
@@ -281,7 +283,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.large_binary())], names=["shard"])
 
         for batch in batches:
-            for a, b, data, offsets in blocks(*utf8(batch.column(1))):
+            for a, b, data, offsets in blocks(*utf8(batch.column(1)), BLOCK):
                 found, counts = coder.encode(data, offsets, end_id)
                 ids.append(found)
                 sizes.append(counts)
@@ -291,6 +293,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
                     yield shard()
         if names:
             yield shard()
+        give_back()
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # Arrow's binary becomes a string without a check of its bytes; one row a file.

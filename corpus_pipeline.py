@@ -15,10 +15,20 @@ from threadloom.session import cut_lineage, shared_folder
 
 #: Ids to drop up to this many rows go to every task; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Rows of whole texts that go to a Python worker at once. Spark's own default suits short rows; with documents it would hold some
+#: ten times the memory on both sides.
+ROWS_PER_BATCH = 1_000
+
+
+def _long_rows(spark: SparkSession) -> None:
+    """Set the batch size for the session: the stages' tables are computed after they return."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what is in none of the learned languages, or has no letters; a missing ``lang`` becomes the one that was found."""
+    _long_rows(spark)
     model = langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))))
     told = boxed(docs, langid.identify(model, spark)("text").alias("_language")).filter(~F.col("_language.rejected"))
     lang = F.coalesce(F.col("_row.lang"), F.col("_language.lang"))
@@ -27,6 +37,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays; equal rows become one."""
+    _long_rows(spark)
     found = jaccard.near_copies(docs)
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_c"))
     told = again.filter((F.col("_rows") > 1) | ~F.col("doc_id").eqNullSafe(F.col("_c"))).select(
@@ -40,6 +51,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten words in a row of a benchmark item, or a whole shorter one."""
+    _long_rows(spark)
     found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
     hit = cut_lineage(found.select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct())
     marked = boxed(docs, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_of"))
@@ -53,6 +65,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token ids and read them back: ``(doc_id, start, n_tokens, ids_crc32)``, one row per written document."""
+    _long_rows(spark)
     path = shared_folder(spark, "pipeline-tokens")
     tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return tokens.read_digests(spark, path)

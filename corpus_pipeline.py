@@ -15,6 +15,8 @@ from threadloom.session import cut_lineage, shared_folder
 
 #: Ids to drop up to this many rows go to every task; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: What a near copy is here: at least so many percent of the shingles of so many words in common. ``op3_near_copies`` has a measure of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Rows of whole texts that go to a Python worker at once. Spark's own default suits short rows; with documents it would hold some
 #: ten times the memory on both sides.
 ROWS_PER_BATCH = 1_000
@@ -36,9 +38,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays; equal rows become one."""
+    """Of each component of near copies (0.8 of five-word shingles) the document with the smallest id stays; equal rows become one."""
     _long_rows(spark)
-    found = jaccard.near_copies(docs)
+    found = jaccard.near_copies(docs, NEAR_WORDS, NEAR_PERCENT)
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_c"))
     told = again.filter((F.col("_rows") > 1) | ~F.col("doc_id").eqNullSafe(F.col("_c"))).select(
         F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("_c")).alias("_stays"))

@@ -57,3 +57,23 @@ def test_empty_documents(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_five_words_and_80_percent(spark, docs, words):
+    """Pairs between the stage's measure and that of op3: each is linked by one of the two only."""
+    from threadloom.llm import jaccard
+
+    def share(a, b, k):
+        x, y = ({tuple(t.split()[i:i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    base = [f"a{i}" for i in range(100)]
+    apart = base[:30] + ["x"] + base[31:70] + ["y"] + base[71:]  # 86 / 106 of five words, 89 / 105 of four
+    assert share(" ".join(base), " ".join(apart), 5) > 0.8 and share(" ".join(base), " ".join(apart), 4) < 0.85
+    far = [f"b{i}" for i in range(100)]
+    farther = far[:20] + ["x"] + far[21:50] + ["y"] + far[51:80] + ["z"] + far[81:]
+    assert share(" ".join(far), " ".join(farther), 5) < 0.8
+    rows = [(1, " ".join(base)), (2, " ".join(apart)), (3, " ".join(far)), (4, " ".join(farther))]
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r.doc_id for r in stage(spark, docs(rows), "").collect()) == [1, 3, 4]
+    assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs(rows)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}

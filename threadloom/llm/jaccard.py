@@ -1,6 +1,6 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip (operator 3).
 
-Which documents share at least 85 % of their word shingles? No step looks at all pairs.
+Which documents share at least ``percent`` of their word shingles? No step looks at all pairs.
 
 1. Shingle counts over all documents, exchanged as packed blocks, give the shingles of more than ``COMMON`` documents.
 2. Documents with equal sets are one class. Every class files a prefix of its set: as many shingles, common ones last, that two
@@ -14,6 +14,7 @@ Which documents share at least 85 % of their word shingles? No step looks at all
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from threadloom.llm.components import components
 from threadloom.llm.grams import SPACED, Words, blocks, chained, give_back, spread, utf8
 from threadloom.session import cut_lineage
 
+#: The measure of ``op3_near_copies``; other callers give their own.
 SHINGLE = 4
 PERCENT = 85
 #: A shingle in more documents than this is common and comes last in every prefix.
@@ -60,9 +62,9 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def _flat(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _flat(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for a, _, data, offsets in blocks(*utf8(column)):
-        yield a, shingle_sets(data, offsets)
+        yield a, shingle_sets(data, offsets, k)
 
 
 def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
@@ -79,7 +81,7 @@ def _dealt(which: np.ndarray, ranges: int, *columns: np.ndarray) -> Iterator[tup
             yield (r, *(c[a:b].tobytes() for c in sorted_))
 
 
-def common_shingles(docs: DataFrame, ranges: int, common: int = COMMON, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, ranges: int, k: int = SHINGLE, common: int = COMMON, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Keys, ``range << 32 | low half of the hash``, and document counts of common shingles, by key."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -90,7 +92,7 @@ def common_shingles(docs: DataFrame, ranges: int, common: int = COMMON, most: in
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "tokens"])
 
         for batch in batches:
-            for _, sets in _flat(batch.column(0)):
+            for _, sets in _flat(batch.column(0), k):
                 held += [s for s in sets if len(s)]
                 count += sum(map(len, sets))
                 if count >= max(FLUSH, FLUSH_PER_RANGE * ranges):
@@ -125,7 +127,7 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray], k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n, mark, prefix, bitmap)`` of every document; ``mark`` is equal for equal sets."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -134,7 +136,7 @@ def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]
         perhaps = np.zeros(1 << 20, bool)
         perhaps[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
-            for a, sets in _flat(batch.column(1)):
+            for a, sets in _flat(batch.column(1), k):
                 out, tokens = [], np.concatenate(sets)
                 rank = np.zeros(len(tokens), np.uint32)
                 some = np.flatnonzero(perhaps[(tokens & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -145,7 +147,7 @@ def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]
                     rank[some[hit]] = counts[at[hit]]
                 mixed, place = spread(tokens), 0
                 for found in sets:
-                    n, p = len(found), prefix_size(len(found))
+                    n, p = len(found), prefix_size(len(found), percent)
                     own = rank[place:place + n]
                     first = found[np.argsort(own, kind="stable")[:p]] if own.any() else found[:p]
                     mark = int(mixed[place:place + n].sum(dtype=np.uint64)).to_bytes(8, "little") + int(np.bitwise_xor.reduce(mixed[place:place + n]) if n else 0).to_bytes(8, "little")
@@ -292,8 +294,9 @@ def links(members: list[tuple[int, bytes]], percent: int = PERCENT) -> list[tupl
     return edges
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``; linked are documents that share at least ``percent`` of
+    their distinct ``shingle``-word shingles.
 
     Null and empty texts have no shingles and are linked with nothing, each its own component. ``component_id`` is the smallest
     ``doc_id`` reachable by links, through equal texts too. Ids must be integers. Rows that share one are placed by their own text,
@@ -303,28 +306,28 @@ def near_copies(docs: DataFrame) -> DataFrame:
     least = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = max(8, math.ceil(docs.count() / DOCS_PER_RANGE))
-    told = cut_lineage(prefixes(rows, ranges, common_shingles(rows, ranges)))
+    told = cut_lineage(prefixes(rows, ranges, common_shingles(rows, ranges, shingle), shingle, percent))
     classes = cut_lineage(told.filter("n > 0").groupBy("mark").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
 
     lists = shared_lists(classes, ranges)
     described = lists.join(classes.select("rep", "n", "bitmap"), "rep")
     two = ["a", "b"], [pa.int64(), pa.int64()]
-    perhaps = _grouped(described, ["list"], may_link, ["rep", "n", "bitmap"], "a long, b long", *two)
+    perhaps = _grouped(described, ["list"], functools.partial(may_link, percent=percent), ["rep", "n", "bitmap"], "a long, b long", *two)
     placed = components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("block"))
     members = cut_lineage(placed.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"))
-    linked = _linked(rows, members)
+    linked = _linked(rows, members, shingle, percent)
     placed = components(linked).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
     named = classes.select("mark", "rep").join(placed, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
     out = told.select("doc_id", "mark", "n").join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(*[F.nullif(F.col(c), least).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
-def _linked(rows: DataFrame, members: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Spanning links ``(a, b)`` of each block."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, found in _flat(batch.column(3)):
+            for a, found in _flat(batch.column(3), k):
                 packed = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(found)).columns[:3], packed], names=["block", "part", "rep", "set"])
 
@@ -337,4 +340,4 @@ def _linked(rows: DataFrame, members: DataFrame) -> DataFrame:
         F.least(j, "_own").alias("i"), F.greatest(j, "_own").alias("j")))).alias("part"), "rep", "text").select(
         "block", (F.col("part.i").cast("long") * (1 << 31) + F.col("part.j")).alias("part"), "rep", "text")
     packed = dealt.mapInArrow(sets, "block long, part long, rep long, set binary")
-    return _grouped(packed, ["block", "part"], links, ["rep", "set"], "a long, b long", ["a", "b"], [pa.int64(), pa.int64()])
+    return _grouped(packed, ["block", "part"], functools.partial(links, percent=percent), ["rep", "set"], "a long, b long", ["a", "b"], [pa.int64(), pa.int64()])

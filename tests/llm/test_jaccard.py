@@ -91,3 +91,34 @@ def test_divide_skip_and_bitmaps_against_all_pairs(seed):
     assert classes(jaccard.links([(i, s.tobytes()) for i, s in enumerate(sets)])) == classes(linked)
     perhaps = classes(jaccard.may_link([(i, len(s), jaccard._bitmap(s)) for i, s in enumerate(sets)]))
     assert all(any(c <= p for p in perhaps) for c in classes(linked))
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_large_lists_and_blocks_in_parts(docs, words, rounds, monkeypatch):
+    """Parts of two members, so that most links are found in later rounds or at the end."""
+    monkeypatch.setattr(jaccard, "MEMBERS_PER_TASK", 2)
+    monkeypatch.setattr(jaccard, "SHINGLES_PER_TASK", 100)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    rows = corpus(words, 5)
+    assert sorted(map(tuple, jaccard.near_copies(docs(rows)).collect())) == expected(rows)
+
+
+def test_a_group_of_edited_copies_is_not_compared_as_all_pairs(docs, words, monkeypatch):
+    """What goes to the tasks grows with the group, not with its square."""
+    monkeypatch.setattr(jaccard, "SHINGLES_PER_TASK", 2_000)
+    real, sent = jaccard._grouped, []
+
+    def counted(rows, keys, work, columns, *more):
+        if "set" in columns:
+            sent.append(rows.count())
+        return real(rows, keys, work, columns, *more)
+
+    monkeypatch.setattr(jaccard, "_grouped", counted)
+    base, rows = words(200, 77, 4000), []
+    for i in range(80):
+        copy = list(base)
+        copy[2 * i] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    got = jaccard.near_copies(docs(rows)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 80
+    assert sum(sent) <= 4 * 80  # pairs of parts sent each of the 80 16 times

@@ -9,7 +9,10 @@ Which documents share at least ``percent`` of their word shingles? No step looks
    gives a spanning forest of the pairs that pass; its components over all lists are the blocks in which links can lie.
 4. Each class goes to its block with its whole set once. There the block's inverted index is searched for every class: short lists
    are merged, the longest ones probed by binary search (DivideSkip), and overlaps counted exactly. A block gives a spanning forest
-   of its links. A block too large for one task is dealt out by pairs of parts.
+   of its links.
+
+A list or block too large for one task is dealt out by a hash of the member, so that every task joins what it has; what is still
+apart is dealt out again by other hashes, and in the end what lies outside the largest component meets all others (:func:`_forest`).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.llm.common import small_side
 from threadloom.llm.components import components
@@ -41,6 +44,10 @@ DOCS_PER_RANGE = 4_096
 FLUSH, FLUSH_PER_RANGE = 500_000, 64
 #: Shingles, 8 bytes each, of the classes that a task searches; its arrays need some ten times that.
 SHINGLES_PER_TASK = 1 << 20
+#: Members of a list that a task pairs.
+MEMBERS_PER_TASK = 1 << 13
+#: Times that a large list or block is dealt out by hashes before what is left apart meets all others.
+ROUNDS = 3
 BROADCAST_MEMBERS = 200_000
 #: Binary searches made at once.
 PROBES = 1 << 20
@@ -216,13 +223,39 @@ def _folded(words: np.ndarray, size: int) -> np.ndarray:
     return words
 
 
-def may_link(members: list[tuple[int, int, bytes]], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of ``(rep, n, bitmap)`` that sizes and bitmaps don't rule out."""
+class _Joined:
+    """Labels of members, equal for those that are joined; a join renames the smaller side."""
+
+    def __init__(self, known: list[int]):
+        _, self.label = np.unique(np.array(known, np.int64), return_inverse=True)
+        self.members: list[list[int]] = [[] for _ in range(int(self.label.max()) + 1)]
+        for i, x in enumerate(self.label.tolist()):
+            self.members[x].append(i)
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
+
+
+def may_link(members: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``(rep, n, bitmap[, label])`` that sizes and bitmaps don't rule out.
+
+    Members of equal labels count as joined already; without labels all are apart.
+    """
     members.sort(key=lambda m: (m[1], m[0]))
     sizes = np.array([m[1] for m in members])
     maps = [np.frombuffer(m[2], np.uint64) for m in members]
     width = np.array([len(m) for m in maps])
-    label, edges = np.arange(len(members)), []
+    joined, edges = _Joined([m[3] if len(m) > 3 else m[0] for m in members]), []
+    label = joined.label
     folded: dict[int, np.ndarray] = {}
     for i in range(len(members) - 1):
         n = int(sizes[i])
@@ -241,18 +274,17 @@ def may_link(members: list[tuple[int, int, bytes]], percent: int = PERCENT) -> l
         # With overlap o: apart <= n + m - 2 o, and a link needs 100 o >= percent (n + m - o).
         overlap = (n + sizes[others] - apart) // 2
         for j in others[overlap * (100 + percent) >= percent * (n + sizes[others])].tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
+            if joined.join(i, j):
                 edges.append((members[i][0], members[j][0]))
     return edges
 
 
-def links(members: list[tuple[int, bytes]], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs of ``(rep, set)``, by DivideSkip over an inverted index of the members.
+def links(members: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs of ``(rep, set[, label])``, by DivideSkip over an inverted index of the members.
 
     Sets come in order of size. Of a set x and a later y a link takes an overlap of ``t(x, y) >= t(x, x)``. The ``l`` longest lists of x
     are set aside; then y is at least ``t(x, y) - l`` times in the others, which are merged. What passes is looked up in the long
-    lists by binary search, all of it at once.
+    lists by binary search, all of it at once. Members of equal labels count as joined already; without labels all are apart.
     """
     members.sort(key=lambda m: (len(m[1]), m[0]))
     sets = [np.frombuffer(m[1], np.uint64) for m in members]
@@ -263,7 +295,8 @@ def links(members: list[tuple[int, bytes]], percent: int = PERCENT) -> list[tupl
     keys, start, which = np.unique(tokens, return_index=True, return_inverse=True)
     stop = np.append(start[1:], len(tokens))
     postings = which * count + owner  # sorted: list by list, member by member
-    label, edges = np.arange(count), []
+    joined, edges = _Joined([m[2] if len(m) > 2 else m[0] for m in members]), []
+    label = joined.label
     for i, found in enumerate(sets[:-1]):
         n = int(sizes[i])
         upto = int(np.searchsorted(sizes, n * 100 // percent, "right"))
@@ -288,8 +321,7 @@ def links(members: list[tuple[int, bytes]], percent: int = PERCENT) -> list[tupl
             places = np.minimum(np.searchsorted(postings, asked), len(postings) - 1)
             overlap[a:a + step] += (postings[places] == asked).reshape(len(long_), -1).sum(0)
         for j in (others[overlap >= need[others]] + i + 1).tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
+            if joined.join(i, j):
                 edges.append((members[i][0], members[j][0]))
     return edges
 
@@ -310,34 +342,70 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     classes = cut_lineage(told.filter("n > 0").groupBy("mark").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
 
-    lists = shared_lists(classes, ranges)
-    described = lists.join(classes.select("rep", "n", "bitmap"), "rep")
-    two = ["a", "b"], [pa.int64(), pa.int64()]
-    perhaps = _grouped(described, ["list"], functools.partial(may_link, percent=percent), ["rep", "n", "bitmap"], "a long, b long", *two)
-    placed = components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("block"))
-    members = cut_lineage(placed.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"))
-    linked = _linked(rows, members, shingle, percent)
+    lists = cut_lineage(shared_lists(classes, ranges).select(F.col("list").alias("group"), "rep", F.lit(1).cast("long").alias("weight")))
+    described = classes.select("rep", "n", "bitmap")
+    two = "a long, b long", ["a", "b"], [pa.int64(), pa.int64()]
+    perhaps = _forest(lists, MEMBERS_PER_TASK, lambda dealt: _grouped(
+        dealt.join(described, "rep"), ["group", "part"], functools.partial(may_link, percent=percent), ["rep", "n", "bitmap", "label"], *two))
+    placed = components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+    members = cut_lineage(placed.join(classes.groupBy("rep").agg(F.max("n").alias("weight")), "rep").select("group", "rep", "weight"))
+    linked = _forest(members, SHINGLES_PER_TASK, lambda dealt: _grouped(
+        _with_sets(rows, dealt, shingle), ["group", "part"], functools.partial(links, percent=percent), ["rep", "set", "label"], *two))
     placed = components(linked).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
     named = classes.select("mark", "rep").join(placed, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
     out = told.select("doc_id", "mark", "n").join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select(*[F.nullif(F.col(c), least).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
-def _linked(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning links ``(a, b)`` of each block."""
+def _forest(members: DataFrame, capacity: int, within) -> DataFrame:
+    """Spanning edges ``(a, b)`` of all groups of ``members (group, rep, weight)``.
+
+    ``within`` takes ``(group, part, rep, label)`` and gives spanning edges of the pairs it finds in each part; members of equal labels
+    are joined already. A group of more than ``capacity`` is dealt out once over its parts by a hash of the member. Only groups with
+    members still apart are dealt again, by another hash. After ``ROUNDS`` times the members outside of the group's largest component,
+    in blocks, meet all members, so every pair that is apart is looked at, and no pair inside the largest component is.
+    """
+    def number(total: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(total / capacity)).cast("int")
+
+    def mixed(of: str, turn: int) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(turn)), of)
+
+    sizes = members.groupBy("group").agg(F.sum("weight").alias("_total")).filter(F.col("_total") > capacity)
+    large = cut_lineage(sizes.select("group", number(F.col("_total")).alias("_parts")))
+    parts = members.join(small_side(large, BROADCAST_MEMBERS), "group", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    found = within(parts.select("group", mixed("_parts", 0).alias("part"), "rep", F.col("rep").alias("label")))
+    if large.isEmpty():
+        return found
+    found, open_ = cut_lineage(found), cut_lineage(parts.filter("_parts > 1"))
+    for turn in range(1, ROUNDS + 1):
+        label = components(found).select(F.col("node").alias("rep"), "label")
+        told = open_.select("group", "rep", "weight", "_parts").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        by_label = told.groupBy("group", "label").agg(F.sum("weight").alias("_of"))
+        largest = by_label.groupBy("group").agg(F.max_by("label", F.struct("_of", "label")).alias("_main"), F.count(F.lit(1)).alias("_labels"),
+                                                (F.sum("_of") - F.max("_of")).alias("_rest")).filter("_labels > 1")
+        open_ = cut_lineage(told.join(largest, "group"))
+        if open_.isEmpty():
+            return found
+        if turn < ROUNDS:
+            found = cut_lineage(found.unionByName(within(open_.select("group", mixed("_parts", turn).alias("part"), "rep", "label"))))
+    halves = open_.select("group", "rep", "label", (F.col("label") != F.col("_main")).alias("_out"), (F.col("_parts") * 2).alias("_all"), number(F.col("_rest") * 2).alias("_outer"))
+    placed = halves.withColumns({"_i": mixed("_all", ROUNDS), "_o": mixed("_outer", ROUNDS + 1)})
+    to = lambda outer, own: outer.cast("long") * (1 << 31) + own
+    met = F.transform(F.sequence(F.lit(0), F.col("_outer") - 1), lambda o: to(o, F.col("_i")))
+    meets = F.when(F.col("_out"), F.transform(F.sequence(F.lit(0), F.col("_all") - 1), lambda i: to(F.col("_o"), i))).otherwise(F.array().cast("array<bigint>"))
+    return found.unionByName(within(placed.select("group", F.explode(F.array_union(met, meets)).alias("part"), "rep", "label")))
+
+
+def _with_sets(rows: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
+    """``(group, part, label, rep, set)``: the shingles of each member beside where it goes; a text is split once, and sent as its set."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, found in _flat(batch.column(3), k):
+            for a, found in _flat(batch.column(2), k):
                 packed = pa.array([s.tobytes() for s in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(found)).columns[:3], packed], names=["block", "part", "rep", "set"])
-
-    sizes = members.groupBy("block").agg(F.sum("n").alias("_n"))
-    number = F.when(F.col("_n") <= SHINGLES_PER_TASK, 1).otherwise(F.ceil(F.col("_n") / SHINGLES_PER_TASK * 2)).cast("int")
-    parts = members.join(sizes, "block").withColumn("_parts", number).withColumn("_own", F.pmod(F.xxhash64("rep"), "_parts").cast("int"))
-    marked = cut_lineage(parts.select("rep", "block", "_parts", "_own"))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(small_side(marked, BROADCAST_MEMBERS), "rep")
-    dealt = texts.select("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(
-        F.least(j, "_own").alias("i"), F.greatest(j, "_own").alias("j")))).alias("part"), "rep", "text").select(
-        "block", (F.col("part.i").cast("long") * (1 << 31) + F.col("part.j")).alias("part"), "rep", "text")
-    packed = dealt.mapInArrow(sets, "block long, part long, rep long, set binary")
-    return _grouped(packed, ["block", "part"], functools.partial(links, percent=percent), ["rep", "set"], "a long, b long", ["a", "b"], [pa.int64(), pa.int64()])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(found)).columns[:2], packed], names=["rep", "to", "set"])
+
+    kind = "array<struct<group:bigint,part:bigint,label:bigint>>"
+    to = cut_lineage(dealt.groupBy("rep").agg(F.collect_list(F.struct("group", F.col("part").cast("long").alias("part"), "label")).alias("to")))
+    texts = rows.withColumnRenamed("doc_id", "rep").join(small_side(to, BROADCAST_MEMBERS), "rep").select("rep", "to", "text")
+    return texts.mapInArrow(sets, f"rep long, to {kind}, set binary").select("rep", F.explode("to").alias("_to"), "set").select("_to.*", "rep", "set")

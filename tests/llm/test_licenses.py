@@ -59,3 +59,27 @@ def test_needed_terms_bound_the_cosine():
     needed = licenses.needed_terms(weights, 0.75)
     norm = math.sqrt(sum(w * w for w in weights.values()))
     assert "a" in needed and math.sqrt(sum(w * w for t, w in weights.items() if t not in needed)) < 0.75 * norm
+
+
+def test_license_texts_and_wrapped_headers(files):
+    """Whole license files and headers over several comment lines, none of them in the test tables."""
+    import textwrap
+
+    texts = licenses.whole_texts()
+    gnu = "This file is part of X.\n\nX is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n\nX is distributed in the hope that it will be useful."
+
+    def header(mark, text):
+        return "\n".join(f"{mark} {x}".rstrip() for part in text.split("\n") for x in (textwrap.wrap(part, 60) or [""])) + "\nint main() { return 0; }\n"
+
+    rows = [(i, f"d{i}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + "\n".join(textwrap.wrap(text, 70))) for i, text in enumerate(texts.values())]
+    want = {f"d{i}/LICENSE": name for i, name in enumerate(texts)}
+    for path, name, text in (("h/1.c", "GPL-3.0", header(" *", gnu.format("General Public License", 3))), ("h/2.py", "GPL-2.0", header("#", gnu.format("General Public License", 2))),
+                             ("h/3.py", "LGPL-2.1", header("#", gnu.format("Lesser General Public License", "2.1"))), ("h/4.py", "AGPL-3.0", header("//", gnu.format("Affero General Public License", 3))),
+                             ("h/5.py", "BSD-2-Clause", header("#", texts["BSD-2-Clause"])), ("h/6.py", "BSD-3-Clause", header("//", texts["BSD-3-Clause"])),
+                             ("h/7.go", "Apache-2.0", header("//", licenses.HEADERS["Apache-2.0"] + "\n\n    http://www.apache.org/licenses/LICENSE-2.0"))):
+        rows.append((len(rows), path, text))
+        want[path] = name
+    rows += [(len(rows) + i, f"d{i}/sub/x.py", "code") for i in range(len(texts))]
+    got = {r.path: r for r in licenses.scan(files(rows)).collect()}
+    assert {p: got[p].license for p in want} == want
+    assert {got[f"d{i}/sub/x.py"].license: got[f"d{i}/sub/x.py"].how for i in range(len(texts))} == {name: "inherited" for name in texts}

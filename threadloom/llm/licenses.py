@@ -5,16 +5,24 @@ documents; terms that no template has weigh as if no document had them. A line i
 threshold. By the Cauchy-Schwarz bound such a line must hold one of the template's heaviest terms, those without which the rest
 of its norm stays below the threshold, so only lines with one of these are weighed.
 
-A file's own license is that of its best line. Files named as license files speak for their directory; a file without a license of
+Further segments are paragraphs and runs of comment lines, comment marks removed and lines joined, and the whole of license files.
+Paragraphs are weighed against the headers that licenses ask for (``HEADERS``), runs and whole files against whole license texts
+(``license_texts``). Here a term weighs ``(1 + ln tf) * (ln((1 + T) / (1 + tf_T)) + 1)`` with frequencies over the ``T`` templates of
+the kind, so that what tells licenses apart weighs most. A segment that reaches the threshold must hold so many terms of a template
+that their squares reach the square of the threshold, and one of its heaviest; others are not weighed.
+
+A file's own license is that of its best segment. Files named as license files speak for their directory; a file without a license of
 its own takes that of the nearest directory above that has one, by a join on the paths of its ancestors.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,10 +46,41 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_GNU = ("is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; "
+        "either version {1} of the License, or (at your option) any later version.")
+#: Paragraphs that licenses ask for at the head of files, and the first paragraph of short ones.
+HEADERS = {
+    "AGPL-3.0": "This program " + _GNU.format("Affero General Public License", 3),
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                  "You may obtain a copy of the License at",
+    "GPL-2.0": "This program " + _GNU.format("General Public License", 2),
+    "GPL-3.0": "This program " + _GNU.format("General Public License", 3),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+           "the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1": "This library " + _GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0": "This library " + _GNU.format("Lesser General Public License", 3),
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+           "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+           "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+               "You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+#: A comment mark at the start of a line.
+COMMENT = r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--)"
 #: Names, in lower case and without an ending, of files that speak for their directory.
 LICENSE_FILES = ("license", "licence", "copying", "notice")
 
 
+def whole_texts() -> dict[str, str]:
+    """Whole license texts by name. That of the AGPL is made from the GPL, which it repeats but for its names and section 13."""
+    texts = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = texts["GPL-3.0"].replace("GNU General", "GNU Affero General").replace("GNU GENERAL", "GNU AFFERO GENERAL") + (
+        " Remote Network Interaction. If you modify the Program, your modified version must prominently offer all users interacting with it remotely "
+        "through a computer network an opportunity to receive the Corresponding Source of your version from a network server at no charge.")
+    return texts
+
+
 def terms(text: str) -> Counter:
     return Counter(re.findall(TERM, text.lower()))
 
@@ -99,6 +138,72 @@ def scan_lines(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresh
         "doc_id", "mark", "license", "score")
 
 
+def _damped(templates: Mapping[str, str]) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
+    """Weights of each template's terms with length 1, and inverse frequencies of known and of unknown terms, over the templates."""
+    counts = {name: terms(text) for name, text in templates.items()}
+    seen = Counter(t for c in counts.values() for t in c)
+    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in seen.items()}
+    weights = {name: {t: (1 + math.log(n)) * idf[t] for t, n in c.items()} for name, c in counts.items()}
+    norms = {name: math.sqrt(sum(w * w for w in ws.values())) for name, ws in weights.items()}
+    return {name: {t: w / norms[name] for t, w in ws.items()} for name, ws in weights.items()}, idf, math.log(1 + len(counts)) + 1
+
+
+def least_terms(weights: Mapping[str, float], threshold: float) -> int:
+    """The fewest terms of a template, of length 1, that a text at the threshold has: their squares reach that of the threshold."""
+    total, n = 0.0, 0
+    for w in sorted(weights.values(), reverse=True):
+        if total >= threshold * threshold * (1 - 1e-9):
+            break
+        total, n = total + w * w, n + 1
+    return n
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({TERM})"))
+
+
+def scan_segments(segments: DataFrame, templates: Mapping[str, str], threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, mark, license, score)`` of all templates at the threshold for ``segments (doc_id, mark, said)``, in lower case."""
+    weights, idf, unknown = _damped(templates)
+    listed = lambda ts: F.split(F.lit(" ".join(ts)), " ")
+    needed = sorted(set().union(*(needed_terms(w, threshold) for w in weights.values())))
+    least = min(least_terms(w, threshold) for w in weights.values())
+    held = segments.select("doc_id", "mark", _words(F.col("said")).alias("_words")).filter(
+        (F.size("_words") >= least) & F.arrays_overlap("_words", listed(needed))).filter(
+        F.size(F.array_intersect("_words", listed(sorted(idf)))) >= least)
+    # A segment is known by its words; equal ones of a text are one.
+    numbered = held.withColumn("_seg", F.xxhash64("_words")).dropDuplicates(["doc_id", "mark", "_seg"])
+    counted = numbered.select("doc_id", "mark", "_seg", F.explode("_words").alias("term")).groupBy("doc_id", "mark", "_seg", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    one = segments.sparkSession.range(1)  # both sides have as many rows as the templates have terms
+    idf_rows = one.select(F.explode(F.from_json(F.lit(json.dumps(idf)), "map<string,double>")).alias("term", "_idf"))
+    template_rows = one.select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,map<string,double>>")).alias("license", "_ws")).select(
+        "license", F.explode("_ws").alias("term", "_w2"))
+    weighed = counted.join(F.broadcast(idf_rows), "term", "left").withColumn("_w", (1 + F.log("_tf")) * F.coalesce("_idf", F.lit(unknown)))
+    norms = weighed.groupBy("doc_id", "mark", "_seg").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    dots = weighed.join(F.broadcast(template_rows), "term").groupBy("doc_id", "mark", "_seg", "license").agg(F.sum(F.col("_w") * F.col("_w2")).alias("_dot")).select(
+        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("_seg").alias("_s"), "license", "_dot")
+    return norms.join(dots, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")) & (F.col("_seg") == F.col("_s"))).select(
+        "doc_id", "mark", "license", F.round(F.col("_dot") / F.col("_norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+
+
+def scan_blocks(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, mark, license, score)`` of paragraphs, runs of comment lines and whole license files at the threshold."""
+    text = F.coalesce("text", F.lit(""))
+    read = files.select("doc_id", F.xxhash64(text).alias("mark"), lower_ascii(text).alias("_text"), F.coalesce(_speaks(F.col("path")), F.lit(False)).alias("_speaks"))
+    plain = F.regexp_replace("_text", COMMENT, "")
+    paragraphs = read.select("doc_id", "mark", F.explode(F.split(plain, r"\n[ \t\r]*\n")).alias("said"))
+    # What stands between lines without a comment mark.
+    code = r"(?m)^(?![ \t]*(?://|/\*|\*|#|--|;|%|<!--))[ \t]*[^ \t\r\n].*$"
+    runs = read.select("doc_id", "mark", F.explode(F.split("_text", code)).alias("said"))
+    whole = read.filter("_speaks").select("doc_id", "mark", F.col("_text").alias("said"))
+    return scan_segments(paragraphs, HEADERS, threshold).unionByName(scan_segments(runs.unionByName(whole), whole_texts(), threshold))
+
+
+def _speaks(path: Column) -> Column:
+    """Is it a file that speaks for its directory?"""
+    return F.lower(F.regexp_extract(path, r"([^/.]*)[^/]*\z", 1)).isin(*LICENSE_FILES)
+
+
 def directory(path: Column) -> Column:
     """The part before the last ``/``; empty at the top."""
     return F.regexp_extract(path, r"(?s)\A(.*)/", 1)
@@ -107,18 +212,18 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, path, license, how, score, from_path)``, one row per row of ``files (doc_id, path, text)``.
 
-    ``how`` is ``own``, ``inherited`` or ``none``; ``score`` is the cosine of the line behind the license, ``from_path`` the file it
+    ``how`` is ``own``, ``inherited`` or ``none``; ``score`` is the cosine of the segment behind the license, ``from_path`` the file it
     stands in. Of several license files in a directory the best scored speaks, then the first by path. Null and empty texts have no
     license of their own; a null path is a file without a directory, which inherits nothing. Rows that share an id are told apart by
     text. An empty table gives no rows; other columns are not used.
     """
-    found = cut_lineage(scan_lines(files, templates, threshold))
+    best = scan_lines(files, templates, threshold).unionByName(scan_blocks(files, threshold))
+    found = cut_lineage(best.groupBy("doc_id", "mark").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license")))
     own = found.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "license", "score")
     rows = files.select("doc_id", "path", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     told = cut_lineage(rows.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left").select("doc_id", "path", "license", "score"))
 
-    name = F.lower(F.regexp_extract("path", r"([^/.]*)[^/]*\z", 1))
-    spoken = told.filter(F.col("license").isNotNull() & name.isin(*LICENSE_FILES)).groupBy(directory(F.col("path")).alias("_dir")).agg(
+    spoken = told.filter(F.col("license").isNotNull() & _speaks(F.col("path"))).groupBy(directory(F.col("path")).alias("_dir")).agg(
         F.min_by(F.struct("license", "score", "path"), F.struct(-F.col("score"), "path")).alias("_from"))
     spoken = cut_lineage(spoken)
 

@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators and the SQL that gives the same rows where SQL can."""
+"""The registered queries of the operators and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, jaccard, langid, leaks, licenses, mixing, substrings, tokens, urls
+from threadloom.llm import chats, exact, jaccard, langid, leaks, licenses, mixing, phrases, substrings, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -186,3 +186,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = 0 if ends["a"] is None else (ends["a"] + ends["b"]) // 2
     found = exact.exact_groups(docs, F.col("doc_id") <= middle)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w[i:i + k - 1] AS ws FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) x(k) WHERE len(w) >= k)),
+f AS (SELECT lang, ws, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, ws, f AS a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+s AS (SELECT c.lang, c.ws, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:c.k]
+  JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.k + 1:len(c.ws)] JOIN t ON t.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+i AS (SELECT f.lang, f.ws[z0:z0 + size - 1] AS ws, max(f.f) AS f FROM f, range(2, 5) z(size), range(1, 5) y(z0) WHERE size < len(f.ws) AND z0 + size - 1 <= len(f.ws) GROUP BY ALL),
+o AS (SELECT m.* FROM m LEFT JOIN i ON i.lang = m.lang AND i.ws = m.ws WHERE i.f IS NULL OR i.f < m.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(ws, ' '))) AS rank, array_to_string(ws, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+  n::BIGINT AS n, score::BIGINT AS score FROM o QUALIFY rank <= 2000"""
+
+
+@query("op11_phrases", PHRASE_SQL)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, jaccard, langid, leaks, licenses, mixing, phrases, substrings, tokens, urls
+from threadloom.llm import chats, exact, jaccard, langid, leaks, licenses, mixing, phrases, repairs, substrings, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -207,3 +207,52 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 @query("op11_phrases", PHRASE_SQL)
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """``crc32`` of an ASCII string, half a byte at a time; DuckDB has no such function."""
+    def shifted(half: int) -> int:
+        for _ in range(4):
+            half = half >> 1 ^ (0xEDB88320 if half & 1 else 0)
+        return half
+
+    half = "[" + ", ".join(str(shifted(i)) for i in range(16)) + "]::BIGINT[]"
+    low = f"xor(({half})[1 + (xor(c, b) & 15)], c >> 4)"
+    both = f"xor(({half})[1 + (xor({low}, b >> 4) & 15)], ({low}) >> 4)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {both}), 4294967295)"
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT conv_id, turn, role, text, """ + _crc32_sql("key") + r""" % 20 AS code FROM z),
+e AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE code <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p,
+  NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS broken FROM e),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS again FROM o),
+g AS (SELECT *, blank OR again > 1 AS forced, left(lag(role) OVER (PARTITION BY conv_id ORDER BY p), 1) || left(role, 1) AS two FROM h),
+ins(x, y, c, s, l) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']),
+  (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])),
+mv(y, s, role, z, c, who) AS (VALUES (0, 'D', '', 0, 3, ''), (1, 'D', '', 1, 3, ''), (2, 'D', '', 2, 3, ''), (3, 'D', '', 3, 3, ''), (0, 'K', 's', 1, 0, ''), (0, 'K', 'u', 2, 0, ''), (1, 'K', 'u', 2, 0, ''),
+  (2, 'K', 'a', 3, 0, ''), (3, 'K', 'u', 2, 0, ''), (0, 'R', '', 2, 2, 'user'), (1, 'R', '', 2, 2, 'user'), (2, 'R', '', 3, 2, 'assistant'), (3, 'R', '', 2, 2, 'user')),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS p, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM g
+  UNION ALL SELECT conv_id, p, state, b.c, b.a, b.l FROM (SELECT conv_id, p, state, arg_min({'c': cost, 'a': audit, 'l': lines}, {'c': cost, 'a': audit}) AS b FROM (
+    SELECT r.conv_id, g.p, mv.z AS state, r.cost + ins.c + mv.c + CASE WHEN mv.s <> 'D' AND g.broken THEN 1 ELSE 0 END AS cost, r.audit || ins.s || mv.s AS audit,
+      list_concat(list_concat(r.lines, ins.l), CASE mv.s WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [g.role || ':' || g.text] ELSE [mv.who || ':' || g.text] END) AS lines
+    FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.p = r.p + 1 JOIN ins ON ins.x = r.state
+    JOIN mv ON mv.y = ins.y AND (mv.s = 'D' OR NOT g.forced AND (mv.s = 'R' OR mv.role = left(g.role, 1)))) GROUP BY conv_id, p, state)),
+n AS (SELECT conv_id, count(*) AS n, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again > 1) AS duplicate,
+  count(*) FILTER (NOT blank AND again = 1 AND broken) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+f AS (SELECT r.conv_id, arg_min({'c': r.cost + l.c, 'a': r.audit || l.s, 'l': list_concat(r.lines, l.l)}, {'c': r.cost + l.c, 'a': r.audit || l.s}) AS b FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.n = r.p
+  JOIN (VALUES (0, 0, '', []::VARCHAR[]), (1, 4, 'II', ['user:', 'assistant:']), (2, 2, 'I', ['assistant:']), (3, 0, '', [])) l(state, c, s, l) ON l.state = r.state GROUP BY r.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+@query("op13_repairs", REPAIR_SQL)
+def op13_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return repairs.repair(repairs.damaged(said), said)

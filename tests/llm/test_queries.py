@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_its_query():
     names = entry_points.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")

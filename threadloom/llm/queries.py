@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chats, exact, jaccard, langid, leaks, licenses, mixing, phrases, repairs, substrings, tokens, urls
+from threadloom.llm import chats, exact, extraction, jaccard, langid, leaks, licenses, mixing, phrases, repairs, substrings, tokens, urls
 from threadloom.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from threadloom.session import shared_folder
 
@@ -209,6 +209,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op12_html_text")
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).drop("host", "wrapper")
+
+
 def _crc32_sql(text: str) -> str:
     """``crc32`` of an ASCII string, half a byte at a time; DuckDB has no such function."""
     def shifted(half: int) -> int:

@@ -57,19 +57,26 @@ def test_empty_and_rare(spark, docs):
 
 def test_filters_lose_nothing():
     rng = np.random.default_rng(3)
-    for n, bits in ((2, 5), (5, 17), (5, 25), (3, 31), (2, 32), (4, 12)):
-        ids = [rng.integers(1, min(1 << bits, 40), 5_000) for _ in range(n)]
-        lanes = quotient.permuted(quotient.packed(ids, bits))
-        assert len(lanes) == quotient.lanes_of(n, bits)
-        back = quotient.unpacked(quotient.restored(lanes), n, bits)
+    for n, bits in ((2, 5), (5, 17), (5, 25), (3, 31), (2, 32), (4, 12), (4, 16), (2, 1), (1, 64)):
+        wide = quotient.widths(n, bits)
+        ids = [rng.integers(1, min(1 << min(bits, 62), 40), 5_000) if bits > 1 else rng.integers(0, 2, 5_000) for _ in range(n)]
+        lanes = quotient.permuted(quotient.packed(ids, bits), wide)
+        assert all(int(lane.max()) < 1 << w for lane, w in zip(lanes, wide))
+        back = quotient.unpacked(quotient.restored(lanes, wide), n, bits)
         assert all((a == b).all() for a, b in zip(ids, back))
-        halves = [quotient.encode(*quotient.counted([lane[s] for lane in lanes])) for s in (slice(0, 1000), slice(1000, None))]
-        keys, counts = quotient.merged([*halves, quotient.encode([lane[:0] for lane in lanes], np.zeros(0, np.int64)), *[halves[0]] * 300])
-        told = dict(zip(zip(*(c.tolist() for c in quotient.unpacked(quotient.restored(keys), n, bits))), counts.tolist()))
+        halves = [quotient.encode(*quotient.counted([lane[s] for lane in lanes]), wide) for s in (slice(0, 1000), slice(1000, None))]
+        keys, counts = quotient.merged([*halves, quotient.encode([lane[:0] for lane in lanes], np.zeros(0, np.int64), wide), *[halves[0]] * 300])
+        told = dict(zip(zip(*(c.tolist() for c in quotient.unpacked(quotient.restored(keys, wide), n, bits))), counts.tolist()))
         want = Counter(zip(*(c.tolist() for c in ids)))
         want.update({k: 300 * v for k, v in Counter(zip(*(c[:1000].tolist() for c in ids))).items()})
         assert told == want
-        assert all((a[1:] >= a[:-1]).all() for a in keys[:1])
+        assert (keys[0][1:] >= keys[0][:-1]).all()
+
+
+def test_every_value_has_a_place_of_its_own():
+    for width in (1, 2, 3, 8, 13):
+        values = np.arange(1 << width, dtype=np.uint64)
+        assert sorted(quotient.permuted([values], [width])[0].tolist()) == values.tolist()
 
 
 def test_equal_first_lanes_are_told_apart():

@@ -30,7 +30,7 @@ WORDS_AT_ONCE = 2_000_000
 #: Frequent pairs (8 or 16 bytes each) told to every task up to this many; with more, longer phrases are counted without that check.
 PAIRS_TOLD = 4_000_000
 #: Runs held by a task before they are sorted into filters.
-RUNS_HELD = 2_000_000
+RUNS_HELD = 4_000_000
 #: Runs that one range of quotients stands for at most, on average.
 RUNS_PER_RANGE = 2_000_000
 
@@ -146,9 +146,10 @@ def frequent_runs(ids: DataFrame, sizes: list[int], bits: int, ranges: int, leas
             rows = []
             for n, parts in held.items():
                 lanes, counts = quotient.counted([np.concatenate(c) for c in zip(*parts)])
-                first = lanes[0] >> np.uint64(32)
-                edges = np.searchsorted(first, np.array([-(-i * (1 << 32) // ranges) for i in range(ranges + 1)], np.uint64))
-                rows += [(n, i, quotient.encode([lane[x:y] for lane in lanes], counts[x:y])) for i, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if y > x]
+                wide = quotient.widths(n, bits)
+                inner = np.array([-(-i * (1 << wide[0]) // ranges) for i in range(1, ranges)], np.uint64)
+                edges = [0, *np.searchsorted(lanes[0], inner).tolist(), len(counts)]
+                rows += [(n, i, quotient.encode([lane[x:y] for lane in lanes], counts[x:y], wide)) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
             held.clear()
             for at in range(0, len(rows), 256):
                 size, place, raw = zip(*rows[at:at + 256])
@@ -172,7 +173,7 @@ def frequent_runs(ids: DataFrame, sizes: list[int], bits: int, ranges: int, leas
         n = int(pdf["n"].iloc[0])
         lanes, counts = quotient.merged(list(pdf["filter"]))
         enough = counts >= least
-        columns = quotient.unpacked(quotient.restored([lane[enough] for lane in lanes]), n, bits)
+        columns = quotient.unpacked(quotient.restored([lane[enough] for lane in lanes], quotient.widths(n, bits)), n, bits)
         return pd.DataFrame({"ids": list(np.stack(columns, 1)) if len(columns[0]) else [], "f": counts[enough]})
 
     return ids.select("ids").mapInArrow(count, "n int, range int, filter binary").groupBy("n", "range").applyInPandas(merge, "ids array<long>, f long")
@@ -184,7 +185,7 @@ def _runs(line: np.ndarray, sizes: list[int], bits: int, pairs) -> Iterator[tupl
     two = full[:-1] & full[1:]
     if pairs is not None and len(two):
         at = np.flatnonzero(two)
-        two[at] = _among(quotient.permuted(quotient.packed([line[at], line[at + 1]], bits)), pairs.value)
+        two[at] = _among(quotient.permuted(quotient.packed([line[at], line[at + 1]], bits), quotient.widths(2, bits)), pairs.value)
     whole = two
     for n in range(2, max(sizes) + 1):
         if n > 2:
@@ -193,7 +194,7 @@ def _runs(line: np.ndarray, sizes: list[int], bits: int, pairs) -> Iterator[tupl
             return
         if n in sizes:
             at = np.flatnonzero(whole)
-            yield n, quotient.permuted(quotient.packed([line[at + j] for j in range(n)], bits))
+            yield n, quotient.permuted(quotient.packed([line[at + j] for j in range(n)], bits), quotient.widths(n, bits))
 
 
 def _among(lanes: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
@@ -228,7 +229,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     if longest > 2:
         if pairs.limit(PAIRS_TOLD + 1).count() <= PAIRS_TOLD:
             both = pairs.select(F.col("ids")[0].alias("a"), F.col("ids")[1].alias("b")).toArrow()  # at most PAIRS_TOLD
-            lanes = quotient.permuted(quotient.packed([both["a"].to_numpy(), both["b"].to_numpy()], bits))
+            lanes = quotient.permuted(quotient.packed([both["a"].to_numpy(), both["b"].to_numpy()], bits), quotient.widths(2, bits))
             told = spark.sparkContext.broadcast([np.sort(lanes[0])])
         found = pairs.unionByName(cut_lineage(frequent_runs(ids, list(range(3, longest + 1)), bits, ranges, least, told)))
     places = found.select("ids", "f", F.posexplode("ids").alias("_at", "id")).join(words.select("id", "lang", "word"), "id")

@@ -1,10 +1,10 @@
 """Counting quotient filters over packed tuples of ids, without loss.
 
-A tuple of ids is packed into one or more 64-bit lanes, as many whole ids a lane as fit, and the lanes are permuted one to one.
-The top bits of the first permuted lane are the quotient, all other bits the remainder; both are kept, so every key can be read
-back and counts are exact. A filter holds one bit per quotient (whether any key has it), one bit per key (whether it is the last
-of its quotient), the remainders in order, and a byte per count, with larger counts aside. Because keys are in order of their
-permuted value, filters of many shards are merged like sorted runs.
+A tuple of ids is packed into one or more lanes of up to 64 bits, as many whole ids a lane as fit, and the lanes are permuted one to
+one within their widths. The top bits of the first permuted lane are the quotient, all other bits the remainder; both are kept, so
+every key can be read back and counts are exact. A filter holds one bit per quotient (whether any key has it), one bit per key
+(whether it is the last of its quotient), the remainders in order, and a byte per count, with larger counts aside. Because keys are
+in order of their permuted value, filters of many shards are merged like sorted runs.
 """
 
 from __future__ import annotations
@@ -15,29 +15,17 @@ import numpy as np
 
 from threadloom.llm.grams import spread
 
+_ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Odd, one per step of the permutation.
 _STEPS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(64))
 #: Counts from here on are stored aside.
 ASIDE = 255
 
 
-def _unshift(h: np.ndarray, by: int) -> np.ndarray:
-    out = h
-    for step in range(by, 64, by):
-        out = out ^ (h >> np.uint64(step))
-    return out
-
-
-def unspread(h: np.ndarray) -> np.ndarray:
-    """Undo :func:`grams.spread`."""
-    h = _unshift(h, 31) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    h = _unshift(h, 27) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return _unshift(h, 30)
-
-
-def lanes_of(n: int, bits: int) -> int:
-    """How many lanes a tuple of ``n`` ids of ``bits`` takes."""
-    return -(-n // (64 // bits))
+def widths(n: int, bits: int) -> list[int]:
+    """Bits of the lanes that a tuple of ``n`` ids of ``bits`` takes."""
+    each = 64 // bits
+    return [bits * min(each, n - at) for at in range(0, n, each)]
 
 
 def packed(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
@@ -60,24 +48,33 @@ def unpacked(lanes: list[np.ndarray], n: int, bits: int) -> list[np.ndarray]:
     return out
 
 
-def permuted(lanes: list[np.ndarray]) -> list[np.ndarray]:
-    """One to one; the bits of the first lane depend on all lanes."""
-    out = [spread(lane) for lane in lanes]
-    if len(out) > 1:
-        for step in range(2 * len(out)):
-            i = step % len(out)
-            out[i] = out[i] ^ spread(out[(i + 1) % len(out)] * _STEPS[step])
+def _mixed(lane: np.ndarray, width: int, back: bool = False) -> np.ndarray:
+    """Mix the bits of values below ``2 ** width`` among themselves. A shift by half the width or more undoes itself."""
+    mask, half = np.uint64((1 << width) - 1), np.uint64((width + 1) // 2)
+    factors = [pow(f, -1, 1 << 64) for f in reversed(_ODD)] if back else _ODD
+    for factor in factors:
+        lane = ((lane ^ (lane >> half)) * np.uint64(factor)) & mask
+    return lane ^ (lane >> half)
+
+
+def _crossed(lanes: list[np.ndarray], wide: list[int], steps) -> list[np.ndarray]:
+    out = list(lanes)
+    for step in steps:
+        i = step % len(out)
+        out[i] = out[i] ^ (spread(out[(i + 1) % len(out)] * _STEPS[step]) & np.uint64((1 << wide[i]) - 1))
     return out
 
 
-def restored(lanes: list[np.ndarray]) -> list[np.ndarray]:
+def permuted(lanes: list[np.ndarray], wide: list[int]) -> list[np.ndarray]:
+    """One to one; the bits of the first lane depend on all lanes."""
+    mixed = [_mixed(lane, w) for lane, w in zip(lanes, wide)]
+    return _crossed(mixed, wide, range(2 * len(wide))) if len(wide) > 1 else mixed
+
+
+def restored(lanes: list[np.ndarray], wide: list[int]) -> list[np.ndarray]:
     """Undo :func:`permuted`."""
-    out = list(lanes)
-    if len(out) > 1:
-        for step in reversed(range(2 * len(out))):
-            i = step % len(out)
-            out[i] = out[i] ^ spread(out[(i + 1) % len(out)] * _STEPS[step])
-    return [unspread(lane) for lane in out]
+    crossed = _crossed(lanes, wide, reversed(range(2 * len(wide)))) if len(wide) > 1 else lanes
+    return [_mixed(lane, w, True) for lane, w in zip(crossed, wide)]
 
 
 def counted(lanes: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -106,28 +103,33 @@ def counted(lanes: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[
     return [lane[at] for lane in lanes], sums.astype(np.int64)
 
 
-def encode(lanes: list[np.ndarray], counts: np.ndarray) -> bytes:
+def _bytes_of(lane: np.ndarray, size: int) -> bytes:
+    return lane.astype("<u8").view(np.uint8).reshape(len(lane), 8)[:, :size].tobytes()
+
+
+def encode(lanes: list[np.ndarray], counts: np.ndarray, wide: list[int]) -> bytes:
     """The bytes of a filter over distinct permuted keys in order."""
     n = len(counts)
-    quotient_bits = min(24, max(8, n.bit_length() // 8 * 8))
-    rest_bytes = (64 - quotient_bits) // 8
-    quotients = (lanes[0] >> np.uint64(64 - quotient_bits)).astype(np.int64)
-    occupied = np.zeros(1 << quotient_bits, bool)
+    base = int(lanes[0][0]) if n else 0
+    span = (int(lanes[0][-1]) - base).bit_length() if n else 0
+    rest = min(8, max(0, -(-(span - n.bit_length()) // 8)))  # bytes of a remainder: there are no more quotients than about keys
+    offsets = lanes[0] - np.uint64(base)
+    quotients = (offsets >> np.uint64(8 * rest)).astype(np.int64) if rest < 8 else np.zeros(n, np.int64)
+    occupied = np.zeros(int(quotients[-1]) + 1 if n else 0, bool)
     occupied[quotients] = True
     last = np.ones(n, bool)
     last[:-1] = quotients[1:] != quotients[:-1]
-    rest = lanes[0].astype("<u8").view(np.uint8).reshape(n, 8)[:, :rest_bytes]
     large = np.flatnonzero(counts >= ASIDE)
-    sections = [np.packbits(occupied).tobytes(), np.packbits(last).tobytes(), rest.tobytes(), *[lane.astype("<u8").tobytes() for lane in lanes[1:]],
+    sections = [np.packbits(occupied).tobytes(), np.packbits(last).tobytes(), _bytes_of(offsets, rest), *[_bytes_of(lane, -(-w // 8)) for lane, w in zip(lanes[1:], wide[1:])],
                 np.minimum(counts, ASIDE).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()]
-    head = json.dumps([n, quotient_bits, len(lanes)]).encode()
+    head = json.dumps([n, base, rest, len(occupied), wide]).encode()
     return len(head).to_bytes(2, "little") + head + b"".join(sections)
 
 
 def decode(raw: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     """The permuted keys in order and their counts."""
     size = int.from_bytes(raw[:2], "little")
-    n, quotient_bits, width = json.loads(raw[2:2 + size])
+    n, base, rest, quotients, wide = json.loads(raw[2:2 + size])
     at = 2 + size
 
     def take(length: int) -> np.ndarray:
@@ -135,18 +137,22 @@ def decode(raw: bytes) -> tuple[list[np.ndarray], np.ndarray]:
         at += length
         return np.frombuffer(raw, np.uint8, length, at - length)
 
-    occupied = np.flatnonzero(np.unpackbits(take((1 << quotient_bits) // 8)))
+    def numbers(each: int) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :each] = take(n * each).reshape(n, each)
+        return out.view("<u8").reshape(n)
+
+    occupied = np.flatnonzero(np.unpackbits(take(-(-quotients // 8)), count=quotients))
     last = np.unpackbits(take(-(-n // 8)), count=n).astype(np.int64)
-    rest_bytes = (64 - quotient_bits) // 8
-    rest = np.zeros((n, 8), np.uint8)
-    rest[:, :rest_bytes] = take(n * rest_bytes).reshape(n, rest_bytes)
-    run = np.cumsum(last) - last  # which quotient, among those in use
-    first = rest.view("<u8").reshape(n) | (occupied[run].astype(np.uint64) << np.uint64(64 - quotient_bits)) if n else np.zeros(0, np.uint64)
-    others = [take(8 * n).copy().view("<u8") for _ in range(width - 1)]
+    first = numbers(rest)
+    if n and rest < 8:
+        run = np.cumsum(last) - last  # which quotient, among those in use
+        first = first | (occupied[run].astype(np.uint64) << np.uint64(8 * rest))
+    others = [numbers(-(-w // 8)) for w in wide[1:]]
     counts = take(n).astype(np.int64)
     large = np.flatnonzero(counts == ASIDE)
     counts[large] = take(8 * len(large)).copy().view("<i8")
-    return [first, *others], counts
+    return [first + np.uint64(base), *others], counts
 
 
 def merged(filters: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:

@@ -36,6 +36,17 @@ def test_round_trip_of_files(spark, docs, shard_tokens):
     assert ids == {(r[0], r[2]) for r in got}
 
 
+def test_words_that_a_sum_of_powers_takes_for_equal(spark, docs):
+    """Thue-Morse words and their opposites have equal polynomial hashes modulo any power of two; other words of one length besides."""
+    rows = []
+    for n in (64, 1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        rows += [(len(rows), " ".join(["".join("ab"[b] for b in bits)] * 2)), (len(rows) + 1, "".join("ba"[b] for b in bits))]
+    path = shared_folder(spark, "tokens")
+    tokens.write_tokens(docs(rows), path, VOCABULARY)
+    assert sorted(map(tuple, tokens.read_digests(spark, path).collect()), key=lambda r: r[1]) == expected(rows)
+
+
 def test_a_cleared_word_store_gives_the_same_ids(monkeypatch):
     whole = tokens.WordTokenizer(VOCABULARY).encode(*utf8(pa.array(ODD, pa.string())), 1)
     monkeypatch.setattr(tokens, "WORDS_KEPT", 3)

@@ -10,13 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes handled at once; one longer text is handled alone.
 BLOCK = 1 << 18
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -26,10 +26,10 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: A value per byte; in the second table A-Z count as a-z.
-EXACT = spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+#: Bytes as they are, and with A-Z as a-z.
+EXACT = np.arange(256, dtype=np.uint8)
 FOLDED = EXACT.copy()
-FOLDED[65:91] = EXACT[97:123]
+FOLDED[65:91] += 32
 
 #: ``[^\x20\x09-\x0D]+``
 SPACED = np.ones(256, bool)
@@ -39,17 +39,6 @@ LETTERED = np.zeros(256, bool)
 LETTERED[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the hash base and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[i] = np.cumprod(row)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def give_back() -> None:
     """Return freed memory to the system at the end of a task; an idle Python worker would keep it beside the next stage."""
     pa.default_memory_pool().release_unused()
@@ -86,10 +75,38 @@ def blocks(data: np.ndarray, offsets: np.ndarray, most: int = BLOCK) -> Iterator
         a = b
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of eight
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of ``data``: their bytes, eight at a time, each mixed in by :func:`spread`, which no sum undoes."""
+    size = end - start
+    out = spread(size.astype(np.uint64) * _STEP)
+    short = np.flatnonzero(size <= LONG)
+    if len(data) < 8:
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+    ends = len(data) - 8
+    windows = np.lib.stride_tricks.sliding_window_view(data, 8)
+    for at in range(0, LONG, 8):
+        if at:
+            short = short[size[short] > at]
+        if not len(short):
+            break
+        # A window past the end of the data begins earlier and is shifted.
+        first = start[short] + at
+        late = np.maximum(first - ends, 0)
+        eight = windows[first - late].view("<u8").ravel() >> (late.astype(np.uint64) * np.uint64(8))
+        out[short] = spread((out[short] ^ (eight & _KEEP[np.minimum(size[short] - at, 8)])) + _STEP)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i]:end[i]].tobytes())
+    return out
+
+
 class Words:
     """The words of a block: ``start`` and ``end`` in bytes, ``doc``, the text each is in, ``hash``; ``first`` word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, values: np.ndarray = FOLDED):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, letters: np.ndarray = FOLDED):
         n, docs = len(data), len(offsets) - 1
         inside, edge = word_bytes[data], np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -100,11 +117,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(docs), np.diff(self.first))
         self.data, self.offsets = data, offsets
-        up, down = power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * up[:n], out=sums[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = spread((sums[self.end] - sums[self.start]) * down[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = word_hashes(letters[data], self.start, self.end)
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of the ``k`` words from each word on; it holds where :meth:`whole` does."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from threadloom.llm.grams import EXACT, Words, blocks, give_back, utf8
+from threadloom.llm.grams import blocks, give_back, utf8
 from threadloom.session import cut_lineage
 
 MAGIC = b"WAVE0001"
@@ -30,8 +30,8 @@ SHARD_TOKENS = 8_000_000
 PIECE = 1 << 16  # bytes of a plane compressed together
 STEP = 512  # bits between stored counts
 END_ID = 1
-#: Words remembered with their ids in each Python worker; the store is emptied when it is full.
-WORDS_KEPT = 400_000
+#: Words remembered with their ids in each Python worker (some 150 bytes each); of a full store the half that was met most often stays.
+WORDS_KEPT = 600_000
 #: Bytes encoded at once; each time the new words are merged into the store.
 BLOCK = 1 << 20
 #: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.
@@ -40,7 +40,7 @@ PIECES[[0x20, 0x0A]] = False
 
 
 class WordTokenizer:
-    """Ids of whole texts, each distinct piece between blanks given to the library once, known again by its 64-bit hash.
+    """Ids of whole texts, each distinct piece between blanks given to the library once and known again as a whole.
 
     Right for tokenizers that drop white space before they split and so never join two pieces, as those here do.
     """
@@ -54,11 +54,20 @@ class WordTokenizer:
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         if self.mark and any(s[0] != self.mark[0] for s in special):
             self.mark = None  # special tokens of several kinds: every word goes alone
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.places: dict[str, int] = {}
+        self.flat, self.ends, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        """Forget words that few blocks had."""
+        least = 2
+        while (self.met >= least).sum() > WORDS_KEPT // 2:
+            least *= 2
+        stays = self.met >= least
+        size = np.diff(self.ends)
+        self.flat = self.flat[np.repeat(stays, size)]
+        self.ends = np.concatenate([[0], np.cumsum(size[stays])])
+        kept = [w for w, s in zip(self.places, stays.tolist()) if s]  # words stand in order of their places
+        self.places, self.met = dict(zip(kept, range(len(kept)))), np.zeros(len(kept), np.int32) + 1
 
     def _coded(self, words: list[str], alone: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one behind the other, and how many each has.
@@ -76,53 +85,61 @@ class WordTokenizer:
             raise RuntimeError("the tokenizer joins words across a special token")
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        odd = np.array([self.mark is None or self.mark[0] in w for w in words])
+    def _learn(self, words: list[str]) -> None:
+        odd = [self.mark is None or self.mark[0] in w for w in words]
         for alone in (False, True):
-            some = np.flatnonzero(odd == alone)
-            if not len(some):
-                continue
-            ids, sizes = self._coded([words[i] for i in some.tolist()], alone)
-            order = np.argsort(keys[some])
-            fresh = keys[some][order]
-            at = np.searchsorted(self.keys, fresh)
-            self.places = np.insert(self.places, at, len(self.ends) - 1 + order)
-            self.keys = np.insert(self.keys, at, fresh)
-            self.flat = np.concatenate([self.flat, ids])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            some = [w for w, o in zip(words, odd) if o == alone]
+            if some:
+                ids, sizes = self._coded(some, alone)
+                self.places.update(zip(some, range(len(self.places), len(self.places) + len(some))))
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+                self.flat = np.concatenate([self.flat, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block of texts, each with ``end_id`` behind, and their number for each text."""
-        words = Words(data, offsets, PIECES, EXACT)
-        distinct, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == distinct[inside]
-        if not known.all():
-            if len(self.keys) + len(distinct) - known.sum() > WORDS_KEPT:
-                self._clear()
-                known[:] = False
-            raw, new = data.tobytes(), first[~known]
-            self._learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.end[new].tolist())])
-            at = np.searchsorted(self.keys, distinct)
+        words, first = pieces(data, offsets)
+        coded = words.dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in distinct if w not in self.places]
+        if new and len(self.places) + len(new) > WORDS_KEPT:
+            self._thin()
+            new = [w for w in distinct if w not in self.places]
+        if new:
+            self._learn(new)
+        place_of = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
+        self.met[place_of] += 1
+        flat, ends = self.flat, self.ends
         # A document's end is one more word, after its last.
         docs = len(offsets) - 1
-        place = np.empty(len(words.hash) + docs, np.int64)
-        last = words.first[1:] + np.arange(docs)
+        place = np.empty(len(which) + docs, np.int64)
+        last = first[1:] + np.arange(docs)
         plain = np.ones(len(place), bool)
         plain[last] = False
-        place[plain] = self.places[at][which]
+        place[plain] = place_of[which]
         start = np.zeros(len(place), np.int64)
         size = np.ones(len(place), np.int64)
-        start[plain] = self.ends[place[plain]]
-        size[plain] = self.ends[place[plain] + 1] - start[plain]
+        start[plain] = ends[place[plain]]
+        size[plain] = ends[place[plain] + 1] - start[plain]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = (self.flat if len(self.flat) else np.zeros(1, np.uint32))[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        ids = (flat if len(flat) else np.zeros(1, np.uint32))[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
         ids[upto[last]] = end_id
         return ids, np.diff(upto[last + 1], prepend=0)
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What stands between blanks and ends of lines, and the first such piece of each text, one more for the end."""
+    n = len(data)
+    inside, edge = PIECES[data], np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    start = np.flatnonzero(inside & (edge[:-1] | ~before))
+    end = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
+    places = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(data[inside])), np.searchsorted(start, offsets)
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 

@@ -77,3 +77,12 @@ def test_near_copies_by_five_words_and_80_percent(spark, docs, words):
     stage = dict(corpus_pipeline.STAGES)["near_copies"]
     assert sorted(r.doc_id for r in stage(spark, docs(rows), "").collect()) == [1, 3, 4]
     assert {r.doc_id: r.component_id for r in jaccard.near_copies(docs(rows)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_rows_that_share_an_id_are_kept_or_dropped_by_their_own_text(spark, docs, words):
+    a, b, c, d = (" ".join(words(60, seed)) for seed in (11, 12, 13, 14))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c + " more"), (8, b + " x"), (9, d), (9, d), (None, c), (None, None), (4, None), (4, ""), (6, "")]
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, docs(rows), "").collect()), key=str)
+    assert [r for r in got if r[1]] == sorted([(1, a), (5, b), (9, d), (None, c)], key=str)
+    assert sorted(str(r[0]) for r in got if not r[1]) in (["4", "4", "6", "None"], ["4", "6", "None"])

@@ -135,7 +135,7 @@ def _bitmap(tokens: np.ndarray) -> bytes:
 
 
 def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray], k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n, mark, prefix, bitmap)`` of every document; ``mark`` is equal for equal sets."""
+    """``(doc_id, text_mark, n, mark, prefix, bitmap)`` of every document; ``mark`` is equal for equal sets."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]
         perhaps = np.zeros(1 << 20, bool)
         perhaps[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
-            for a, sets in _flat(batch.column(1), k):
+            for a, sets in _flat(batch.column(2), k):
                 out, tokens = [], np.concatenate(sets)
                 rank = np.zeros(len(tokens), np.uint32)
                 some = np.flatnonzero(perhaps[(tokens & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -161,10 +161,10 @@ def prefixes(docs: DataFrame, ranges: int, common: tuple[np.ndarray, np.ndarray]
                     out.append((n, mark + n.to_bytes(4, "little"), first.tobytes(), _bitmap(found)))
                     place += n
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), *columns], names=["doc_id", "n", "mark", "prefix", "bitmap"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(sets)).columns[:2], *columns], names=["doc_id", "text_mark", "n", "mark", "prefix", "bitmap"])
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, mark binary, prefix binary, bitmap binary")
+    return docs.select("doc_id", "text_mark", "text").mapInArrow(run, "doc_id long, text_mark long, n long, mark binary, prefix binary, bitmap binary")
 
 
 def shared_lists(classes: DataFrame, ranges: int) -> DataFrame:
@@ -327,20 +327,24 @@ def links(members: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``; linked are documents that share at least ``percent`` of
-    their distinct ``shingle``-word shingles.
+    """``(doc_id, n_shingles, component_id, text_mark, stays)``, one row per row of ``docs``; linked are documents that share at least
+    ``percent`` of their distinct ``shingle``-word shingles.
 
     Null and empty texts have no shingles and are linked with nothing, each its own component. ``component_id`` is the smallest
-    ``doc_id`` reachable by links, through equal texts too. Ids must be integers. Rows that share one are placed by their own text,
-    and are one document where their id stands for a class. A null ``doc_id`` comes first: its row takes part, under the smallest
-    long, and a component with it is named null. An empty table gives no rows; other columns are not used.
+    ``doc_id`` reachable by links, through equal texts too. Ids must be integers. Rows that share one are documents of their own, told
+    apart by ``text_mark``, the ``xxhash64`` of the text; ``stays`` marks the rows with the smallest id and mark of each component, of equal rows all. A null
+    ``doc_id`` comes first: its row takes part, under the smallest long, and a component with it is named null. An empty table gives
+    no rows; other columns are not used.
     """
     least = F.lit(-(1 << 63))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.xxhash64(text).alias("text_mark"), text.alias("text"))
     ranges = max(8, math.ceil(docs.count() / DOCS_PER_RANGE))
     told = cut_lineage(prefixes(rows, ranges, common_shingles(rows, ranges, shingle), shingle, percent))
+    # A class has a number of its own, and the text of its first document stands for it.
     classes = cut_lineage(told.filter("n > 0").groupBy("mark").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
+        F.min(F.struct("doc_id", "text_mark")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")).withColumn(
+        "rep", F.monotonically_increasing_id()))
 
     lists = cut_lineage(shared_lists(classes, ranges).select(F.col("list").alias("group"), "rep", F.lit(1).cast("long").alias("weight")))
     described = classes.select("rep", "n", "bitmap")
@@ -348,13 +352,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     perhaps = _forest(lists, MEMBERS_PER_TASK, lambda dealt: _grouped(
         dealt.join(described, "rep"), ["group", "part"], functools.partial(may_link, percent=percent), ["rep", "n", "bitmap", "label"], *two))
     placed = components(perhaps).select(F.col("node").alias("rep"), F.col("label").alias("group"))
-    members = cut_lineage(placed.join(classes.groupBy("rep").agg(F.max("n").alias("weight")), "rep").select("group", "rep", "weight"))
+    members = cut_lineage(placed.join(classes.select("rep", F.col("n").alias("weight")), "rep").select("group", "rep", "weight"))
+    firsts = classes.select("rep", "first.doc_id", "first.text_mark")
     linked = _forest(members, SHINGLES_PER_TASK, lambda dealt: _grouped(
-        _with_sets(rows, dealt, shingle), ["group", "part"], functools.partial(links, percent=percent), ["rep", "set", "label"], *two))
-    placed = components(linked).select(F.col("node").alias("rep"), F.col("label").alias("component_id"))
-    named = classes.select("mark", "rep").join(placed, "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
-    out = told.select("doc_id", "mark", "n").join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select(*[F.nullif(F.col(c), least).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
+        _with_sets(rows, dealt, firsts, shingle), ["group", "part"], functools.partial(links, percent=percent), ["rep", "set", "label"], *two))
+    placed = cut_lineage(components(linked).select(F.col("node").alias("rep"), "label").join(classes.select("rep", "mark", "first"), "rep").select("label", "mark", "first"))
+    smallest = placed.groupBy("label").agg(F.min("first").alias("of"))
+    named = placed.join(smallest, "label").select("mark", "of")
+    alone = classes.select("mark", "first").join(named, "mark", "left").select("mark", F.coalesce("of", "first").alias("of"))
+    out = told.select("doc_id", "text_mark", "mark", "n").join(alone, "mark", "left").select(
+        F.nullif(F.col("doc_id"), least).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("of.doc_id", "doc_id"), least).alias("component_id"), "text_mark",
+        (F.col("of").isNull() | (F.col("of") == F.struct("doc_id", "text_mark"))).alias("stays"))
+    return out
 
 
 def _forest(members: DataFrame, capacity: int, within) -> DataFrame:
@@ -397,7 +406,7 @@ def _forest(members: DataFrame, capacity: int, within) -> DataFrame:
     return found.unionByName(within(placed.select("group", F.explode(F.array_union(met, meets)).alias("part"), "rep", "label")))
 
 
-def _with_sets(rows: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
+def _with_sets(rows: DataFrame, dealt: DataFrame, firsts: DataFrame, k: int) -> DataFrame:
     """``(group, part, label, rep, set)``: the shingles of each member beside where it goes; a text is split once, and sent as its set."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,6 +415,7 @@ def _with_sets(rows: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(found)).columns[:2], packed], names=["rep", "to", "set"])
 
     kind = "array<struct<group:bigint,part:bigint,label:bigint>>"
-    to = cut_lineage(dealt.groupBy("rep").agg(F.collect_list(F.struct("group", F.col("part").cast("long").alias("part"), "label")).alias("to")))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(small_side(to, BROADCAST_MEMBERS), "rep").select("rep", "to", "text")
+    to = dealt.groupBy("rep").agg(F.collect_list(F.struct("group", F.col("part").cast("long").alias("part"), "label")).alias("to"))
+    asked = cut_lineage(to.join(firsts, "rep"))
+    texts = rows.join(small_side(asked, BROADCAST_MEMBERS), ["doc_id", "text_mark"]).select("rep", "to", "text")
     return texts.mapInArrow(sets, f"rep long, to {kind}, set binary").select("rep", F.explode("to").alias("_to"), "set").select("_to.*", "rep", "set")

@@ -56,7 +56,7 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_
 
 @query("op3_near_copies", JACCARD_SQL)
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+    return jaccard.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 LEAK_SQL = r"""

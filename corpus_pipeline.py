@@ -38,14 +38,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (0.8 of five-word shingles) the document with the smallest id stays; equal rows become one."""
+    """Of each component of near copies (0.8 of five-word shingles) the document with the smallest id stays; equal rows become one.
+
+    Rows that share an id are documents of their own, each kept or dropped by its own text; a null id is the smallest.
+    """
     _long_rows(spark)
     found = jaccard.near_copies(docs, NEAR_WORDS, NEAR_PERCENT)
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_c"))
-    told = again.filter((F.col("_rows") > 1) | ~F.col("doc_id").eqNullSafe(F.col("_c"))).select(
-        F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("_c")).alias("_stays"))
+    again = found.groupBy("doc_id", "text_mark").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("stays").alias("_stays"))
+    told = again.filter((F.col("_rows") > 1) | ~F.col("_stays")).select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"), "_stays")
     side = small_side(cut_lineage(told), BROADCAST_IDS)
-    marked = boxed(docs, "doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    marked = boxed(docs, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_of")).join(
+        side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_mark")), "left")
     single = marked.filter(F.col("_stays").isNull())
     repeated = marked.filter("_stays").dropDuplicates(["doc_id", "text"])
     return unboxed(single.unionByName(repeated))

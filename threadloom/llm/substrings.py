@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.llm.grams import EXACT, blocks, power, spread, utf8
+from threadloom.llm.grams import blocks, spread, utf8
 from threadloom.session import cut_lineage
 
 L, G = 100, 16
@@ -43,10 +43,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n < L:
         return np.zeros(0, RECORD), np.zeros(0, np.int64)
-    up, down = power(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(EXACT[data] * up[:n], out=sums[1:])
-    grams = spread((sums[G:] - sums[:-G]) * down[:n - G + 1])
+    eights = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))  # the eight bytes from each place on
+    grams = spread(spread(eights[:n - G + 1]) + eights[8:])
     value, place = (grams >> np.uint64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32)
     size = 1
     while 2 * size <= WIDTH:
@@ -64,8 +62,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out = np.zeros(len(run), RECORD)
     out["gram"], out["at"] = grams[chosen[run]], chosen[run] - offsets[doc]
     out["left"], out["windows"] = chosen[run] - first, end - first + 1
-    whole = (sums[end + L] - sums[first]) * down[first]
-    out["whole"] = spread(whole + out["left"].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + out["windows"].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    # A stretch is hashed string by string, the last one up to its end; every step mixes all bits.
+    whole = spread(out["left"].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + out["windows"].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    size = end + L - first
+    for step in range(0, int(size.max()) - G + 1, G):
+        some = np.flatnonzero(size >= step + G)
+        whole[some] = spread(whole[some] ^ grams[first[some] + step])
+    out["whole"] = spread(whole ^ spread(grams[end + L - G] + np.uint64(1)))
     return out, doc
 
 

@@ -10,7 +10,7 @@ from threadloom.catalog.references import refs_sql
 from threadloom.catalog.registry import query
 from threadloom.catalog.sql import CONV, MAIN, MSGS, THREADS, with_
 from threadloom.functions import references as refs
-from threadloom.operators import conversations, folds, merging, segments
+from threadloom.operators import conversations, folds, merging, segments, texts
 from threadloom.session import cut_lineage
 from threadloom.sources.event_feed import messages
 
@@ -187,6 +187,31 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    "same_author", "merged_by")
 
 
+#: Vectors of ``texts.hashed_words`` for the merged conversations, and edges with the score that they change.
+VECTORS = r"""
+said AS (SELECT channel, conv_id, string_agg(text, ' ' ORDER BY ts_us, msg_id) AS t FROM cmsg WHERE text <> '' GROUP BY 1, 2),
+hw AS (SELECT channel, conv_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 32 AS b, count(*) AS n FROM (
+  SELECT channel, conv_id, unnest(string_split_regex(trim(lower(left(t, 32000)), E' \n\t'), '\s+')) AS w FROM said) WHERE w <> '' GROUP BY ALL),
+vec AS (SELECT channel, conv_id, list(coalesce(n, 0)::DOUBLE ORDER BY g.b) AS v FROM (SELECT channel, conv_id, unnest(range(32)) AS b FROM said) g LEFT JOIN hw USING (channel, conv_id, b) GROUP BY 1, 2),
+vpr AS (SELECT p.* REPLACE (CASE WHEN x.v IS NULL OR y.v IS NULL THEN p.sim ELSE 0.6::DOUBLE * p.sim + 0.4::DOUBLE * CASE WHEN list_dot_product(x.v, x.v) = 0 OR list_dot_product(y.v, y.v) = 0 THEN 0
+    ELSE greatest(0::DOUBLE, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v)))) END END AS sim)
+  FROM pr p LEFT JOIN vec x ON x.channel = p.channel AND x.conv_id = p.left_id LEFT JOIN vec y ON y.channel = p.channel AND y.conv_id = p.right_id)"""
+LIFTED = EDGES[:EDGES.index("ed0 AS")] + VECTORS.strip() + ",\n" + EDGES[EDGES.index("ed0 AS"):].replace("FROM pr)", "FROM vpr)", 1)
+
+
+@query("merge_edges_with_vectors", with_(*TO_TRIVIAL, LIFTED, recursive=True) + """
+SELECT channel, left_id, right_id, gap_us, round(sim, 6) AS similarity, same AS same_author, merged_by FROM ed""")
+def merge_edges_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges where what the conversations say counts beside their references."""
+    c = Consolidation(spark, sf_dir)
+    said = cut_lineage(texts.conversation_texts(c.kept_msgs, [*SCOPE, "conv_id"], ["ts_us", "msg_id"]))
+    none = spark.createDataFrame([], "text_hash string, model string, embedding array<float>")
+    made = cut_lineage(texts.embed_missing(said, none, "words", texts.hashed_words()).withColumn("model", F.lit("words")))
+    vectors = texts.with_vectors(said, made, "words").select(*SCOPE, "conv_id", "embedding")
+    found = merging.merge_edges(c.conv, c.conv_refs, cut_lineage(c.people), SCOPE, vectors=cut_lineage(vectors))
+    return found.select("channel", "left_id", "right_id", "gap_us", F.round("similarity", 6).alias("similarity"), "same_author", "merged_by")
+
+
 @query("topics", with_(*TO_TOPICS, recursive=True) + """
 SELECT channel, topic_id, start_us, end_us, max_end_us, message_count, has_threads, conversations FROM topic""")
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:

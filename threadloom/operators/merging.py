@@ -17,6 +17,7 @@ from threadloom.functions import similarity
 from threadloom.functions.clock import minutes, slot
 from threadloom.functions.predicates import is_direct_channel
 from threadloom.operators.components import connected_components
+from threadloom.session import cut_lineage
 
 ORDER = ("start_us", "kind_rank", "conv_id")
 
@@ -46,6 +47,12 @@ class MergeRules:
                  (self.same_author_minutes, self.same_author_similarity), (self.similarity_minutes, self.similarity_threshold)]
         return max([self.adjacent_minutes, *[w for w, s in rules if s <= 0]])
 
+    def asked(self, direct: bool) -> list[tuple[float, float]]:
+        """``(minutes, similarity)`` of the rules for direct or other channels that ask for a similarity."""
+        near = (self.direct_minutes, self.direct_similarity) if direct else (self.proximity_minutes, self.proximity_similarity)
+        rules = [near, (self.same_author_minutes, self.same_author_similarity), (self.similarity_minutes, self.similarity_threshold)]
+        return [r for r in rules if r[1] > 0]
+
 
 def _sides(conv: DataFrame, scope: Sequence[str], extra: Sequence[str], window_us: int) -> tuple[DataFrame, DataFrame]:
     """The two sides of a band join: ends in their own slot, starts in the slot and its two neighbours."""
@@ -89,6 +96,62 @@ def shared_reference_pairs(conv: DataFrame, conv_refs: DataFrame, scope: Sequenc
         "_left_size", "_right_size")
 
 
+#: Room for rounding in bounds of cosines.
+_SLACK = 1e-9
+
+
+def _needed_cosine(rules: MergeRules, gap: Column | None) -> Column:
+    """The lowest cosine with which a pair that shares no reference can pass a rule at a gap, or at any gap."""
+    def lowest(direct: bool) -> Column:
+        parts = [F.lit(s / rules.embedding_weight) if gap is None else F.when(gap <= minutes(w), s / rules.embedding_weight) for w, s in rules.asked(direct)]
+        return F.least(*parts, F.lit(None).cast("double"), F.lit(None).cast("double"))
+
+    return F.when(is_direct_channel(), lowest(True)).otherwise(lowest(False))
+
+
+def heavy_dimensions(vectors: DataFrame, ids: Sequence[str], rules: MergeRules) -> DataFrame:
+    """``(ids..., _dim, _x, _rest)``: the heaviest dimensions of each unit vector, signed, and the norm of all its others.
+
+    So many are kept that the others have less than half the norm that any pair needs as a cosine: two vectors without a kept dimension in
+    common can't reach it. Zero vectors have none.
+    """
+    entries = F.filter(F.transform("embedding", lambda x, i: F.struct(F.abs(x.cast("double")).alias("m"), F.when(x > 0, i + 1).otherwise(-1 - i).alias("dim"))), lambda e: e["m"] > 0)
+    rows = vectors.select(*ids, F.sort_array(entries, asc=False).alias("_e"), (_needed_cosine(rules, None) / 2 * (1 - 1e-6)).alias("_most"))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e["m"] * e["m"])
+    rows = rows.withColumn("_total", total).filter("_total > 0 AND _most IS NOT NULL").withColumn("_limit", F.col("_most") * F.col("_most") * F.col("_total"))
+    start = F.struct(F.col("_total").alias("left"), F.lit(0).alias("n"))
+    cut = F.aggregate("_e", start, lambda a, e: F.when(a["left"] > F.col("_limit"), F.struct((a["left"] - e["m"] * e["m"]).alias("left"), (a["n"] + 1).alias("n"))).otherwise(a))
+    rows = rows.withColumn("_cut", cut)
+    norm = F.sqrt("_total")
+    return rows.select(*ids, F.explode(F.slice("_e", F.lit(1), F.col("_cut.n"))).alias("_e"), norm.alias("_norm"), F.sqrt(F.greatest(F.col("_cut.left"), F.lit(0.0)) / F.col("_total")).alias("_rest")).select(
+        *ids, F.col("_e.dim").alias("_dim"), (F.col("_e.m") / F.col("_norm")).alias("_x"), "_rest")
+
+
+def close_vector_pairs(conv: DataFrame, vectors: DataFrame, scope: Sequence[str], rules: MergeRules) -> DataFrame:
+    """Pairs inside the widest window whose vectors may lift them over a threshold without a shared reference.
+
+    An exact cosine-threshold join. The heaviest dimensions are filed under ``(scope, time slot, dimension, sign)``; what two vectors
+    have in common there, with the norms of what is not filed, bounds their cosine from above, and pairs under what their gap asks
+    for are dropped. Where the lists would hold more pairs than the window itself, as with dense vectors, the window's pairs are taken.
+    """
+    scope, window_us = list(scope), minutes(rules.widest())
+    if rules.embedding_weight <= 0 or not (rules.asked(True) or rules.asked(False)):
+        return near_pairs(conv.limit(0), scope, rules.widest())
+    ids = [*scope, "conv_id"]
+    placed = vectors.filter(F.col("embedding").isNotNull()).join(conv.select(*ids, "start_us", "end_us", "kind_rank"), ids)
+    heavy = cut_lineage(heavy_dimensions(placed, [*ids, "start_us", "end_us", "kind_rank"], rules))
+    band = slot("end_us", window_us).alias("_b")
+    squares = lambda rows, *more: rows.groupBy(*scope, *more, band).agg(F.pow(F.count(F.lit(1)).cast("double"), 2).alias("_n")).agg(F.sum("_n")).first()[0] or 0.0
+    if squares(heavy, "_dim") > squares(placed):  # two numbers
+        return near_pairs(placed, scope, rules.widest())
+    left, right = _sides(heavy, scope, ("_dim", "_x", "_rest"), window_us)
+    left, right = (side.withColumnsRenamed({"_x": f"_x{k}", "_rest": f"_rest{k}"}) for k, side in ((1, left), (2, right)))
+    met = _in_band(left.join(right, [*scope, "_dim", "_band"]), window_us)
+    common = met.groupBy(*scope, "left_id", "right_id", "gap_us").agg(F.sum(F.col("_x1") * F.col("_x2")).alias("_dot"), F.first("_rest1").alias("_rest1"), F.first("_rest2").alias("_rest2"))
+    bound = F.col("_dot") + F.col("_rest2") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("_rest1") * F.col("_rest1"))) + F.col("_rest1")
+    return common.filter(bound >= _needed_cosine(rules, F.col("gap_us")) - _SLACK).select(*scope, "left_id", "right_id", "gap_us")
+
+
 def with_same_author(pairs: DataFrame, people: DataFrame, scope: Sequence[str], owned: DataFrame | None = None) -> DataFrame:
     """Add ``same_author`` to pairs of conversations from their long participant table.
 
@@ -124,11 +187,13 @@ def merge_edges(conv: DataFrame, conv_refs: DataFrame, people: DataFrame, scope:
                 owned: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Pairs that the rules join, with ``gap_us``, ``similarity``, ``same_author`` and the counter label ``merged_by``.
 
-    ``vectors``: optional ``(scope..., conv_id, embedding)``. A vector alone can lift a pair over a threshold, so with
-    vectors the candidates are all pairs inside the widest window.
+    ``vectors``: optional ``(scope..., conv_id, embedding)``. A vector alone can lift a pair over a threshold; such pairs are found by
+    :func:`close_vector_pairs`. A null vector, and a conversation without one, leave the reference score as it is.
     """
-    free = rules.unconditional() if vectors is None else rules.widest()
-    near = near_pairs(conv, scope, free).withColumn("similarity", F.lit(None).cast("double"))
+    near = near_pairs(conv, scope, rules.unconditional())
+    if vectors is not None:
+        near = near.unionByName(close_vector_pairs(conv, vectors, scope, rules))
+    near = near.withColumn("similarity", F.lit(None).cast("double"))
     sharing = shared_reference_pairs(conv, conv_refs, scope, rules.widest()).drop("shared")
     pairs = near.unionByName(sharing).groupBy(*scope, "left_id", "right_id", "gap_us").agg(
         F.coalesce(F.max("similarity"), F.lit(0.0)).alias("similarity"))

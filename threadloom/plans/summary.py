@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadloom.functions import references as refs
 from threadloom.functions.predicates import MENTION_CONTEXT, channel_type, has_work_indicator
 from threadloom.functions.rendering import in_order, iso_time, message_lines
-from threadloom.operators import collection, context, folds, links, merging, names, segments, words
+from threadloom.operators import collection, context, folds, links, merging, names, segments, texts, words
 from threadloom.operators.ordered import first_n
 from threadloom.plans import prompts
 from threadloom.session import cut_lineage
@@ -50,6 +50,8 @@ class Limits:
     call_size: int | None = prompts.CALL_SIZE
     #: Words that name a topic without a model.
     topic_words: int | None = 3
+    #: Characters of a conversation that the embedding function gets.
+    embed_chars: int | None = texts.EMBED_CHARS
 
 
 class UserSummaries:
@@ -58,13 +60,17 @@ class UserSummaries:
     ``messages`` as in the message table; ``periods``: ``(owner_id, period_no, start_us, end_us, tz)``; ``people``: the user directory;
     ``channels``: channel records with ``user``; ``members``: ``(channel, place, user_id)`` of group channels. ``model``: text model
     function, or none for the built-in summary. ``boundaries``: maps message pairs to decisions, or none for no extra cuts.
-    ``rules`` and ``limits``: thresholds, cuts and switches.
+    ``rules`` and ``limits``: thresholds, cuts and switches. ``embedder``: maps texts of conversations to vectors, or none; ``vectors``: a
+    vector table whose rows of ``embedding_model`` are used again. With either, conversations also merge by what they say;
+    ``new_vectors`` are those that the table should take up.
     """
 
     def __init__(self, messages: DataFrame, periods: DataFrame, people: DataFrame, channels: DataFrame, members: DataFrame, base: str,
-                 model: prompts.TextModel | None = None, boundaries: Boundaries | None = None, rules: merging.MergeRules = merging.MergeRules(), limits: Limits = Limits()):
+                 model: prompts.TextModel | None = None, boundaries: Boundaries | None = None, rules: merging.MergeRules = merging.MergeRules(), limits: Limits = Limits(),
+                 embedder: texts.Embedder | None = None, vectors: DataFrame | None = None, embedding_model: str = "default"):
         self.messages, self.periods, self.people, self.channels, self.members = messages, periods, people, channels, members
         self.base, self.model, self.boundaries, self.rules, self.limits = base, model, boundaries, rules, limits
+        self.embedder, self.stored, self.embedding_model = embedder, vectors, embedding_model
 
     # Collection
 
@@ -179,12 +185,47 @@ class UserSummaries:
         thread = self._thread_people.join(self.threads, THREAD).select(*CONV, "user_id")
         return folds.remap(own.unionByName(thread), self.placed, SCOPE).distinct()
 
+    @cached_property
+    def conv_texts(self) -> DataFrame:
+        """The hash of what each merged conversation says, and the part an embedding function gets. A thread that was merged with nothing
+        and got no context is read once for all its users."""
+        order, keep = ["ts_us", "msg_id"], self.limits.embed_chars
+        several = self.placed.groupBy(*SCOPE, "cluster_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        mixed = self.placed.join(several, [*SCOPE, "cluster_id"], "left_semi").select(*CONV).unionByName(self.context.select(*CONV)).distinct()
+        alone = self.threads.join(mixed, CONV, "left_anti").join(self.placed.select(*CONV, "cluster_id"), CONV)
+        said = texts.conversation_texts(self.shared.join(alone.select(*THREAD).distinct(), THREAD, "left_semi"), THREAD, order, keep_chars=keep)
+        told = said.join(alone.select(*THREAD, "owner_id", "cluster_id"), THREAD).withColumnRenamed("cluster_id", "conv_id").drop("thread_us")
+        rows = [part.select(*CONV, *order, "text") for part in (self.main, self.context, self.shared.join(self.threads.join(mixed, CONV, "left_semi"), THREAD))]
+        own = texts.conversation_texts(folds.remap(rows[0].unionByName(rows[1]).unionByName(rows[2]), self.placed, SCOPE), CONV, order, keep_chars=keep)
+        return cut_lineage(told.select(*own.columns).unionByName(own))
+
+    @cached_property
+    def new_vectors(self) -> DataFrame:
+        """``(text_hash, embedding)`` made in this run; an embedding is null where the function failed."""
+        if self.embedder is None:
+            return self._stored.select("text_hash", "embedding").limit(0)
+        return cut_lineage(texts.embed_missing(self.conv_texts, self._stored, self.embedding_model, self.embedder, self.limits.call_size))
+
+    @property
+    def _stored(self) -> DataFrame:
+        if self.stored is not None:
+            return self.stored
+        return self.messages.sparkSession.createDataFrame([], "text_hash string, model string, embedding array<float>")
+
+    @cached_property
+    def conv_vectors(self) -> DataFrame | None:
+        """``(scope, conv_id, embedding)`` of conversations with a vector, or none if the run has neither vectors nor a function."""
+        if self.embedder is None and self.stored is None:
+            return None
+        known = self._stored.select("text_hash", "model", "embedding").unionByName(self.new_vectors.withColumn("model", F.lit(self.embedding_model)))
+        return cut_lineage(texts.with_vectors(self.conv_texts, known, self.embedding_model).filter(F.col("embedding").isNotNull()).select(*CONV, "embedding"))
+
     @cached_property
     def edges(self) -> DataFrame:
         wrote = self.original.filter(F.col("user_message_count") > 0).select(*CONV)
         seen = self.context.filter(F.col("user_id") == F.col("owner_id")).select(*CONV)
         owned = folds.remap(wrote.unionByName(seen), self.placed, SCOPE).distinct()
-        return cut_lineage(merging.merge_edges(self.conv, self.conv_refs, self.conv_people, SCOPE, self.rules, owned))
+        return cut_lineage(merging.merge_edges(self.conv, self.conv_refs, self.conv_people, SCOPE, self.rules, owned, self.conv_vectors))
 
     @cached_property
     def topic_map(self) -> DataFrame:

@@ -83,3 +83,61 @@ def test_license_texts_and_wrapped_headers(files):
     got = {r.path: r for r in licenses.scan(files(rows)).collect()}
     assert {p: got[p].license for p in want} == want
     assert {got[f"d{i}/sub/x.py"].license: got[f"d{i}/sub/x.py"].how for i in range(len(texts))} == {name: "inherited" for name in texts}
+
+
+def block_scores(path, text):
+    """Every paragraph, comment run and whole license file against every template, by the formula."""
+    said = lambda x: re.findall("[a-z0-9]+", x.lower())
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    paragraphs = re.split(r"\n[ \t\r]*\n", re.sub(licenses.COMMENT.replace("(?m)", ""), "", lower, flags=re.M))
+    mark, runs = re.compile(r"[ \t]*(?://|/\*|\*|#|--|;|%|<!--)"), [[]]
+    for line in lower.split("\n"):
+        if line.strip(" \t\r") and not mark.match(line):
+            runs.append([])
+        else:
+            runs[-1].append(line)
+    speaks = re.search(r"([^/.]*)[^/]*\Z", path or "")[1].lower() in licenses.LICENSE_FILES
+    found = set()
+    for kind, segments in ((licenses.HEADERS, paragraphs), (licenses.whole_texts(), ["\n".join(r) for r in runs] + ([lower] if speaks else []))):
+        counts = {n: Counter(said(t)) for n, t in kind.items()}
+        df = Counter(t for c in counts.values() for t in c)
+        weigh = lambda c: {t: (1 + math.log(n)) * (math.log((1 + len(kind)) / (1 + df[t])) + 1) for t, n in c.items()}
+        for segment in segments:
+            a = weigh(Counter(said(segment)))
+            for name, c in counts.items():
+                b = weigh(c)
+                norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+                score = round(sum(x * b[t] for t, x in a.items() if t in b) / norm, 6) if norm else 0
+                if score >= licenses.THRESHOLD:
+                    found.add((name, score))
+    return found
+
+
+def test_blocks_against_brute_force(files):
+    """Headers and license texts, whole, cut, mixed with prose and with each other."""
+    import random
+
+    rng, whole = random.Random(8), licenses.whole_texts()
+    prose = lambda n: " ".join(rng.choice("the of and to in a is that for it on with as this by from or".split()) if rng.random() < 0.4 else f"w{rng.randrange(900)}" for _ in range(n))
+    rows = [(1, "x.py", None), (2, "LICENSE", ""), (3, "a.py", prose(400)), (4, None, prose(50))]
+    for name, text in [*licenses.HEADERS.items(), *((n, t) for n, t in whole.items() if len(t) < 12_000)]:
+        words = text.split()
+        part = lambda share: " ".join(words[:max(1, int(len(words) * share))])
+        for i, body in enumerate((text, part(0.6), part(0.8) + " " + prose(len(words) // 3), prose(40) + "\n\n" + text + "\n \n" + prose(30), "# " + "\n#".join(text.split("\n")) + "\nint x;\n" + prose(20))):
+            rows.append((len(rows) + 1, rng.choice(["LICENSE", "src/a.c", "COPYING.txt", "b.md", None]), body))
+    got = {}
+    for r in licenses.scan_blocks(files(rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, r.score))
+    want = {doc: scores for doc, path, text in rows if (scores := block_scores(path, text))}
+    assert {d: {n for n, _ in s} for d, s in got.items()} == {d: {n for n, _ in s} for d, s in want.items()}
+    for doc, scores in want.items():
+        assert sorted(s for _, s in got[doc]) == pytest.approx(sorted(s for _, s in scores), abs=2e-6)
+
+
+def test_telling_terms_bound_the_cosine():
+    weights, idf, _ = licenses._damped(licenses.whole_texts())
+    for name, w in weights.items():
+        part, n = licenses.telling_terms(w, idf, 0.75)
+        heaviest = sorted((w[t] for t in part), reverse=True)[:n - 1]
+        rest = sum(x * x for t, x in w.items() if t not in set(part))
+        assert n > 5 and rest + sum(x * x for x in heaviest) < 0.75 ** 2 + 1e-6, name

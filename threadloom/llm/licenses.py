@@ -8,8 +8,8 @@ of its norm stays below the threshold, so only lines with one of these are weigh
 Further segments are paragraphs and runs of comment lines, comment marks removed and lines joined, and the whole of license files.
 Paragraphs are weighed against the headers that licenses ask for (``HEADERS``), runs and whole files against whole license texts
 (``license_texts``). Here a term weighs ``(1 + ln tf) * (ln((1 + T) / (1 + tf_T)) + 1)`` with frequencies over the ``T`` templates of
-the kind, so that what tells licenses apart weighs most. A segment that reaches the threshold must hold so many terms of a template
-that their squares reach the square of the threshold, and one of its heaviest; others are not weighed.
+the kind, so that what tells licenses apart weighs most. A segment that reaches the threshold must hold a number of a template's rarer
+terms (:func:`telling_terms`). Texts that don't are not cut at all, segments that don't are not weighed, each by one look at the row.
 
 A file's own license is that of its best segment. Files named as license files speak for their directory; a file without a license of
 its own takes that of the nearest directory above that has one, by a join on the paths of its ancestors.
@@ -17,11 +17,12 @@ its own takes that of the nearest directory above that has one, by a join on the
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -148,14 +149,30 @@ def _damped(templates: Mapping[str, str]) -> tuple[dict[str, dict[str, float]],
     return {name: {t: w / norms[name] for t, w in ws.items()} for name, ws in weights.items()}, idf, math.log(1 + len(counts)) + 1
 
 
-def least_terms(weights: Mapping[str, float], threshold: float) -> int:
-    """The fewest terms of a template, of length 1, that a text at the threshold has: their squares reach that of the threshold."""
-    total, n = 0.0, 0
-    for w in sorted(weights.values(), reverse=True):
-        if total >= threshold * threshold * (1 - 1e-9):
-            break
-        total, n = total + w * w, n + 1
-    return n
+def telling_terms(weights: Mapping[str, float], idf: Mapping[str, float], threshold: float) -> tuple[list[str], int]:
+    """Some terms of a template, of length 1, that occur in few templates, and how many of them a text at the threshold has at least.
+
+    Cosine is no larger than the length of what the text has of the template. At the threshold only ``1 - threshold ** 2`` of the squares
+    can be missing, so of any part of the terms the text has the rest. Of the parts above some inverse frequency the one that asks for
+    most terms is taken.
+    """
+    best: tuple[int, int, list[str]] = (0, 0, [])
+    for least in sorted({idf[t] for t in weights}):
+        part = sorted(t for t in weights if idf[t] >= least)
+        squares = sorted((weights[t] ** 2 for t in part), reverse=True)
+        lack, number = sum(squares) - (1 - threshold * threshold) - 1e-9, 0
+        while lack > 0:
+            lack, number = lack - squares[number], number + 1
+        best = max(best, (number, -len(part), part))
+    return best[2], best[0]
+
+
+def _may_reach(words: Column, sets: Sequence[Mapping[str, str]], threshold: float) -> Column:
+    """Whether words may reach the threshold with any template of the sets; a text can't where none of its parts could."""
+    told = [telling_terms(w, idf, threshold) for weights, idf, _ in map(_damped, sets) for w in weights.values()]
+    listed = lambda ts: F.split(F.lit(" ".join(ts)), " ")
+    some = F.size(F.array_intersect(words, listed(sorted(set().union(*(t for t, _ in told)))))) >= min(n for _, n in told)
+    return some & functools.reduce(lambda x, y: x | y, [F.size(F.array_intersect(words, listed(t))) >= n for t, n in told])
 
 
 def _words(text: Column) -> Column:
@@ -165,12 +182,7 @@ def _words(text: Column) -> Column:
 def scan_segments(segments: DataFrame, templates: Mapping[str, str], threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, mark, license, score)`` of all templates at the threshold for ``segments (doc_id, mark, said)``, in lower case."""
     weights, idf, unknown = _damped(templates)
-    listed = lambda ts: F.split(F.lit(" ".join(ts)), " ")
-    needed = sorted(set().union(*(needed_terms(w, threshold) for w in weights.values())))
-    least = min(least_terms(w, threshold) for w in weights.values())
-    held = segments.select("doc_id", "mark", _words(F.col("said")).alias("_words")).filter(
-        (F.size("_words") >= least) & F.arrays_overlap("_words", listed(needed))).filter(
-        F.size(F.array_intersect("_words", listed(sorted(idf)))) >= least)
+    held = segments.select("doc_id", "mark", _words(F.col("said")).alias("_words")).filter(_may_reach(F.col("_words"), [templates], threshold))
     # A segment is known by its words; equal ones of a text are one.
     numbered = held.withColumn("_seg", F.xxhash64("_words")).dropDuplicates(["doc_id", "mark", "_seg"])
     counted = numbered.select("doc_id", "mark", "_seg", F.explode("_words").alias("term")).groupBy("doc_id", "mark", "_seg", "term").agg(F.count(F.lit(1)).alias("_tf"))
@@ -190,6 +202,8 @@ def scan_blocks(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, mark, license, score)`` of paragraphs, runs of comment lines and whole license files at the threshold."""
     text = F.coalesce("text", F.lit(""))
     read = files.select("doc_id", F.xxhash64(text).alias("mark"), lower_ascii(text).alias("_text"), F.coalesce(_speaks(F.col("path")), F.lit(False)).alias("_speaks"))
+    # Most texts have too few of the templates' own words for any of their parts.
+    read = read.filter(_may_reach(_words(F.col("_text")), [HEADERS, whole_texts()], threshold))
     plain = F.regexp_replace("_text", COMMENT, "")
     paragraphs = read.select("doc_id", "mark", F.explode(F.split(plain, r"\n[ \t\r]*\n")).alias("said"))
     # What stands between lines without a comment mark.

@@ -86,3 +86,30 @@ def test_reduced_texts():
     points, starts = langid.reduced(*utf8(pa.array(["A1 b!", "", "--", "É  ñ", None])), 3)
     said = ["".join(map(chr, points[a:b])) for a, b in zip(starts, starts[1:])]
     assert said == ["  a b ", "  ", "  ", "  é ñ", "  "]
+
+
+def test_a_language_that_was_not_learned_is_rejected(docs):
+    """Leave one out: nearly all of it goes, next to nothing of the others."""
+    parts = PARTS | {"fr": "les que eau tion oir ment ais eux ch pas".split()}
+
+    def made(n, seed):
+        rng = random.Random(seed)
+        return [(i, " ".join("".join(rng.choices(parts[lang], k=rng.randrange(1, 4))) for _ in range(rng.randrange(15, 80))), lang) for i in range(n) for lang in [list(parts)[i % 4]]]
+
+    learn, test = made(800, 2), made(400, 3)
+    for left in ("fr", "de"):
+        model = langid.train(docs([r for r in learn if r[2] != left]))
+        got = langid.predict(docs(test), model).select("lang", "_language.rejected").toDF("truth", "rejected").collect()
+        out, rest = [r.rejected for r in got if r.truth == left], [r.rejected for r in got if r.truth != left]
+        assert sum(out) >= 0.8 * len(out) and sum(rest) <= 0.01 * len(rest)
+
+
+def test_sample_is_bounded_by_rows_and_takes_any_id(docs):
+    rows = corpus(900)
+    for ids in (lambda i: None, lambda i: 7, lambda i: i):
+        sample = langid.training_sample(docs([(ids(i), *r[1:]) for i, r in enumerate(rows)]), docs_per_language=100).toPandas()
+        assert sample.groupby("lang").size().to_dict() == {"de": 100, "en": 100, "ru": 100} and sample["apart"].sum() == 30
+    same = langid.training_sample(docs([(1, "der und", "de")] * 50 + [(2, None, "de"), (3, "", "de"), (4, "x", None)]), docs_per_language=20)
+    assert same.count() == 20
+    model = langid.train(docs([(None, *r[1:]) for r in corpus(240)]))
+    assert model.languages == sorted(PARTS) and all(x < float("inf") for x in model.limit)

@@ -5,8 +5,8 @@ model of order ``ORDER`` is fitted per language. For all languages together, the
 as sorted 64-bit hashes beside a row of log-probabilities, one column a language, so a character costs one search in most cases
 and goes down one order for each one it misses. The language with the lowest cross-entropy a character is the answer.
 
-The model is small: it is fitted on at most ``DOCS_PER_LANGUAGE`` whole texts of each language, those with the smallest hash of the
-id. A tenth of them is kept out of the counts and calibrates the rejection.
+The model is small: it is fitted on at most ``DOCS_PER_LANGUAGE`` whole texts of each language, those with the smallest hash of id and
+text. A tenth of them is kept out of the counts and calibrates the rejection.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.llm.common import small_side
 from threadloom.llm.grams import blocks, give_back, spread, utf8
+from threadloom.session import cut_lineage
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1_000
 DISCOUNT = 0.75
 UNKNOWN = "und"
-#: A text is rejected beyond this many times the largest deviation seen among the calibration texts of its language.
-SLACK = 2.0
+#: A text is rejected beyond this quantile of the deviations of its language's calibration texts, times a slack, and never below a least
+#: number of deviations.
+QUANTILE, SLACK, LEAST_LIMIT = 0.995, 1.25, 4.0
 #: Smallest spread assumed between texts of a language, in nats a character.
-LEAST_SPREAD = 0.25
+LEAST_SPREAD = 0.1
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -219,20 +220,21 @@ def _deviation(model: Model, best: np.ndarray, loss: np.ndarray, n: np.ndarray)
     return (loss - model.level[best]) / np.sqrt(model.wide[best] ** 2 + model.noise[best] ** 2 / np.maximum(n, 1))
 
 
-def calibrate(model: Model, texts: pd.DataFrame) -> Model:
-    """Levels and limits from texts that were not counted; a language without any takes the largest of the others."""
+def calibrate(model: Model, losses: pd.DataFrame) -> Model:
+    """Levels and limits from ``(lang, n, loss, variance)`` of texts that were not counted, in their own language; a language without any
+    takes the largest of the others."""
     found = [np.zeros(len(model.languages)) for _ in range(4)]
-    n, means, variances = cross_entropies(model, pa.array(texts["text"].tolist(), pa.large_string()))
     for i, lang in enumerate(model.languages):
-        own = np.flatnonzero((texts["lang"].to_numpy() == lang) & (n > 0))
+        own = losses[(losses["lang"] == lang) & (losses["n"] > 0)]
         if not len(own):
             continue
-        loss, weight = means[own, i], n[own] / n[own].sum()
+        n, loss = own["n"].to_numpy(), own["loss"].to_numpy()
+        weight = n / n.sum()
         found[0][i] = (loss * weight).sum()
         found[1][i] = max(LEAST_SPREAD, np.sqrt((weight * (loss - found[0][i]) ** 2).sum()))
-        found[2][i] = max(0.5, np.sqrt((weight * variances[own, i]).sum()))
+        found[2][i] = max(0.5, np.sqrt((weight * own["variance"].to_numpy()).sum()))
         part = model._replace(level=found[0], wide=found[1], noise=found[2])
-        found[3][i] = SLACK * max(4.0, _deviation(part, np.full(len(own), i), loss, n[own]).max())
+        found[3][i] = max(LEAST_LIMIT, SLACK * np.quantile(_deviation(part, np.full(len(own), i), loss, n), QUANTILE))
     for values in found:
         if len(values):
             values[found[3] == 0] = values.max()
@@ -241,17 +243,30 @@ def calibrate(model: Model, texts: pd.DataFrame) -> Model:
     return model._replace(level=found[0], wide=found[1], noise=found[2], limit=found[3])
 
 
+def training_sample(rows: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """``(lang, text, apart)``: at most so many rows of a language, those with the smallest hashes of id and text; a tenth is set apart.
+
+    A count a language gives the share of hashes that holds twice as many; only those rows are ranked, so no task ranks more however
+    many rows and tasks there are. Rows with a null or empty text or a null language are left out; those with a null id, or that share
+    one, are rows like others.
+    """
+    teach = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")).alias("_h")).filter(
+        F.col("lang").isNotNull() & (F.length("text") > 0))
+    sizes = teach.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.least(F.lit(1.0), 2.0 * docs_per_language / F.col("_rows") + 1e-9)
+    few = teach.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, F.col("lang") == F.col("_of")).filter(
+        F.shiftrightunsigned("_h", 11).cast("double") <= share * float(1 << 53))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
+    return few.withColumn("_n", place).filter(F.col("_n") <= docs_per_language).select("lang", "text", (F.col("_n") % 10 == 0).alias("apart"))
+
+
 def train(rows: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> Model:
-    """Fit a model on ``rows (doc_id, text, lang)``; rows with a null or empty text or a null language teach nothing.
+    """Fit a model on ``rows (doc_id, text, lang)``, see :func:`training_sample`.
 
-    At most ``docs_per_language`` whole texts of a language are used. Only their n-gram counts, and the texts of the tenth that
-    calibrates, reach the driver: both are bounded by that number and the number of languages.
+    Only n-gram counts, and three numbers for each text that calibrates, reach the driver: both are bounded by the number of sampled
+    texts and of languages. With fewer than ten texts a language has none apart, and takes the limits of the others.
     """
-    teach = rows.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = teach.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")).alias("_h")).distinct().withColumn(
-        "_n", F.row_number().over(first)).filter(F.col("_n") <= docs_per_language)
-    sample = teach.join(small_side(chosen, 200_000), ["doc_id", "lang"]).select("lang", "text", (F.col("_n") % 10 == 0).alias("_apart"))
+    sample = cut_lineage(training_sample(rows, docs_per_language))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,9 +283,21 @@ def train(rows: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, order: in
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([said[i:i + order] for i in range(0, len(said), order)]),
                                                       pa.array(times, pa.int64())], names=["lang", "gram", "n"])
 
-    counts = sample.filter(~F.col("_apart")).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    counts = sample.filter(~F.col("apart")).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
     model = fit(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas(), order)
-    return calibrate(model, sample.filter("_apart").select("lang", "text").toPandas())
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {lang: i for i, lang in enumerate(sent.value.languages)}
+        for batch in batches:
+            n, means, variances = cross_entropies(sent.value, batch.column(1))
+            at = np.array([place.get(lang, -1) for lang in batch.column(0).to_pylist()], np.int64)
+            some = np.flatnonzero(at >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(n[some].astype(np.int64)), pa.array(means[some, at[some]].astype(np.float64)),
+                                              pa.array(variances[some, at[some]].astype(np.float64))], names=["lang", "n", "loss", "variance"])
+
+    apart = sample.filter("apart").select("lang", "text").mapInArrow(judge, "lang string, n long, loss double, variance double")
+    return calibrate(model, apart.toPandas())
 
 
 def identify(model: Model, spark) -> callable:
@@ -279,7 +306,7 @@ def identify(model: Model, spark) -> callable:
     ``lang`` is the language of the lowest cross-entropy a character, the first by name of equals, and ``und`` for null and for texts
     without a letter, or when nothing was learned; these are rejected with score 0. ``score`` is the share of the answer among the
     languages, from the evidence of at most 30 characters. ``rejected`` also marks texts that are further from their language than
-    any calibration text, by a wide margin. Nothing but the text is looked at.
+    nearly all calibration texts, by a margin. Nothing but the text is looked at.
     """
     sent = spark.sparkContext.broadcast(model)
 

@@ -42,6 +42,8 @@ def test_round_trip(turns, budget, history):
     for w in made.collect():
         assert w.tokens <= budget or w.formatted.count(chats.OPEN) - w.repeated == 1
         assert w.repeated <= history + 1
+        if w.tokens > budget:
+            assert w.repeated == 0
         for span in w.loss:
             inside = w.formatted[span.start:span.start + span.length]
             assert not any(c in inside for c in chats.CONTROL)
@@ -59,5 +61,19 @@ def test_long_conversation_keeps_its_system_turn_and_history(turns):
     assert sum(len(w.loss) for w in made) == 349
 
 
+def test_repeated_turns_count_in_the_budget(turns):
+    """Long turns before short ones: history that does not fit is cut from its far end, a long system turn is left out."""
+    rows = [(1, i, "user" if i % 2 else "assistant", "w " * n) for i, n in enumerate((5000, 10_000, 10_000, 1, 1))] + [
+        (2, 0, "system", "s " * 2000), *[(2, i, "user" if i % 2 else "assistant", "w " * 300) for i in range(1, 20)], (3, 0, "system", "s " * 100), *[(3, i, "user", "w " * 500) for i in range(1, 12)]]
+    made = sorted(chats.windows(turns(rows)).collect(), key=lambda w: (w.conv_id, w.window_no))
+    for w in made:
+        said = w.formatted.split(chats.OPEN)[1:]
+        assert w.tokens == sum(len(t.split(chats.MIDDLE)[1].removesuffix(chats.CLOSE).split()) + 4 for t in said)
+        assert w.tokens <= 2048 or (len(said) == 1 and w.repeated == 0)
+    assert sum("s s" in w.formatted for w in made if w.conv_id == 2) == 1
+    later = [w for w in made if w.conv_id == 3 and w.window_no]
+    assert later and all(w.formatted.startswith(f"{chats.OPEN}system") for w in later) and {w.repeated for w in later} <= {1, 2, 3}
+
+
 def test_empty_table(turns):
     assert chats.digest(chats.windows(turns([]))).count() == 0

@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows (operator 9).
 
-Turns are placed by prefix sums of their tokens: the sums cut a conversation into bins of equal budget, a turn that lies in one
-bin joins the window of that bin, a turn across an edge has a window of its own. So every window is turn-aligned and within the
-budget, or one long turn, and no turn has to wait for the one before it. Windows after the first repeat the system turn and the
-last turns before them; only new assistant turns are targets of the loss, so each is learned once.
+Turns are placed by prefix sums of their tokens: the sums cut a conversation into bins of equal size, a turn that lies in one
+bin joins the window of that bin, a turn across an edge has a window of its own. So every window is turn-aligned, and no turn has
+to wait for the one before it. A bin is three quarters of the budget; the rest is for what windows after the first repeat, the system turn and the
+last turns before them, as far as all of it fits. So no window passes the budget unless a single new turn does. Only new assistant
+turns are targets of the loss, so each is learned once. On the test tables windows of long conversations are about half full.
 
 The output of a window is one string of marked turns. Control strings inside texts are broken by a backslash after their first
 character, and backslashes doubled, which :func:`unescape` takes back.
@@ -19,6 +20,8 @@ OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that a text must not bring into the output by itself. The template's own all begin with ``<|``.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 SLOT = 256
+#: The part of the budget that new turns are cut by.
+NEW_TURNS = 0.75
 WORDS = r"\S+"
 
 
@@ -58,30 +61,35 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 2) -> DataFrame
     """``(conv_id, window_no, formatted, repeated, tokens, loss)``, one row per window.
 
     ``repeated`` leading turns were in an earlier window. ``loss`` holds the spans ``(start, length)``, in code points of
-    ``formatted`` from 0, of the texts of new assistant turns. ``tokens`` counts new turns; a window has more than ``budget`` of
-    them only if it is a single turn. A turn's place is by ``turn``, nulls first, then role and text. Null role and text count as
+    ``formatted`` from 0, of the texts of new assistant turns. ``tokens`` counts all turns of the window; it is above ``budget`` only
+    if a single new turn is. The system turn is repeated if it fits beside the new turns, then of the ``history`` turns before them as many,
+    from the nearest on, as fit too; a longer system turn is left out. A turn's place is by ``turn``, nulls first, then role and text. Null role and text count as
     empty, a null ``conv_id`` is a conversation of its own, repeated rows are turns of their own, an empty table gives no windows,
     other columns are not used.
     """
     rows = placed(turns)
-    first_bin, last_bin = F.floor((F.col("until") - F.col("tokens")) / budget), F.floor((F.col("until") - 1) / budget)
+    width = max(1, int(budget * NEW_TURNS))
+    first_bin, last_bin = F.floor((F.col("until") - F.col("tokens")) / width), F.floor((F.col("until") - 1) / width)
     rows = rows.withColumn("window_no", (first_bin * 2 + (first_bin != last_bin).cast("long")).cast("long"))
     new = rows.select("conv_id", "window_no", "place", "role", "text", "tokens", F.lit(True).alias("new"))
 
     # A window is asked for under the place of its first turn: the turns just before it, and the system turn, go there again.
-    begin = rows.groupBy("conv_id", "window_no").agg(F.min("place").alias("_first")).filter(F.col("_first") > 1)
+    begin = rows.groupBy("conv_id", "window_no").agg(F.min("place").alias("_first"), (F.lit(budget) - F.sum("tokens")).alias("_room")).filter(F.col("_first") > 1)
     last = [F.col("_first") - back for back in range(1, history + 1)]
-    wanted = begin.select(F.col("conv_id").alias("_conv"), "window_no", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), *last))).alias("_place"), "_first")
+    wanted = begin.select(F.col("conv_id").alias("_conv"), "window_no", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), *last))).alias("_place"), "_first", "_room")
     again = rows.drop("window_no").join(wanted, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("place") == F.col("_place"))).filter(
         (F.col("place") >= F.col("_first") - history) | (F.col("role") == "system"))
-    old = again.select("conv_id", "window_no", "place", "role", "text", "tokens", F.lit(False).alias("new"))
+    # At most one turn more than the history in a window: the system turn first, then the nearest, as long as they fit.
+    system = (F.col("place") == 1) & (F.col("role") == "system")
+    nearest = Window.partitionBy("conv_id", "window_no").orderBy(F.when(system, 0).otherwise(1), F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = again.filter(~system | (F.col("tokens") <= F.col("_room"))).withColumn("_used", F.sum("tokens").over(nearest)).filter(F.col("_used") <= F.col("_room"))
+    old = fits.select("conv_id", "window_no", "place", "role", "text", "tokens", F.lit(False).alias("new"))
 
     head = F.length(F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)))
     marked = new.unionByName(old).select("conv_id", "window_no", "tokens", F.struct(
         "place", turn_text(F.col("role"), F.col("text")).alias("marked"), head.alias("head"), "new",
         (F.col("new") & (F.col("role") == "assistant")).alias("target")).alias("t"))
-    gathered = marked.groupBy("conv_id", "window_no").agg(F.array_sort(F.collect_list("t")).alias("t"), F.sum(
-        F.when(F.col("t.new"), F.col("tokens")).otherwise(0)).alias("tokens"))
+    gathered = marked.groupBy("conv_id", "window_no").agg(F.array_sort(F.collect_list("t")).alias("t"), F.sum("tokens").alias("tokens"))
     with_ends = gathered.withColumn("formatted", F.array_join(F.transform("t", lambda x: x["marked"]), "")).withColumn("_ends", F.expr(
         "aggregate(t, array(0L), (a, x) -> array_append(a, element_at(a, -1) + length(x.marked)))"))
     spans = F.filter(F.transform("t", lambda x, i: F.when(x["target"], F.struct(

@@ -157,10 +157,12 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 t AS (SELECT *, row_number() OVER w AS place, len(regexp_extract_all(text, '[^ \t\n\f\r\x0B]+')) + 4 AS tokens,
   23 + length(role) + """ + _escaped_sql("role") + " + length(text) + " + _escaped_sql("text") + r""" AS chars FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS til FROM t),
-b AS (SELECT *, ((til - tokens) // 2048)::BIGINT AS b1, ((til - 1) // 2048)::BIGINT AS b2 FROM u),
+b AS (SELECT *, ((til - tokens) // 1536)::BIGINT AS b1, ((til - 1) // 1536)::BIGINT AS b2 FROM u),
 n AS (SELECT *, b1 * 2 + (b1 <> b2)::INT AS window_no FROM b),
-s AS (SELECT conv_id, window_no, min(place) AS at FROM n GROUP BY ALL HAVING min(place) > 1),
-o AS (SELECT s.conv_id, sum(n.chars) AS again FROM s JOIN n ON n.conv_id = s.conv_id AND (n.place BETWEEN s.at - 2 AND s.at - 1 OR n.place = 1 AND n.role = 'system') GROUP BY 1)
+s AS (SELECT conv_id, window_no, min(place) AS at, 2048 - sum(tokens) AS room FROM n GROUP BY ALL HAVING min(place) > 1),
+h AS (SELECT s.conv_id, s.window_no, s.room, n.chars, sum(n.tokens) OVER (PARTITION BY s.conv_id, s.window_no ORDER BY n.place = 1 AND n.role = 'system' DESC, n.place DESC) AS used
+  FROM s JOIN n ON n.conv_id = s.conv_id AND CASE WHEN n.place = 1 AND n.role = 'system' THEN n.tokens <= s.room ELSE n.place BETWEEN s.at - 2 AND s.at - 1 END),
+o AS (SELECT conv_id, sum(chars) AS again FROM h WHERE used <= room GROUP BY 1)
 SELECT n.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(chars) + coalesce(any_value(again), 0))::BIGINT AS formatted_chars

@@ -243,3 +243,45 @@ def test_stream_into_the_message_table(spark, stream):
         ingest.message_sink(source, f"{folder}/table", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     stored = tables.read_table(spark, f"{folder}/table")
     assert stored.count() == msgs.select("channel", "ts_us").distinct().count() == 9
+
+
+def test_stream_sessions_after_a_restart_with_late_rows(spark, chat):
+    """A stream stopped between files goes on where it was; rows behind the watermark change nothing; a busy channel comes as slots."""
+    folder = tempfile.mkdtemp(prefix="run-")
+    parts = [[(m, "U1", "x") for m in (0, 30, 59, 119, 200)], [(m, "U1", "x") for m in (230, 500, 2 * DAY)] + [(10, "U1", "x", {"channel": "C2"})],
+             [(m, "U1", "late") for m in (70, 260)] + [(2 * DAY + 30, "U1", "x")], [(9 * DAY, "U1", "end"), (9 * DAY, "U1", "end", {"channel": "C2"})]]
+    source = None
+    for n, part in enumerate(parts):
+        rows = chat(part).withColumn("event_time", F.timestamp_micros("ts_us"))
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        got = drain(spark, sessions.session_rollup(source, ["channel"], watermark="1 hour").select("channel", "start_us", "end_us", "message_count"), folder)
+    told = sorted((r.channel, r.start_us // MIN, r.end_us // MIN, r.message_count) for r in got.collect())
+    assert told == [("C1", 0, 59, 3), ("C1", 119, 119, 1), ("C1", 200, 230, 2), ("C1", 500, 500, 1), ("C1", 2 * DAY, 2 * DAY + 30, 2)]
+
+
+def test_stream_sessions_by_several_keys_and_odd_gaps(spark, chat):
+    folder = tempfile.mkdtemp(prefix="run-")
+    rows = [(m * 7 % 900, f"U{m % 3}", "x", {"channel": f"C{m % 2}"}) for m in range(300)] + [(99 * DAY, f"U{m % 3}", "x", {"channel": f"C{m % 2}"}) for m in range(6)]
+    msgs = chat(rows).withColumn("event_time", F.timestamp_micros("ts_us"))
+    msgs.repartition(6).write.parquet(f"{folder}/in")
+    keys = ["channel", "user_id"]
+    source = spark.readStream.schema(msgs.schema).parquet(f"{folder}/in")
+    plan = sessions.session_rollup(source, keys, gap_minutes=12.5, watermark="30 days")
+    got = drain(spark, plan, folder)
+    want = sessions.session_rollup(msgs, keys, gap_minutes=12.5).filter(F.col("end_us") < 60 * DAY * MIN)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*keys, "start_us", "end_us", "message_count").collect()))
+    assert got.count() > 10
+
+
+def test_no_exchange_of_single_rows_by_channel(spark, stream):
+    """The only exchange before the partial counts of slots is none; by channel alone go slots."""
+    _, source, folder = stream
+    plan = sessions.session_rollup(source, ["channel"], watermark="1 day")
+    query = plan.writeStream.outputMode("append").format("memory").queryName("plan_of_sessions").option("checkpointLocation", f"{folder}/plan").trigger(availableNow=True).start()
+    query.awaitTermination()
+    text = query._jsq.explainInternal(False)
+    exchanges = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and "window" in exchanges[1] and "window" not in exchanges[0].split("),")[0].replace("window_time", "")
+    below = text[text.index(exchanges[1]):]
+    assert "partial_count" in below or "HashAggregate" in below

@@ -229,7 +229,7 @@ def day_final_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("session_stream", with_(MSGS, MAIN) + """
 , x AS (SELECT channel, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS message_count FROM seg GROUP BY channel, seg_no), l AS (SELECT max(ts_us) AS t FROM main)
-SELECT x.* FROM x, l WHERE end_us + 3599999999 <= (t // 1000) * 1000 - 86400000000""")
+SELECT x.* FROM x, l WHERE (end_us // 3600000000 + 2) * 3600000000 <= (t // 1000) * 1000 - 86400000000""")
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that are closed when the whole table has gone through a stream."""
     return _drain(spark, sf_dir, lambda s: sessions.session_rollup(segments.main_messages(s), ["channel"], watermark="1 day").select(

@@ -31,7 +31,7 @@ PIECE = 1 << 16  # bytes of a plane compressed together
 STEP = 512  # bits between stored counts
 END_ID = 1
 #: Words remembered with their ids in each Python worker (some 150 bytes each); of a full store the half that was met most often stays.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_200_000
 #: Bytes encoded at once; each time the new words are merged into the store.
 BLOCK = 1 << 20
 #: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.

@@ -1,32 +1,96 @@
-"""Gap sessionisation on streams; the same code runs on a batch table."""
+"""Gap sessionisation on streams; the same code runs on a batch table.
+
+Single messages never meet by key alone. They are first reduced to one row per key and time slot no wider than the gap, by an
+aggregate with a partial step before its exchange; a slot leaves it when the watermark has passed the slot's end. The second step keeps one open
+session per key, gets slots only, and closes the session when the watermark says that no slot can extend it any more.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadloom.functions.clock import minutes
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def session_rollup(messages: DataFrame, keys: Sequence[str], gap_minutes: float = 60.0, watermark: str | None = None) -> DataFrame:
-    """Sessions with ``session_window``. Spark merges at a gap of exactly the width and the batch rule splits
-    there, so the window is one microsecond shorter than the threshold."""
-    width = f"{minutes(gap_minutes) - 1} microseconds"
-    source = messages.withWatermark("event_time", watermark) if watermark else messages
+    """``(keys..., start_us, end_us, message_count)`` of sessions; a gap of exactly the width splits.
+
+    On a stream (columns ``event_time`` and ``ts_us``) a session comes out once, after it was closed; rows later than the watermark are left
+    out, and a stream without a watermark closes nothing.
+    """
     if not messages.isStreaming:
         return _from_slots(messages, keys, minutes(gap_minutes))
-    # Aggregate state is a count, a minimum and a maximum; sessions are merged after partial aggregation.
-    return source.groupBy(*keys, F.session_window("event_time", width)).agg(
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count(F.lit(1)).alias("message_count"))
+    source = messages.withWatermark("event_time", watermark) if watermark else messages
+    return _streamed(source, list(keys), minutes(gap_minutes))
 
 
 def _from_slots(messages: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
-    """The same on a table, where a busy key must not meet in one task as single rows: messages in one slot no wider than the gap
-    belong to one session, so each slot is first reduced to its ends and its count."""
+    """Sessions of a table: slots are merged by windows as long as the slot's own span and the gap."""
     slots = messages.groupBy(*keys, F.floor(F.col("ts_us") / gap_us).alias("_slot")).agg(
         F.min("ts_us").alias("_lo"), F.max("ts_us").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    # A window as long as the slot's own span and the gap, which Spark merges with all it overlaps.
     span = F.concat((F.col("_hi") - F.col("_lo") + gap_us - 1).cast("string"), F.lit(" microseconds"))
     return slots.withColumn("_at", F.timestamp_micros("_lo")).groupBy(*keys, F.session_window("_at", span)).agg(
         F.min("_lo").alias("start_us"), F.max("_hi").alias("end_us"), F.sum("_n").alias("message_count"))
+
+
+def use_rocks(spark: SparkSession) -> None:
+    """Named state needs this store; a session that has chosen it, or another one that can, is left alone."""
+    if "RocksDB" not in spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKS)
+
+
+def _streamed(source: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    use_rocks(source.sparkSession)
+    slots = source.groupBy(*keys, F.window("event_time", f"{gap_us} microseconds")).agg(
+        F.min("ts_us").alias("_lo"), F.max("ts_us").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    closed = slots.select(*keys, F.window_time("window").alias("_slot_time"), "_lo", "_hi", "_n")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keys).schema.fields)
+    return closed.groupBy(*keys).transformWithState(
+        OpenSession(keys, gap_us), f"{types}, start_us long, end_us long, message_count long", outputMode="append", timeMode="eventTime")
+
+
+class OpenSession(StatefulProcessor):
+    """The open session of one key: ends and count. Slots come when they are closed, so in order of time from batch to batch."""
+
+    def __init__(self, keys: list[str], gap_us: int):
+        self.keys, self.gap_us = keys, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start_us long, end_us long, message_count long")
+
+    def _told(self, key: tuple, session: tuple) -> Row:
+        return Row(**dict(zip(self.keys, key)), start_us=session[0], end_us=session[1], message_count=session[2])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = tuple(self.open.get()) if self.open.exists() else None
+        before = now
+        for slot in sorted((r["_lo"], r["_hi"], r["_n"]) for r in rows):
+            if now is not None and slot[0] - now[1] < self.gap_us:
+                now = (now[0], max(now[1], slot[1]), now[2] + slot[2])
+                continue
+            if now is not None:
+                yield self._told(key, now)
+            now = slot
+        self.open.update(now)
+        if before is not None:
+            self.handle.deleteTimer(self._closes(before))
+        self.handle.registerTimer(self._closes(now))
+
+    def _closes(self, session: tuple) -> int:
+        """When the slot after the session's last one is closed, nothing can extend it: in milliseconds."""
+        return (session[1] // self.gap_us + 2) * self.gap_us // 1000
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.open.exists():
+            yield self._told(key, tuple(self.open.get()))
+            self.open.clear()
+
+    def close(self) -> None:
+        pass

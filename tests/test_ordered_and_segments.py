@@ -1,10 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import MIN
 from threadloom.operators import conversations, segments
-from threadloom.operators.ordered import first_n, ordered
+from threadloom.operators.ordered import first_n, ordered, sub_slots
 from threadloom.streaming.sessions import session_rollup
 
 
@@ -32,6 +33,37 @@ def test_ordered_matches_a_plain_loop(spark):
             assert g.b == sum(x[2] < r[2] for x in part)
 
 
+def hot_rows(seed, n=600):
+    """95 % of the rows in one slot of one key, half of these at one moment."""
+    rng = random.Random(seed)
+    return [(i, "hot", rng.choice([7 * MIN, rng.randrange(0, 60 * MIN)]), rng.randrange(5)) if rng.random() < 0.95 else (i, rng.choice("ab"), rng.randrange(0, 10**10), 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [20, 7, 100_000])
+def test_hot_slots_are_cut_and_nothing_changes(spark, most):
+    rows = hot_rows(3)
+    df = spark.createDataFrame(rows, "msg_id long, k string, ts_us long, v long")
+    want = {"prev": {"p": F.col("v")}, "following": {"f": F.col("v")}, "running_sum": {"s": F.col("v")}, "max_before": {"m": F.col("v")}, "number": "n", "before": "b"}
+    plain = sorted(map(tuple, ordered(df, ["k"], **want).collect()))
+    assert sorted(map(tuple, ordered(df, ["k"], most_rows=most, **want).collect())) == plain
+    by_name = df.withColumn("name", F.lpad(F.col("msg_id").cast("string"), 5, "0"))
+    assert sorted(tuple(r)[:4] + tuple(r)[5:] for r in ordered(by_name, ["k"], tie=("name",), most_rows=most, **want).collect()) == plain
+    assert sorted(map(tuple, ordered(df, ["k"], tie=(), most_rows=most, running_sum={"c": F.lit(1)}).groupBy("k").agg(F.max("c")).collect())) == sorted(
+        map(tuple, df.groupBy("k").count().collect()))
+
+
+def test_a_hot_slot_lies_in_many_parts(spark):
+    rows = hot_rows(4, 2_000)
+    df = spark.createDataFrame(rows, "msg_id long, k string, ts_us long, v long").withColumn("_slot", F.floor(F.col("ts_us") / (60 * MIN)))
+    cut = sub_slots(df, ["k"], ["ts_us", "msg_id"], 50)
+    sizes = [r["count"] for r in cut.groupBy("k", "_slot", "_s1", "_s2").count().collect()]
+    assert sum(sizes) == 2_000 and max(sizes) <= 150 and len(sizes) >= 20
+    at = [(r.ts_us, r.msg_id, (r._s1, r._s2)) for r in cut.filter("k = 'hot'").orderBy("ts_us", "msg_id").collect()]
+    assert [x[2] for x in at] == sorted(x[2] for x in at), "parts follow the order"
+    same = df.withColumn("ts_us", F.lit(5)).withColumn("_slot", F.lit(0))
+    assert max(r["count"] for r in sub_slots(same, ["k"], ["ts_us", "msg_id"], 50).groupBy("k", "_s1", "_s2").count().collect()) <= 150
+
+
 def test_ordered_keeps_null_values(spark):
     df = spark.createDataFrame([(0, "a", 0, None), (1, "a", 5, "x"), (2, "a", 9, None)], "msg_id long, k string, ts_us long, v string")
     rows = ordered(df, ["k"], prev={"p": F.col("v")}, following={"f": F.col("v")}).orderBy("msg_id").collect()

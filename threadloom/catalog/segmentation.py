@@ -117,6 +117,6 @@ def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT channel, msg_id, row_number() OVER (PARTITION BY channel ORDER BY ts_us, msg_id) AS place,
   lag(ts_us) OVER (PARTITION BY channel ORDER BY ts_us, msg_id) AS previous_us FROM msgs""")
 def ordered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from threadloom.operators.ordered import ordered
-    return ordered(messages(spark, sf_dir), ["channel"], number="place", prev={"previous_us": F.col("ts_us")}).select(
+    from threadloom.operators.ordered import HOT_ROWS, ordered
+    return ordered(messages(spark, sf_dir), ["channel"], number="place", prev={"previous_us": F.col("ts_us")}, most_rows=HOT_ROWS).select(
         "channel", "msg_id", "place", "previous_us")

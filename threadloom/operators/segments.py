@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.functions.clock import HOUR_US, minutes, slot
 from threadloom.functions.predicates import has_work_indicator, is_bot_message
-from threadloom.operators.ordered import ordered
+from threadloom.operators.ordered import HOT_ROWS, ordered
 
 GAP_MINUTES = 60.0
 BOUNDARY_CONFIDENCE = 0.6
@@ -117,11 +117,11 @@ def thread_messages(messages: DataFrame) -> DataFrame:
 
 
 def message_pairs(messages: DataFrame, keys: Sequence[str], *, ts: str = "ts_us", tie: Sequence[str] = ("msg_id",),
-                  width_us: int = HOUR_US) -> DataFrame:
+                  width_us: int = HOUR_US, most_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adjacent messages of a conversation; blank text reads ``[no text]``. With a ``user_id`` the pairs have both authors."""
     shown = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit("[no text]")).otherwise(F.col("text"))
     authors = "user_id" in messages.columns
-    pairs = ordered(messages, keys, ts=ts, tie=tie, width_us=width_us, number="_n",
+    pairs = ordered(messages, keys, ts=ts, tie=tie, width_us=width_us, number="_n", most_rows=most_rows,
                     following={"second_text": shown, "second_ts": F.col(ts), **({"second_user": F.col("user_id")} if authors else {})})
     return pairs.filter(F.col("second_ts").isNotNull()).select(
         *keys, (F.col("_n") - 1).alias("pair_index"), F.col(ts).alias("first_ts"), shown.alias("first_text"),
@@ -130,7 +130,7 @@ def message_pairs(messages: DataFrame, keys: Sequence[str], *, ts: str = "ts_us"
 
 def split_at_boundaries(segment_msgs: DataFrame, decisions: DataFrame, ids: Sequence[str],
                         min_confidence: float = BOUNDARY_CONFIDENCE, *, ts: str = "ts_us", tie: Sequence[str] = ("msg_id",),
-                        width_us: int = HOUR_US, min_messages: int = MIN_MESSAGES_FOR_BOUNDARIES) -> DataFrame:
+                        width_us: int = HOUR_US, min_messages: int = MIN_MESSAGES_FOR_BOUNDARIES, most_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``sub_no``: how many accepted boundaries lie before a message inside its segment.
 
     ``decisions``: ``(ids..., pair_index, is_boundary, confidence)``; the cut falls after message
@@ -140,15 +140,15 @@ def split_at_boundaries(segment_msgs: DataFrame, decisions: DataFrame, ids: Sequ
     # The cut belongs to the message after the pair, whose 1-based place is pair_index + 2.
     cuts = decisions.filter(F.col("is_boundary") & (F.col("confidence") >= min_confidence)).select(
         *ids, (F.col("pair_index") + 2).alias("place"), F.lit(1).alias("_cut")).dropDuplicates([*ids, "place"])
-    placed = ordered(segment_msgs, ids, ts=ts, tie=tie, width_us=width_us, number="place").join(sizes, list(ids))
+    placed = ordered(segment_msgs, ids, ts=ts, tie=tie, width_us=width_us, number="place", most_rows=most_rows).join(sizes, list(ids))
     marked = placed.join(cuts, [*ids, "place"], "left").withColumn(
         "_cut", F.when(F.col("_size") >= min_messages, F.coalesce("_cut", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    return ordered(marked, ids, ts=ts, tie=tie, width_us=width_us, running_sum={"sub_no": F.col("_cut")}).drop("_cut", "_size")
+    return ordered(marked, ids, ts=ts, tie=tie, width_us=width_us, running_sum={"sub_no": F.col("_cut")}, most_rows=most_rows).drop("_cut", "_size")
 
 
 def batches(df: DataFrame, keys: Sequence[str], size: int, **order) -> DataFrame:
     """Consecutive batches of ``size`` rows per key: ``batch_no`` counts from 0."""
-    return ordered(df, keys, number="_place", **order).withColumn(
+    return ordered(df, keys, number="_place", **({"most_rows": HOT_ROWS} | order)).withColumn(
         "batch_no", F.floor((F.col("_place") - 1) / F.lit(size)).cast("long")).drop("_place")
 
 

@@ -62,6 +62,36 @@ def test_fold_matches_a_plain_loop(conv_table, mode, seed):
     assert found.filter("merged").count() == merged
 
 
+@pytest.mark.parametrize("mode", ["bot", "trivial"])
+@pytest.mark.parametrize("seed, rows_of_a_chunk", [(1, 1), (2, 3), (3, 10)])
+def test_chunks_of_a_long_island_are_stitched(conv_table, monkeypatch, mode, seed, rows_of_a_chunk):
+    """One island of close conversations, cut almost everywhere, against the plain loop."""
+    monkeypatch.setattr(folds, "CHUNK_ROWS", rows_of_a_chunk)
+    rng, rows, at = random.Random(seed), [], 0
+    for i in range(150):
+        at += rng.choice([1, 5, 29, 30, 31])
+        bot = not (rows and rows[-1]["bot"]) if rng.random() < 0.7 else rng.random() < 0.6
+        rows.append({"id": f"c{i:03d}", "start": at, "end": at + rng.choice([0, 0, 2, 40]), "count": rng.choice([1, 1, 2, 2, 3, 9]), "bot": bot, "chars": rng.choice([20, 99, 100]), "work": rng.random() < 0.3})
+    rows += [dict(r, id=f"d{r['id']}", channel="C2") for r in rows[:40]]
+    for channel in ("C1", "C2"):
+        want, merged = plain_fold([r for r in rows if r.get("channel", "C1") == channel], mode)
+        found = (folds.merge_bots if mode == "bot" else folds.merge_trivial)(conv_table(rows), SCOPE).filter(F.col("channel") == channel)
+        assert outcome(found) == want and found.count() == len(want)
+        assert found.filter("merged").count() == merged
+
+
+def test_a_long_island_goes_to_many_chunks_and_lone_rows_to_none(conv_table, monkeypatch):
+    monkeypatch.setattr(folds, "CHUNK_ROWS", 20)
+    rows = [{"id": f"c{i:04d}", "start": i * 10, "end": i * 10 + 1, "bot": i % 2 == 1} for i in range(400)] + [{"id": f"e{i}", "start": 9_000 + 100 * i, "end": 9_000 + 100 * i, "bot": i % 2 == 0} for i in range(30)]
+    placed = folds.islands(conv_table(rows), SCOPE, F.col("is_bot"), 30 * MIN)
+    assert placed.filter("alone").count() == 30 and placed.filter("NOT alone").select("island").distinct().count() == 1
+    assert outcome(folds.merge_bots(conv_table(rows), SCOPE)) == plain_fold(rows_with_defaults(rows), "bot")[0]
+
+
+def rows_with_defaults(rows):
+    return [{"count": 5, "chars": 500, "work": False, **r} for r in rows]
+
+
 def test_bot_cases(conv_table):
     def run(*rows):
         return outcome(folds.merge_bots(conv_table([{"id": i, "start": s, "end": e, "bot": b} for i, s, e, b in rows]), SCOPE))

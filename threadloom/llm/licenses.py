@@ -9,7 +9,7 @@ Further segments are paragraphs and runs of comment lines, comment marks removed
 Paragraphs are weighed against the headers that licenses ask for (``HEADERS``), runs and whole files against whole license texts
 (``license_texts``). Here a term weighs ``(1 + ln tf) * (ln((1 + T) / (1 + tf_T)) + 1)`` with frequencies over the ``T`` templates of
 the kind, so that what tells licenses apart weighs most. A segment that reaches the threshold must hold a number of a template's rarer
-terms (:func:`telling_terms`). Texts that don't are not cut at all, segments that don't are not weighed, each by one look at the row.
+terms (:func:`telling_terms`). Texts that don't are not cut at all, segments that don't are not weighed.
 
 A file's own license is that of its best segment. Files named as license files speak for their directory; a file without a license of
 its own takes that of the nearest directory above that has one, by a join on the paths of its ancestors.
@@ -32,8 +32,12 @@ from threadloom.session import cut_lineage
 
 TERM = "[a-z0-9]+"
 THRESHOLD = 0.75
+#: Terms of fewer characters tell templates from prose badly.
+LONG_TERM = 5
 #: Directories with a license up to this many rows go to every task; more are joined by a shuffle.
 BROADCAST_DIRECTORIES = 200_000
+#: Texts that may hold a license, by id and hash, up to this many rows.
+BROADCAST_TEXTS = 200_000
 
 #: Notices that name a license.
 TEMPLATES = {
@@ -153,26 +157,38 @@ def telling_terms(weights: Mapping[str, float], idf: Mapping[str, float], thresh
     """Some terms of a template, of length 1, that occur in few templates, and how many of them a text at the threshold has at least.
 
     Cosine is no larger than the length of what the text has of the template. At the threshold only ``1 - threshold ** 2`` of the squares
-    can be missing, so of any part of the terms the text has the rest. Of the parts above some inverse frequency the one that asks for
-    most terms is taken.
+    can be missing, so of any part of the terms the text has the rest. The part of the rarest terms is taken that still asks for a third
+    as many terms as any part does; short words, which every prose has, are left aside where the others ask for any.
     """
-    best: tuple[int, int, list[str]] = (0, 0, [])
-    for least in sorted({idf[t] for t in weights}):
-        part = sorted(t for t in weights if idf[t] >= least)
+    parts = []
+    for least in sorted({(len(t) >= LONG_TERM, idf[t]) for t in weights}, reverse=True):
+        part = sorted(t for t in weights if (len(t) >= LONG_TERM, idf[t]) >= least)
         squares = sorted((weights[t] ** 2 for t in part), reverse=True)
         lack, number = sum(squares) - (1 - threshold * threshold) - 1e-9, 0
         while lack > 0:
             lack, number = lack - squares[number], number + 1
-        best = max(best, (number, -len(part), part))
-    return best[2], best[0]
+        parts.append((number, part))
+    most = max((n for n, p in parts if min(map(len, p)) >= LONG_TERM), default=0) or max(n for n, _ in parts)
+    number, part = next(p for p in parts if p[0] and 3 * p[0] >= most)
+    return part, number
 
 
-def _may_reach(words: Column, sets: Sequence[Mapping[str, str]], threshold: float) -> Column:
-    """Whether words may reach the threshold with any template of the sets; a text can't where none of its parts could."""
-    told = [telling_terms(w, idf, threshold) for weights, idf, _ in map(_damped, sets) for w in weights.values()]
+def _telling(sets: Sequence[Mapping[str, str]], threshold: float) -> list[tuple[list[str], int]]:
+    return [telling_terms(w, idf, threshold) for weights, idf, _ in map(_damped, sets) for w in weights.values()]
+
+
+def _may_reach(words: Column, templates: Mapping[str, str], threshold: float) -> Column:
+    """Whether the words of a segment may reach the threshold with any template."""
+    told = _telling([templates], threshold)
     listed = lambda ts: F.split(F.lit(" ".join(ts)), " ")
-    some = F.size(F.array_intersect(words, listed(sorted(set().union(*(t for t, _ in told)))))) >= min(n for _, n in told)
-    return some & functools.reduce(lambda x, y: x | y, [F.size(F.array_intersect(words, listed(t))) >= n for t, n in told])
+    every = listed(sorted(set().union(*(t for t, _ in told))))
+
+    def held(found: Column) -> Column:
+        return functools.reduce(lambda x, y: x | y, [F.size(F.array_intersect(found, listed(t))) >= n for t, n in told])
+
+    # Bound to names by lambdas, or the words would be cut anew for every template.
+    shared = F.transform(F.array(words), lambda w: F.array_intersect(w, every))
+    return F.exists(shared, lambda found: (F.size(found) >= min(n for _, n in told)) & held(found))
 
 
 def _words(text: Column) -> Column:
@@ -182,7 +198,7 @@ def _words(text: Column) -> Column:
 def scan_segments(segments: DataFrame, templates: Mapping[str, str], threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, mark, license, score)`` of all templates at the threshold for ``segments (doc_id, mark, said)``, in lower case."""
     weights, idf, unknown = _damped(templates)
-    held = segments.select("doc_id", "mark", _words(F.col("said")).alias("_words")).filter(_may_reach(F.col("_words"), [templates], threshold))
+    held = segments.select("doc_id", "mark", _words(F.col("said")).alias("_words")).filter(_may_reach(F.col("_words"), templates, threshold))
     # A segment is known by its words; equal ones of a text are one.
     numbered = held.withColumn("_seg", F.xxhash64("_words")).dropDuplicates(["doc_id", "mark", "_seg"])
     counted = numbered.select("doc_id", "mark", "_seg", F.explode("_words").alias("term")).groupBy("doc_id", "mark", "_seg", "term").agg(F.count(F.lit(1)).alias("_tf"))
@@ -202,8 +218,16 @@ def scan_blocks(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, mark, license, score)`` of paragraphs, runs of comment lines and whole license files at the threshold."""
     text = F.coalesce("text", F.lit(""))
     read = files.select("doc_id", F.xxhash64(text).alias("mark"), lower_ascii(text).alias("_text"), F.coalesce(_speaks(F.col("path")), F.lit(False)).alias("_speaks"))
-    # Most texts have too few of the templates' own words for any of their parts.
-    read = read.filter(_may_reach(_words(F.col("_text")), [HEADERS, whole_texts()], threshold))
+    told = _telling([HEADERS, whole_texts()], threshold)
+    one = files.sparkSession.range(1)  # both sides are as large as the templates
+    terms_of = one.select(F.explode(F.from_json(F.lit(json.dumps({i: t for i, (t, _) in enumerate(told)})), "map<string,array<string>>")).alias("_t", "_terms")).select(
+        "_t", F.explode("_terms").alias("term"))
+    needs = one.select(F.explode(F.from_json(F.lit(json.dumps({i: n for i, (_, n) in enumerate(told)})), "map<string,int>")).alias("_t", "_need"))
+    # Most texts have too few of any template's own words for all of their parts.
+    words = read.select("doc_id", "mark", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
+    met = words.join(F.broadcast(terms_of), "term").groupBy("doc_id", "mark", "_t").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(needs), "_t").filter("_n >= _need")
+    few = cut_lineage(met.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct())
+    read = read.join(small_side(few, BROADCAST_TEXTS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left_semi")
     plain = F.regexp_replace("_text", COMMENT, "")
     paragraphs = read.select("doc_id", "mark", F.explode(F.split(plain, r"\n[ \t\r]*\n")).alias("said"))
     # What stands between lines without a comment mark.

@@ -10,6 +10,7 @@ from threadloom.catalog.activity import PEOPLE, people, user_periods
 from threadloom.catalog.consolidation import SCOPE, TO_TOPICS, Consolidation
 from threadloom.catalog.registry import query
 from threadloom.catalog.sql import MSGS, with_
+from threadloom.catalog.user_sql import TO_USER_TOPICS
 from threadloom.functions import rendering
 from threadloom.operators import folds, segments, words
 from threadloom.plans import prompts, report, summary
@@ -183,7 +184,8 @@ def user_summaries(spark: SparkSession, sf_dir: str, model: prompts.TextModel |
         authors.filter(F.col("channel").startswith("G")).withColumn("place", place), CHAT_BASE, model)
 
 
-@query("user_topics")
+@query("user_topics", with_(*TO_USER_TOPICS, recursive=True) + """
+SELECT owner_id, channel, topic_id, narrative_summary, start_us, end_us, message_count, user_messages, timesheet_entry, 'https://acme.slack.com/archives/'||channel||'/p'||start_us AS slack_link FROM utopic""")
 def user_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of every user in their period, described without a model."""
     return user_summaries(spark, sf_dir).topic_summaries.select(

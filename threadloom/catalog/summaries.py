@@ -10,7 +10,7 @@ from threadloom.catalog.activity import PEOPLE, people, user_periods
 from threadloom.catalog.consolidation import SCOPE, TO_TOPICS, Consolidation
 from threadloom.catalog.registry import query
 from threadloom.catalog.sql import MSGS, with_
-from threadloom.catalog.user_sql import TO_USER_TOPICS
+from threadloom.catalog.user_sql import ANSWERED, DOCUMENTS, TO_DOCUMENTS, TO_NAMED, TO_USER_TOPICS
 from threadloom.functions import rendering
 from threadloom.operators import folds, segments, words
 from threadloom.plans import prompts, report, summary
@@ -168,7 +168,7 @@ def fixed_model(asked: list[str]) -> list[str]:
     return [answer(p) for p in asked]
 
 
-@query("model_plugin")
+@query("model_plugin", with_(*TO_NAMED, recursive=True) + ANSWERED)
 def model_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of all users described by a text model function."""
     return user_summaries(spark, sf_dir, fixed_model).topic_summaries.select("owner_id", "channel", "topic_id", "narrative_summary", "timesheet_entry")
@@ -192,11 +192,21 @@ def user_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "owner_id", "channel", "topic_id", "narrative_summary", "start_us", "end_us", "message_count", "user_messages", "timesheet_entry", "slack_link")
 
 
-@query("summary_doc")
+@query("summary_doc", with_(*TO_DOCUMENTS, recursive=True) + ", " + DOCUMENTS.strip())
 def summary_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per user."""
-    docs = summary.summary_documents(user_summaries(spark, sf_dir), F.lit("2024-02-01T00:00:00.000"))
-    return docs.select("owner_id", F.to_json(F.struct("metadata", "summary", "channels")).alias("document"))
+    """One JSON document per user, read back from its text: a row per topic, or per channel or user without one."""
+    docs = summary.summary_documents(user_summaries(spark, sf_dir), F.lit("2024-02-01T00:00:00.000")).select("metadata", "summary", "channels")
+    text = docs.select(F.to_json(F.struct("metadata", "summary", "channels")).alias("document"))
+    read = text.select(F.from_json("document", docs.schema).alias("d")).select("d.*", F.explode_outer("d.channels").alias("c")).select("*", F.explode_outer("c.topics").alias("t"))
+    stats = ["original_segments", "consolidated_topics"] + [F.col(f"c.consolidation_stats.{a}").alias(b) for a, b in (
+        ("bot_messages_merged", "bots_merged"), ("trivial_messages_merged", "trivial_merged"), ("adjacent_merged", "adjacent_merged"),
+        ("proximity_merged", "proximity_merged"), ("same_author_merged", "same_author_merged"))]
+    stats[:2] = [F.col(f"c.consolidation_stats.{n}").alias(n) for n in stats[:2]]
+    return read.select(
+        F.col("metadata.request.user_id").alias("owner_id"), "metadata.request.period_start", "metadata.request.period_end", "metadata.request.timezone", "metadata.schema_version", "summary.*",
+        "c.channel_id", "c.channel_name", "c.channel_type", "c.interactions.messages_sent", F.col("c.interactions.mentions_received").alias("channel_mentions"), "c.interactions.threads", *stats,
+        "t.narrative_summary", "t.start_time", "t.end_time", "t.message_count", "t.user_messages", F.array_join("t.participants", ", ").alias("participants"),
+        F.array_join("t.references", ", ").alias("refs"), "t.timesheet_entry", "t.slack_link", "t.segments_merged")
 
 
 @query("report_lines")

@@ -149,6 +149,20 @@ def test_document_and_report(build):
         assert line in text, line
 
 
+def test_report_as_lines_is_the_same_report(build, tmp_path, spark):
+    rows = [(DAY + i, "U1", f"{WORK} {i} AB-{i}") for i in range(3)] + [(DAY + 400, "U1", f"{WORK} AB-1 <@U2>"), (DAY + 401, "U1", "ok", {"channel": "D1"}), (DAY + 900, "U2", f"{WORK} other <@U1>"),
+            (DAY + 901, "U1", "yes", {"thread": DAY + 900}), (DAY - 40, "U2", "before")]
+    for some in (rows, []):
+        run = build(some or [(9 * DAY, "U2", "elsewhere")])
+        parts = run.topic_summaries, run.channel_summaries, run.totals, run.periods, F.lit(DAY * MIN)
+        lines = report.report_lines(*parts)
+        got = [r.line for r in lines.orderBy("line_no").collect()]
+        assert got == report.reports(*parts).first().report.split("\n")
+        assert [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(len(got)))
+    report.write_report_lines(lines, f"{tmp_path}/report")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/report/owner_id=U1").select("value").collect()] == got
+
+
 def test_days_are_clamped_into_the_period(spark):
     topics = spark.createDataFrame([("U1", "p", "C1", t * MIN) for t in (0, DAY + 5, 9 * DAY)], "owner_id string, period_no string, channel string, start_us long")
     span = spark.createDataFrame([("U1", "p", DAY * MIN, 3 * DAY * MIN - 1000, "UTC")], "owner_id string, period_no string, start_us long, end_us long, tz string")

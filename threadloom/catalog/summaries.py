@@ -10,7 +10,7 @@ from threadloom.catalog.activity import PEOPLE, people, user_periods
 from threadloom.catalog.consolidation import SCOPE, TO_TOPICS, Consolidation
 from threadloom.catalog.registry import query
 from threadloom.catalog.sql import MSGS, with_
-from threadloom.catalog.user_sql import ANSWERED, DOCUMENTS, TO_DOCUMENTS, TO_NAMED, TO_USER_TOPICS
+from threadloom.catalog.user_sql import ANSWERED, DOCUMENTS, REPORT, TO_DOCUMENTS, TO_NAMED, TO_USER_TOPICS
 from threadloom.functions import rendering
 from threadloom.operators import folds, segments, words
 from threadloom.plans import prompts, report, summary
@@ -209,9 +209,9 @@ def summary_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("t.references", ", ").alias("refs"), "t.timesheet_entry", "t.slack_link", "t.segments_merged")
 
 
-@query("report_lines")
+@query("report_lines", with_(*TO_DOCUMENTS, recursive=True) + ", " + REPORT.strip())
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown report per user, line by line."""
     run = user_summaries(spark, sf_dir)
-    texts = report.reports(run.topic_summaries, run.channel_summaries, run.totals, run.periods, F.lit(1_706_745_600_000_000))
-    return texts.select("owner_id", F.posexplode(F.split("report", "\n")).alias("line_no", "line"))
+    lines = report.report_lines(run.topic_summaries, run.channel_summaries, run.totals, run.periods, F.lit(1_706_745_600_000_000))
+    return lines.select("owner_id", "line_no", "line")

@@ -142,3 +142,13 @@ def test_statistics_count_splits(chat):
     msgs = chat([(0, "U1", "a"), (90, "U1", "b"), (91, "U2", "c", {"thread": 0})])
     row = segments.segment_statistics(msgs).first()
     assert (row.total_messages, row.total_conversations, row.threads_extracted, row.time_gap_splits) == (3, 3, 1, 1)
+
+
+def test_semantic_splits_are_counted(spark, chat):
+    """Accepted decisions count, also twice at one place; a cut at the end of a segment, or in a short one, makes nothing more."""
+    msgs = chat([(m, "U1", "x") for m in (0, 1, 2, 3, 200, 201, 400)] + [(5, "U1", "r", {"thread": 0})])
+    rows = [("C1", 1, 0, True, 0.6), ("C1", 1, 0, True, 0.9), ("C1", 1, 2, True, 0.59), ("C1", 1, 3, True, 0.9), ("C1", 1, 1, False, 0.9), ("C1", 2, 0, True, 0.9)]
+    decisions = spark.createDataFrame(rows, "channel string, seg_no long, pair_index long, is_boundary boolean, confidence double")
+    got = segments.segment_statistics(msgs, decisions=decisions).first()
+    assert (got.total_messages, got.total_conversations, got.threads_extracted, got.time_gap_splits, got.semantic_splits) == (8, 5, 1, 2, 3)
+    assert segments.segment_statistics(msgs).first().semantic_splits == 0

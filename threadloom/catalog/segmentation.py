@@ -33,7 +33,23 @@ FROM (SELECT channel, count(*) AS n FROM msgs GROUP BY 1) t
 LEFT JOIN (SELECT channel, max(seg_no)::BIGINT AS n FROM seg GROUP BY 1) s USING (channel)
 LEFT JOIN (SELECT channel, count(DISTINCT thread_us) AS n FROM msgs GROUP BY 1) h USING (channel)""")
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.segment_statistics(messages(spark, sf_dir))
+    return segments.segment_statistics(messages(spark, sf_dir)).drop("semantic_splits")
+
+
+@query("segment_stats_with_boundaries", with_(MSGS, MAIN) + """,
+q AS (SELECT channel, seg_no, row_number() OVER w - 1 AS pair_index, lead(text) OVER w LIKE 'Planning%' AS cut, count(*) OVER (PARTITION BY channel, seg_no) AS size FROM seg
+  WINDOW w AS (PARTITION BY channel, seg_no ORDER BY ts_us, msg_id)),
+c AS (SELECT channel, count(*) AS n FROM q WHERE cut AND size >= 3 AND pair_index % 2 = 0 GROUP BY 1)
+SELECT t.channel, t.n AS total_messages, s.n + coalesce(c.n, 0) + coalesce(h.n, 0) AS total_conversations, coalesce(h.n, 0) AS threads_extracted, s.n - 1 AS time_gap_splits, coalesce(c.n, 0) AS semantic_splits
+FROM (SELECT channel, count(*) AS n FROM msgs GROUP BY 1) t LEFT JOIN (SELECT channel, max(seg_no)::BIGINT AS n FROM seg GROUP BY 1) s USING (channel)
+LEFT JOIN (SELECT channel, count(DISTINCT thread_us) AS n FROM msgs GROUP BY 1) h USING (channel) LEFT JOIN c USING (channel)""")
+def segment_stats_with_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters where a message that plans begins something new; every other decision is too unsure."""
+    msgs = messages(spark, sf_dir)
+    tagged = segments.gap_segments(segments.main_messages(msgs))
+    pairs = segments.message_pairs(tagged, ["channel", "seg_no"])
+    sure = F.when(F.col("pair_index") % 2 == 0, 0.8).otherwise(0.5)
+    return segments.segment_statistics(msgs, decisions=pairs.select("channel", "seg_no", "pair_index", F.col("second_text").startswith("Planning").alias("is_boundary"), sure.alias("confidence")))
 
 
 @query("session_window_equiv", with_(MSGS, MAIN) + """

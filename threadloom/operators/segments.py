@@ -59,17 +59,34 @@ def gap_segment_spans(messages: DataFrame, keys: Sequence[str] = ("channel",), g
         F.min("_lo").alias("start_us"), F.max("_hi").alias("end_us"), F.sum("_rows").alias("message_count"))
 
 
-def segment_statistics(messages: DataFrame, keys: Sequence[str] = ("channel",), gap_minutes: float = GAP_MINUTES) -> DataFrame:
-    """Counters of a segmentation per key: messages, conversations, threads, gap splits."""
-    spans = gap_slots(main_messages(messages), keys, gap_minutes).groupBy(*keys).agg(F.max("seg_no").alias("segments"))
+def segment_statistics(messages: DataFrame, keys: Sequence[str] = ("channel",), gap_minutes: float = GAP_MINUTES, decisions: DataFrame | None = None,
+                       min_confidence: float = BOUNDARY_CONFIDENCE, min_messages: int = MIN_MESSAGES_FOR_BOUNDARIES) -> DataFrame:
+    """Counters of a segmentation per key: messages, conversations, threads, gap splits, semantic splits.
+
+    ``decisions``: ``(keys..., seg_no, pair_index, is_boundary, confidence)`` on the pairs of segments. Every accepted one in a segment of at least
+    ``min_messages`` is a semantic split; each place that is cut makes one conversation more.
+    """
+    keys = list(keys)
+    slots = gap_slots(main_messages(messages), keys, gap_minutes)
+    spans = slots.groupBy(*keys).agg(F.max("seg_no").alias("segments"))
     totals = messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_messages"))
     # Counting distinct threads in two steps keeps the first, wide one partially aggregated.
     threads = (messages.filter(F.col("thread_us").isNotNull()).groupBy(*keys, "thread_us").agg(F.lit(1).alias("_one"))
                .groupBy(*keys).agg(F.count(F.lit(1)).alias("threads_extracted")))
-    segments, threads_n = F.coalesce("segments", F.lit(0)), F.coalesce("threads_extracted", F.lit(0))
-    return totals.join(spans, list(keys), "left").join(threads, list(keys), "left").select(
-        *keys, "total_messages", (segments + threads_n).alias("total_conversations"), threads_n.alias("threads_extracted"),
-        F.greatest(segments - 1, F.lit(0)).alias("time_gap_splits"))
+    out = totals.join(spans, keys, "left").join(threads, keys, "left")
+    zero = F.lit(0)
+    splits = pieces = zero.cast("long")
+    if decisions is not None:
+        sizes = slots.groupBy(*keys, "seg_no").agg(F.sum("_rows").alias("_size")).filter(F.col("_size") >= min_messages)
+        taken = decisions.filter(F.col("is_boundary") & (F.col("confidence") >= min_confidence)).groupBy(*keys, "seg_no", "pair_index").agg(F.count(F.lit(1)).alias("_times"))
+        inside = F.col("pair_index").between(0, F.col("_size") - 2)
+        cuts = taken.join(sizes, [*keys, "seg_no"]).groupBy(*keys).agg(F.sum("_times").alias("_splits"), F.count_if(inside).alias("_pieces"))
+        out = out.join(cuts, keys, "left")
+        splits, pieces = F.coalesce("_splits", zero), F.coalesce("_pieces", zero)
+    segments, threads_n = F.coalesce("segments", zero), F.coalesce("threads_extracted", zero)
+    return out.select(
+        *keys, "total_messages", (segments + pieces + threads_n).alias("total_conversations"), threads_n.alias("threads_extracted"),
+        F.greatest(segments - 1, zero).alias("time_gap_splits"), splits.alias("semantic_splits"))
 
 
 def author_counts(conv_msgs: DataFrame, ids: Sequence[str], owner: str | None = None) -> DataFrame:

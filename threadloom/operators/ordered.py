@@ -47,9 +47,10 @@ def sub_slots(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most_r
     number. Counts are one partial aggregate; quantiles are taken in hot slots only. Without any, both are 0 for nothing more than the count.
     """
     keys = [*keys, "_slot"]
-    hot = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_rows).select(*keys))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_rows).select(*keys)
     if hot.isEmpty():
         return rows.withColumns({"_s1": F.lit(0), "_s2": F.lit(0)})
+    hot = cut_lineage(hot)
 
     def marked(some: DataFrame, ids: list[str], value: str, within: DataFrame, name: str) -> DataFrame:
         # Hot keys are few, at most as many as the table has times most_rows.

@@ -94,3 +94,18 @@ def test_edits_pass_and_local_days_are_counted(spark, tmp_path):
     assert {(r.day, r.message_count) for r in days} == {("2024-01-09", 3), ("2024-01-10", 1)}
     with pytest.raises(ValueError):
         ingest.final_days(table, None, "Asia/Tokyo")
+
+
+def test_stream_sessions_come_out_a_gap_after_their_end(spark, chat, tmp_path):
+    """The watermark is a gap past the end of the second session, but not past the end of the slot after its last one."""
+    from threadloom.streaming import sessions
+
+    rows = chat([(m, "U1", "x") for m in (10, 50, 70, 200, 259, 260 + 2 * 1440)]).withColumn("event_time", F.timestamp_micros("ts_us"))
+    rows = rows.unionByName(rows.filter(F.col("ts_us") == 259 * 60_000_000).withColumn("ts_us", F.lit(319 * 60_000_000 - 1)).withColumn("event_time", F.timestamp_micros("ts_us")))
+    rows.write.parquet(f"{tmp_path}/in")
+    for late, want in ((2 * 1440 - 119, [(10, 70, 3), (200, 319, 3)]), (2 * 1440 - 118, [(10, 70, 3)])):
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        plan = sessions.session_rollup(source, ["channel"], watermark=f"{late} minutes")
+        plan.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{late}-state").trigger(availableNow=True).start(f"{tmp_path}/{late}").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/{late}").collect()
+        assert sorted((r.start_us // 60_000_000, -(-r.end_us // 60_000_000), r.message_count) for r in got) == want

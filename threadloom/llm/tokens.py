@@ -33,7 +33,7 @@ END_ID = 1
 #: Words remembered with their ids in each Python worker (some 150 bytes each); of a full store the half that was met most often stays.
 WORDS_KEPT = 1_200_000
 #: Bytes encoded at once; each time the new words are merged into the store.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.
 PIECES = np.ones(256, bool)
 PIECES[[0x20, 0x0A]] = False
@@ -54,6 +54,9 @@ class WordTokenizer:
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         if self.mark and any(s[0] != self.mark[0] for s in special):
             self.mark = None  # special tokens of several kinds: every word goes alone
+        #: Whether the tokenizer makes letters small before all else that sees their case.
+        self.folds = _lower_cases(self.library.to_str())
+        self.narrow = max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16
         self.places: dict[str, int] = {}
         self.flat, self.ends, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
@@ -78,8 +81,9 @@ class WordTokenizer:
         if alone:
             ids = [self.library.encode(w, add_special_tokens=False).ids for w in words]
             return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64)
-        texts = [f" {self.mark} ".join([*words[i:i + 512], ""]) for i in range(0, len(words), 512)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        # One text after the other: what the library holds of a text is many times its ids.
+        ids = np.concatenate([np.array(self.library.encode_batch_fast([f" {self.mark} ".join([*words[i:i + 512], ""])], add_special_tokens=False)[0].ids, np.uint32)
+                              for i in range(0, len(words), 512)])
         marks = np.flatnonzero(ids == self.mark_id)
         if len(marks) != len(words):
             raise RuntimeError("the tokenizer joins words across a special token")
@@ -87,13 +91,25 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         odd = [self.mark is None or self.mark[0] in w for w in words]
-        for alone in (False, True):
-            some = [w for w, o in zip(words, odd) if o == alone]
+        alike = [self.folds and w.isascii() and not o and not w.islower() for w, o in zip(words, odd)]
+        # Words that only differ in case have the ids of the small one, which is learnt if it isn't known.
+        small = [w.lower() for w, a in zip(words, alike) if a]
+        plain = [w for w, o, a in zip(words, odd, alike) if not o and not a]
+        plain += [w for w in dict.fromkeys(small).keys() - set(plain) if w not in self.places]
+        for some, alone in ((plain, False), ([w for w, o in zip(words, odd) if o], True)):
             if some:
-                ids, sizes = self._coded(some, alone)
-                self.places.update(zip(some, range(len(self.places), len(self.places) + len(some))))
-                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-                self.flat = np.concatenate([self.flat, ids])
+                self._keep(some, *self._coded(some, alone))
+        big = [(w, s) for w, s in zip((w for w, a in zip(words, alike) if a), small) if w not in self.places]
+        if big:
+            at = np.fromiter((self.places[s] for _, s in big), np.int64, len(big))
+            sizes = self.ends[at + 1] - self.ends[at]
+            upto = np.cumsum(sizes)
+            self._keep([w for w, _ in big], self.flat[np.repeat(self.ends[at] - (upto - sizes), sizes) + np.arange(upto[-1])], sizes)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
         self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +143,18 @@ class WordTokenizer:
         return ids, np.diff(upto[last + 1], prepend=0)
 
 
+def _lower_cases(tokenizer: str) -> bool:
+    """Whether a tokenizer, given as JSON, lower-cases all texts, after nothing but normal forms and white space, and has no added token that is
+    matched in normalised texts, where small letters may be one and capitals none."""
+    parts = json.loads(tokenizer)
+    steps = parts["normalizer"] or {}
+    steps = steps["normalizers"] if steps.get("type") == "Sequence" else [steps]
+    blank = lambda step: step.get("type") == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+    kinds = ["blank" if blank(step) else step.get("type") for step in steps]
+    before = kinds[:kinds.index("Lowercase")] if "Lowercase" in kinds else None
+    return before is not None and set(before) <= {"NFC", "NFD", "NFKC", "NFKD", "blank"}
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """What stands between blanks and ends of lines, and the first such piece of each text, one more for the end."""
     n = len(data)
@@ -164,7 +192,7 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: np.ndarray, part: int, number: i
         return [place - len(raw), len(raw)]
 
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    rest = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    rest = ids.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     planes, zeros = [], []
     for level in range(levels - 1, -1, -1):
         bits = (rest & rest.dtype.type(1 << level)) != 0
@@ -295,14 +323,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
         def shard() -> pa.RecordBatch:
             nonlocal ids, sizes, names, held, number
-            raw = pack(np.concatenate(ids), names, np.concatenate(sizes), part, number)
+            every, ids = np.concatenate(ids), []
+            raw = pack(every, names, np.concatenate(sizes), part, number)
             ids, sizes, names, held, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.large_binary())], names=["shard"])
 
         for batch in batches:
             for a, b, data, offsets in blocks(*utf8(batch.column(1)), BLOCK):
                 found, counts = coder.encode(data, offsets, end_id)
-                ids.append(found)
+                ids.append(found.astype(np.uint16) if coder.narrow and end_id < 1 << 16 else found)
                 sizes.append(counts)
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 held += len(found)

@@ -80,3 +80,17 @@ def test_empty_table(spark, docs):
     path = shared_folder(spark, "tokens")
     tokens.write_tokens(docs([]), path, VOCABULARY)
     assert tokens.read_digests(spark, path).count() == 0
+
+
+def test_words_that_differ_in_case_are_learnt_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, asked = tokens.WordTokenizer(path), []
+    coded = coder._coded
+    coder._coded = lambda words, alone: asked.extend(words) or coded(words, alone)
+    texts = ["Thorn thorn THORN, thorn, Thorn", "THORN \u0130x Stra\u00dfe STRASSE", "<|ENDOFTEXT|> <|endoftext|> THORN"]
+    for _ in range(2):
+        raw = [t.encode() for t in texts]
+        ids, sizes = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1)
+        want = [[*coder.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert len(asked) == len(set(asked)) and sum(w.lower() == "thorn" for w in asked) == 1

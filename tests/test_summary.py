@@ -175,3 +175,19 @@ def test_condensed(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d"], ["u"], 2)], "key_events array<string>, slack_links array<string>, segments_merged int")
     row = summary.condense(df).first()
     assert row.asDict() == {"key_events": ["a", "b", "c"]}
+
+
+def test_participants_of_a_thread_are_listed_once_for_all_its_owners(spark, chat):
+    """Six owners of one thread: one set of six, not six lists; an author of context is added, a user the directory has twice counts twice."""
+    owners = [f"U{i}" for i in range(1, 7)]
+    rows = [(DAY + 100, "U1", f"Question {WORK}")] + [(DAY + 100 + i, u, f"Answer {WORK} {WORK}", {"thread": DAY + 100}) for i, u in enumerate(owners)]
+    rows += [(DAY + 800, "U1", f"Something else {WORK} {WORK}"), (DAY + 790, "U7", "before that")]
+    span = spark.createDataFrame([(u, "p", DAY * MIN, 2 * DAY * MIN - 1000, "UTC") for u in owners], "owner_id string, period_no string, start_us long, end_us long, tz string")
+    chans = spark.createDataFrame([("C1", "general", False, False, False, False, None)], "id string, name string, is_im boolean, is_mpim boolean, is_private boolean, is_group boolean, user string")
+    known = spark.createDataFrame([("U1", "Ann"), ("U2", "Bo"), ("U2", "Bob")], "user_id string, shown_name string")
+    run = summary.UserSummaries(chat(rows), span, known, chans, spark.createDataFrame([], "channel string, place int, user_id string"), "https://acme.slack.com")
+    assert run.set_people.count() == 6
+    topics = [(r.owner_id, r.start_us // MIN - DAY, tuple(r.participants), r.narrative_summary) for r in run.topic_summaries.collect()]
+    threads = [t for t in topics if t[1] <= 100]
+    assert len(threads) >= 6 and all(set(t[2]) >= {"@Ann", "@Bo", "@Bob", "@U3", "@U6"} and len(t[2]) == 7 and t[3].endswith("7 participants.") for t in threads)
+    assert [t[2] for t in topics if t[1] > 700] == [("@Ann", "@U7")]

@@ -254,8 +254,16 @@ def training_sample(rows: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE)
         F.col("lang").isNotNull() & (F.length("text") > 0))
     sizes = teach.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
     share = F.least(F.lit(1.0), 2.0 * docs_per_language / F.col("_rows") + 1e-9)
-    few = teach.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, F.col("lang") == F.col("_of")).filter(
-        F.shiftrightunsigned("_h", 11).cast("double") <= share * float(1 << 53))
+
+    def inside(bounds: DataFrame) -> DataFrame:
+        few = bounds.limit(10_001).count() <= 10_000
+        return teach.join(F.broadcast(bounds) if few else bounds, F.col("lang") == F.col("_of")).filter(F.shiftrightunsigned("_h", 11).cast("double") <= F.col("_share") * float(1 << 53))
+
+    # Copies have one hash, in the share or out of it together: a language that is left short by them is ranked whole.
+    bounds = cut_lineage(sizes.withColumn("_share", share))
+    kept = inside(bounds).groupBy("_of").agg(F.count(F.lit(1)).alias("_kept"))
+    short = F.coalesce("_kept", F.lit(0)) < F.least(F.lit(docs_per_language), "_rows")
+    few = inside(cut_lineage(bounds.join(kept, "_of", "left").select("_of", F.when(short, 1.0).otherwise(F.col("_share")).alias("_share"))))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
     return few.withColumn("_n", place).filter(F.col("_n") <= docs_per_language).select("lang", "text", (F.col("_n") % 10 == 0).alias("apart"))
 

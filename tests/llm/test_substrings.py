@@ -92,3 +92,29 @@ def test_family_of_levels_finds_what_one_array_finds(words, batch):
             window = raw[start:start + 100]
             assert hit[int(p["left"]) - k] == (window in seen), (p, k)
             seen.setdefault(window, start)
+
+
+def hot_line(words):
+    """A line of 70 bytes, or 99 of them, in every text, with other words around it; some of the surroundings repeat."""
+    around = lambda seed: " ".join(words(12, seed, 10**6))
+    lines = [" ".join(words(30, 7, 10**6))[:n] for n in (70, 99)]
+    return [(3 * i if i % 17 else None, f"{around(i % 90)} {lines[i % 2]} {around(1000 + i % 70)}") for i in range(160)]
+
+
+@pytest.mark.parametrize("hot", [1, 20, 10**6])
+def test_hot_strings_keep_the_result(docs, words, hot):
+    for rows in (hot_line(words), corpus(words, 4)):
+        assert sorted((tuple(r) for r in substrings.without_repeats(docs(rows), hot=hot, pieces=50).collect()), key=str) == expected(rows)
+
+
+def test_no_range_gathers_a_hot_string(docs, words):
+    """Stretches of one string with many surroundings meet in no single range."""
+    from pyspark.sql import functions as F
+
+    around = lambda seed: " ".join(words(30, seed, 10**6))
+    line = " ".join(words(30, 7, 10**6))[:70]
+    rows = docs([(i, f"{around(i)} {line} {around(1000 + i)}") for i in range(600)]).withColumn("mark", F.xxhash64("text"))
+    _, opened = substrings.repeated_spans(rows, 8, hot=100)
+    groups = substrings.to_compare(rows, opened, pieces=500)
+    sizes = groups.groupBy("range").agg(F.sum(F.length("pieces")).alias("n")).toPandas()["n"] / substrings.PIECE.itemsize
+    assert len(sizes) > 20 and sizes.max() < 1000 and sizes.max() < 2 * sizes.mean()

@@ -8,7 +8,8 @@ A byte goes if a string of ``L`` bytes over it also starts earlier, in a documen
    stretches that meet different ones under the same hash are fetched as bytes.
 3. There, batches in corpus order get suffix arrays of what follows their anchors and of what precedes them, read backwards, with
    longest common prefixes; a batch is merge-scanned with itself and with every level of the index, then becomes a level, and levels
-   of equal size merge. Two windows are equal where both common prefixes reach to their ends.
+   of equal size merge. Two windows are equal where both common prefixes reach to their ends. Ranges hold a bounded number of
+   stretches, so that few batches meet in one; those of a string with very many surroundings are dealt out window by window.
 
 Texts move once, in the join that fetches stretches; the last step reads the same exchange.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.grams import blocks, spread, utf8
@@ -29,13 +31,19 @@ from threadloom.session import cut_lineage
 
 L, G = 100, 16
 WIDTH = L - G + 1
-DOCS_PER_RANGE = 16_384
-BATCH = 32_768
+#: Bytes of text whose anchors meet in one range, and stretches compared in one.
+BYTES_PER_RANGE, PIECES_PER_RANGE = 48_000_000, 32_768
+BATCH = 65_536
+#: A string with more different stretches than this is dealt out by the bytes of each window.
+HOT = 16_384
 #: Anchors a task holds before it gives them out by range, and at least so many for each range.
 FLUSH, FLUSH_PER_RANGE = 250_000, 64
 
 RECORD = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
-PIECE = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
+#: An anchor whose stretch must be compared; ``hot``: window by window.
+OPEN = np.dtype([("gram", "<u8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1"), ("hot", "?")])
+#: ``gram`` deals out; ``known``: windows that are repeated for certain and come without text.
+PIECE = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1"), ("known", "?")])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +130,11 @@ def _sampled(rows: DataFrame, ranges: int) -> DataFrame:
     return rows.select("doc_id", "mark", "text").mapInArrow(run, "range int, records binary, docs binary, marks binary")
 
 
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Anchors of one range: spans that are repeated as a whole, and anchors whose stretches must be compared (``open``)."""
+def _met(pdf: pd.DataFrame, hot: int = HOT) -> pd.DataFrame:
+    """Anchors of one range: spans that are repeated as a whole, and anchors whose stretches must be compared.
+
+    ``asked`` is -1 for spans; for anchors, how many pieces are to be compared, told once a range.
+    """
     found = np.frombuffer(b"".join(pdf["records"]), RECORD)
     docs, marks = (np.frombuffer(b"".join(pdf[c]), "<i8") for c in ("docs", "marks"))
     order = np.argsort(found["gram"], kind="stable")
@@ -135,19 +146,23 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((start, docs, found["whole"], found["gram"]))
     found, docs, marks, start = found[order], docs[order], marks[order], start[order]
     if not len(found):
-        return pd.DataFrame({"doc_id": [], "mark": [], "packed": [], "open": []})
+        return pd.DataFrame({"doc_id": [], "mark": [], "packed": [], "asked": []})
     gram, whole = found["gram"], found["whole"]
     new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])])
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     later = (docs > docs[first]) | (start > start[first])
     spans = np.stack([start, start + found["windows"] + L - 1], axis=1)
     _, group = np.unique(gram, return_inverse=True)
-    several = np.bincount(group, weights=new)[group] > 1
-    ask = ~later & several
-    opened = np.zeros(ask.sum(), [("gram", "<u8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
-    for name in opened.dtype.names:
+    different = np.bincount(group, weights=new)[group]
+    ask = ~later & (different > 1)
+    opened = np.zeros(ask.sum(), OPEN)
+    for name in ("gram", "at", "left", "windows"):
         opened[name] = found[name][ask]
-    return pd.concat([_by_document(docs[later], marks[later], spans[later]).assign(open=False), _by_document(docs[ask], marks[ask], opened).assign(open=True)])
+    opened["hot"] = different[ask] > hot
+    anchors_ = _by_document(docs[ask], marks[ask], opened)
+    asked = np.zeros(len(anchors_), np.int64)
+    asked[:1] = np.where(opened["hot"], opened["windows"], 1).sum()
+    return pd.concat([_by_document(docs[later], marks[later], spans[later]).assign(asked=-1), anchors_.assign(asked=asked)])
 
 
 class Level:
@@ -239,10 +254,14 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Spans of the repeated windows among the open stretches of one range."""
     pieces = np.frombuffer(b"".join(pdf["pieces"]), PIECE)
     text = np.frombuffer(b"".join(pdf["text"]), np.uint8)
-    size = pieces["windows"].astype(np.int64) + L - 1
+    size = np.where(pieces["known"], 0, pieces["windows"].astype(np.int64) + L - 1)
     begin = np.cumsum(size) - size
     order = np.lexsort((pieces["at"], pieces["doc"]))
-    family, docs, marks, spans = SuffixFamily(), [], [], []
+    known = pieces[order[pieces["known"][order]]]
+    order = order[~pieces["known"][order]]
+    start = known["at"].astype(np.int64) - known["left"]
+    family, docs, marks = SuffixFamily(), [known["doc"]], [known["mark"]]
+    spans = [np.stack([start, start + known["windows"] + L - 1], axis=1)]
     for a in range(0, len(order), BATCH):
         some = order[a:a + BATCH]
         batch, left = pieces[some], pieces["left"][some].astype(np.int64)
@@ -265,31 +284,69 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return _by_document(np.concatenate(docs), np.concatenate(marks), np.concatenate(spans).astype(np.int64))
 
 
-def repeated_spans(rows: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, mark, packed)`` twice: spans repeated as whole stretches, and open anchors, from ``(doc_id, mark, text)``."""
-    met = _sampled(rows, ranges).groupBy("range").applyInPandas(_met, "doc_id long, mark long, packed binary, open boolean")
+def repeated_spans(rows: DataFrame, ranges: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, mark, packed)`` twice: spans repeated as whole stretches, and open anchors, with ``asked``, from ``(doc_id, mark, text)``."""
+    met = _sampled(rows, ranges).groupBy("range").applyInPandas(lambda pdf: _met(pdf, hot), "doc_id long, mark long, packed binary, asked long")
     met = cut_lineage(met)
-    return met.filter(~F.col("open")).drop("open"), met.filter("open").drop("open")
+    return met.filter("asked < 0").drop("asked"), met.filter("asked >= 0")
+
+
+def _window_pieces(pieces: np.ndarray, starts: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Pieces of one window each, dealt out by its bytes.
+
+    Of equal windows only the earliest travel with their bytes; the others are repeated for certain.
+    """
+    first: dict[bytes, tuple[int, int]] = {}
+    for doc, start, windows, raw in zip(pieces["doc"].tolist(), starts.tolist(), pieces["windows"].tolist(), raws):
+        for s in range(start, start + windows):
+            window, place = raw[s:s + L], (doc, s)
+            if first.setdefault(window, place) > place:
+                first[window] = place
+    of, from_, windows, known, deal, chunks = [], [], [], [], [], []
+    for i, (doc, start, n, raw) in enumerate(zip(pieces["doc"].tolist(), starts.tolist(), pieces["windows"].tolist(), raws)):
+        for s in range(start, start + n):
+            window = raw[s:s + L]
+            later = first[window] < (doc, s)
+            if later and known and known[-1] and of[-1] == i and from_[-1] + windows[-1] == s:
+                windows[-1] += 1
+                continue
+            of.append(i)
+            from_.append(s)
+            windows.append(1)
+            known.append(later)
+            deal.append(xxhash.xxh3_64_intdigest(window if not later else b"%d %d" % (doc, s)))
+            chunks.append(b"" if later else window)
+    out = pieces[of]
+    out["left"] = out["at"].astype(np.int64) - np.array(from_, np.int64)
+    out["windows"], out["known"], out["gram"] = windows, known, np.array(deal, np.uint64)
+    return out, chunks
 
 
 def _fetched(texts: DataFrame, ranges: int) -> DataFrame:
     """``(range, pieces, text)``: the bytes of open stretches, from rows with ``doc_id, mark, text`` and a list of packed anchors."""
-    asked = np.dtype([("gram", "<u8"), ("at", "<u4"), ("left", "u1"), ("windows", "u1")])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, parts, chunks = [], [], []
+            out, parts, chunks, hot, raws = [], [], [], [], []
             for doc, mark, text, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if not packed:
                     continue
-                raw, want = text.encode("utf-8"), np.frombuffer(b"".join(packed), asked)
+                raw, want = text.encode("utf-8"), np.frombuffer(b"".join(packed), OPEN)
                 piece = np.zeros(len(want), PIECE)
-                for name in asked.names:
+                for name in ("gram", "at", "left", "windows"):
                     piece[name] = want[name]
                 piece["doc"], piece["mark"] = doc, mark
-                start = want["at"].astype(np.int64) - want["left"]
+                if want["hot"].any():
+                    hot.append(piece[want["hot"]])
+                    raws += [raw] * len(hot[-1])
+                    piece = piece[~want["hot"]]
+                start = piece["at"].astype(np.int64) - piece["left"]
                 parts.append(piece)
-                chunks += [raw[a:b] for a, b in zip(start.tolist(), (start + want["windows"] + L - 1).tolist())]
+                chunks += [raw[a:b] for a, b in zip(start.tolist(), (start + piece["windows"] + L - 1).tolist())]
+            if hot:
+                some = np.concatenate(hot)
+                piece, more = _window_pieces(some, some["at"].astype(np.int64) - some["left"], raws)
+                parts.append(piece)
+                chunks += more
             if parts:
                 pieces = np.concatenate(parts)
                 which = (pieces["gram"] % np.uint64(ranges)).astype(np.uint32)
@@ -304,6 +361,17 @@ def _fetched(texts: DataFrame, ranges: int) -> DataFrame:
     return texts.select("doc_id", "mark", "text", "packed").mapInArrow(run, "range int, pieces binary, text binary")
 
 
+def _by_doc(packed: DataFrame) -> DataFrame:
+    """What is packed for a document, one row per range at most, in one list."""
+    return packed.groupBy("doc_id", "mark").agg(F.collect_list("packed").alias("packed"))
+
+
+def to_compare(rows: DataFrame, opened: DataFrame, pieces: int = PIECES_PER_RANGE) -> DataFrame:
+    """``(range, pieces, text)``: open stretches with their bytes, about ``pieces`` of them in a range."""
+    asked = opened.agg(F.sum("asked")).first()[0] or 0
+    return _fetched(rows.join(_by_doc(opened), ["doc_id", "mark"], "left"), max(8, math.ceil(asked / pieces)))
+
+
 def _cut(raw: bytes, packed: list[bytes]) -> tuple[int, int, bytes]:
     """Removed bytes, removed runs and what is left."""
     spans = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
@@ -315,23 +383,20 @@ def _cut(raw: bytes, packed: list[bytes]) -> tuple[int, int, bytes]:
     return len(raw) - len(kept), len(starts), kept
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, pieces: int = PIECES_PER_RANGE) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256)``, one row per row of ``docs``.
 
     ``kept`` holds the remaining bytes, which may cut a character. Strings are judged on the input. A null text counts as empty;
     texts under 100 bytes stay whole. A null ``doc_id`` comes first. Rows that share an id count as places of one document: of equal
     strings at the same place in both, none is earlier, at different places the further one goes. Ids must be integers. An empty
-    table gives no rows; other columns are not used.
+    table gives no rows; other columns are not used. ``hot`` and ``pieces`` change how the work is dealt out, never the result.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", F.xxhash64("text").alias("mark"), "text")
-    ranges = max(8, math.ceil(docs.count() / DOCS_PER_RANGE))
-    whole, opened = repeated_spans(rows, ranges)
-
-    by_doc = lambda df: df.groupBy("doc_id", "mark").agg(F.collect_list("packed").alias("packed"))  # noqa: E731 - one row per range at most
-    asked = rows.join(by_doc(opened), ["doc_id", "mark"], "left")
-    compared = _fetched(asked, ranges).groupBy("range").applyInPandas(_compared, "doc_id long, mark long, packed binary")
-    spans = by_doc(whole.unionByName(compared))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    whole, opened = repeated_spans(rows, max(8, math.ceil(size / BYTES_PER_RANGE)), hot)
+    compared = to_compare(rows, opened, pieces).groupBy("range").applyInPandas(_compared, "doc_id long, mark long, packed binary")
+    spans = _by_doc(whole.unionByName(compared))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

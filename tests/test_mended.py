@@ -109,3 +109,27 @@ def test_stream_sessions_come_out_a_gap_after_their_end(spark, chat, tmp_path):
         plan.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{late}-state").trigger(availableNow=True).start(f"{tmp_path}/{late}").awaitTermination()
         got = spark.read.parquet(f"{tmp_path}/{late}").collect()
         assert sorted((r.start_us // 60_000_000, -(-r.end_us // 60_000_000), r.message_count) for r in got) == want
+
+
+def chat_folder(spark, path, n=400):
+    """Events over a few days, with gaps, threads and messages without an author."""
+    kinds = "array('purchase', 'error', 'signup', 'click', 'view')"
+    spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id DIV 40 AS INT) * 9, CAST(id % 40 AS INT) * 3, 0) AS ts",
+        "id * 7 % 60 AS user_id", f"element_at({kinds}, CAST(id * 11 % 5 + 1 AS INT)) AS event_type", "1.0D AS value", "'' AS props").write.parquet(f"{path}/events.parquet")
+    spark.range(60).selectExpr("id AS c_custkey", "concat('Customer ', id) AS c_name", "'BUILDING' AS c_mktsegment").write.parquet(f"{path}/customer.parquet")
+    return str(path)
+
+
+def test_messages_are_cut_into_conversations_once(spark, tmp_path):
+    from threadloom.catalog.consolidation import Consolidation
+    from threadloom.operators import conversations
+    from threadloom.sources.event_feed import messages
+
+    folder = chat_folder(spark, tmp_path)
+    c = Consolidation(spark, folder)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan(c.conv_msgs) and "parquet" not in plan(c.kept_msgs)
+    assert c.conv_msgs.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = conversations.channel_conversations(messages(spark, folder))
+    assert sorted(map(str, c.conv_msgs.collect())) == sorted(map(str, whole.collect()))

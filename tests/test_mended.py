@@ -133,3 +133,14 @@ def test_messages_are_cut_into_conversations_once(spark, tmp_path):
     assert c.conv_msgs.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = conversations.channel_conversations(messages(spark, folder))
     assert sorted(map(str, c.conv_msgs.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_participants_of_topics_come_from_authors(spark, tmp_path):
+    """The counts of a pass over the messages, without reading them."""
+    from threadloom.catalog.consolidation import Consolidation
+    from threadloom.catalog.summaries import TOPIC, participant_counts, topic_messages
+
+    c = Consolidation(spark, chat_folder(spark, tmp_path))
+    counts = {(r.channel, r.topic_id): r.participant_count for r in participant_counts(c).collect()}
+    passed = {(r.channel, r.topic_id): r.participant_count for r in segments.roll_up(topic_messages(c), TOPIC).collect()}
+    assert len(passed) > 5 and counts == {k: n for k, n in passed.items() if n}

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -94,3 +95,30 @@ def test_words_that_differ_in_case_are_learnt_once():
         want = [[*coder.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
         assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
     assert len(asked) == len(set(asked)) and sum(w.lower() == "thorn" for w in asked) == 1
+
+
+def test_the_word_store_stays_small():
+    """Idle workers keep the store beside all other stages: some 40 bytes a word, and none for long words."""
+    texts = [" ".join(f"w{i:x}q{i * 7919 % 65536:x}" for i in range(a, a + 4_000)) for a in range(0, 40_000, 4_000)] + [" ".join("y" * 500 + str(i) for i in range(2_000))]
+    coder = tokens.WordTokenizer(VOCABULARY)
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for text in texts:
+            ids, sizes = coder.encode(*utf8(pa.array([text], pa.string())), 1)
+            assert ids.tolist() == [*coder.library.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
+            del ids, sizes
+        assert tracemalloc.get_traced_memory()[0] - before < 80 * 40_000
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kept", [0, 3, 40])
+def test_words_of_one_hash_are_told_apart(monkeypatch, kept):
+    monkeypatch.setattr(tokens, "word_hashes", lambda data, start, end: ((end - start) % 2).astype(np.uint64))
+    monkeypatch.setattr(tokens, "WORDS_KEPT", kept)
+    coder = tokens.WordTokenizer(VOCABULARY)
+    texts = [*(t or "" for t in ODD), "ab ba cd Ab x y", "ba ab z", "y x ab dc"]
+    for text in [*texts, *texts[::-1], *texts]:
+        ids, sizes = coder.encode(*utf8(pa.array([text], pa.string())), 70_000)
+        assert ids.tolist() == [*coder.library.encode(text, add_special_tokens=False).ids, 70_000] and sizes.tolist() == [len(ids)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from threadloom.llm.grams import blocks, give_back, utf8
+from threadloom.llm.grams import LONG, blocks, give_back, utf8, word_hashes
 from threadloom.session import cut_lineage
 
 MAGIC = b"WAVE0001"
@@ -30,10 +30,11 @@ SHARD_TOKENS = 8_000_000
 PIECE = 1 << 16  # bytes of a plane compressed together
 STEP = 512  # bits between stored counts
 END_ID = 1
-#: Words remembered with their ids in each Python worker (some 150 bytes each); of a full store the half that was met most often stays.
-WORDS_KEPT = 1_200_000
+#: Words remembered with their ids in each Python worker, some 40 bytes each in arrays; of a full store the half that was met most often
+#: stays. Words of more than LONG bytes are not remembered, so the store's size has a bound whatever the texts are.
+WORDS_KEPT = 600_000
 #: Bytes encoded at once; each time the new words are merged into the store.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.
 PIECES = np.ones(256, bool)
 PIECES[[0x20, 0x0A]] = False
@@ -57,8 +58,10 @@ class WordTokenizer:
         #: Whether the tokenizer makes letters small before all else that sees their case.
         self.folds = _lower_cases(self.library.to_str())
         self.narrow = max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16
-        self.places: dict[str, int] = {}
-        self.flat, self.ends, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        # Words by place: bytes one behind the other, ids one behind the other, in how many blocks they were; and their sorted hashes with places.
+        self.letters, self.letter_ends = np.zeros(0, np.uint8), np.zeros(1, np.uint32)
+        self.flat, self.ends, self.met = np.zeros(0, np.uint16 if self.narrow else np.uint32), np.zeros(1, np.uint32), np.zeros(0, np.int32)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def _thin(self) -> None:
         """Forget words that few blocks had."""
@@ -66,11 +69,28 @@ class WordTokenizer:
         while (self.met >= least).sum() > WORDS_KEPT // 2:
             least *= 2
         stays = self.met >= least
-        size = np.diff(self.ends)
-        self.flat = self.flat[np.repeat(stays, size)]
-        self.ends = np.concatenate([[0], np.cumsum(size[stays])])
-        kept = [w for w, s in zip(self.places, stays.tolist()) if s]  # words stand in order of their places
-        self.places, self.met = dict(zip(kept, range(len(kept)))), np.zeros(len(kept), np.int32) + 1
+        for flat, ends in (("letters", "letter_ends"), ("flat", "ends")):
+            size = np.diff(getattr(self, ends))
+            setattr(self, flat, getattr(self, flat)[np.repeat(stays, size)])
+            setattr(self, ends, np.concatenate([[0], np.cumsum(size[stays])]).astype(np.uint32))
+        there = stays[self.places]
+        self.keys, self.places = self.keys[there], (np.cumsum(stays, dtype=np.int32) - 1)[self.places[there]]
+        self.met = np.ones(int(stays.sum()), np.int32)
+
+    def _find(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places of words, -1 for unknown ones. Words with the hash of a known one are compared byte by byte."""
+        found = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return found
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        place, size = self.places[at], np.diff(offsets)
+        start = self.letter_ends[place].astype(np.int64)
+        some = np.flatnonzero((self.keys[at] == keys) & (self.letter_ends[place + 1] - start == size))
+        place, size = place[some], size[some]
+        differs = data[_spans(offsets[some], size)] != self.letters[_spans(start[some], size)]
+        same = np.add.reduceat(differs, np.cumsum(size) - size, dtype=np.int64) == 0 if len(some) else np.zeros(0, bool)  # no word is empty
+        found[some[same]] = place[same]
+        return found
 
     def _coded(self, words: list[str], alone: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one behind the other, and how many each has.
@@ -89,58 +109,83 @@ class WordTokenizer:
             raise RuntimeError("the tokenizer joins words across a special token")
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [self.mark is None or self.mark[0] in w for w in words]
-        alike = [self.folds and w.isascii() and not o and not w.islower() for w, o in zip(words, odd)]
-        # Words that only differ in case have the ids of the small one, which is learnt if it isn't known.
-        small = [w.lower() for w, a in zip(words, alike) if a]
-        plain = [w for w, o, a in zip(words, odd, alike) if not o and not a]
-        plain += [w for w in dict.fromkeys(small).keys() - set(plain) if w not in self.places]
-        for some, alone in ((plain, False), ([w for w, o in zip(words, odd) if o], True)):
-            if some:
-                self._keep(some, *self._coded(some, alone))
-        big = [(w, s) for w, s in zip((w for w, a in zip(words, alike) if a), small) if w not in self.places]
-        if big:
-            at = np.fromiter((self.places[s] for _, s in big), np.int64, len(big))
-            sizes = self.ends[at + 1] - self.ends[at]
-            upto = np.cumsum(sizes)
-            self._keep([w for w, _ in big], self.flat[np.repeat(self.ends[at] - (upto - sizes), sizes) + np.arange(upto[-1])], sizes)
-
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
-        self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
+    def _asked(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of words from the library: for some of the words at a time, which they are, their ids, and how many each has."""
+        odd = np.array([self.mark is None or self.mark[0] in w for w in words], bool)
+        for alone in (False, True):
+            some = np.flatnonzero(odd == alone)
+            if len(some):
+                yield some, *self._coded([words[i] for i in some.tolist()], alone)
+
+    def _keep(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, flat: np.ndarray, ends: np.ndarray, new: np.ndarray) -> None:
+        """Remember new words, given by their numbers among all of a block. Of words with one hash one is kept."""
+        new = new[np.diff(offsets)[new] <= LONG]
+        if len(self.met) + len(new) > WORDS_KEPT:
+            self._thin()
+        new = new[np.sort(np.unique(keys[new], return_index=True)[1])]
+        if len(self.keys):
+            new = new[self.keys[np.minimum(np.searchsorted(self.keys, keys[new]), len(self.keys) - 1)] != keys[new]]
+        new = new[:max(0, WORDS_KEPT - len(self.met))]
+        if not len(new):
+            return
+        size, count = np.diff(offsets)[new], np.diff(ends)[new]
+        order = np.argsort(keys[new])
+        at = np.searchsorted(self.keys, keys[new][order])
+        self.keys, self.places = np.insert(self.keys, at, keys[new][order]), np.insert(self.places, at, (len(self.met) + order).astype(np.int32))
+        self.letters, self.letter_ends = np.concatenate([self.letters, data[_spans(offsets[new], size)]]), np.concatenate([self.letter_ends, (int(self.letter_ends[-1]) + np.cumsum(size)).astype(np.uint32)])
+        self.flat, self.ends = np.concatenate([self.flat, flat[_spans(ends[new], count)]]), np.concatenate([self.ends, (int(self.ends[-1]) + np.cumsum(count)).astype(np.uint32)])
+        self.met = np.concatenate([self.met, np.ones(len(new), np.int32)])
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words one behind the other, and where those of each begin and the last end."""
+        data, offsets = utf8(words)
+        keys = word_hashes(data, offsets[:-1], offsets[1:])
+        place = self._find(keys, data, offsets)
+        new, known = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        place = place[known]
+        self.met[place] += 1
+        parts = [(new[some], ids, count) for some, ids, count in self._asked(words.take(pa.array(new)).to_pylist())]
+        size = np.zeros(len(keys), np.int64)
+        start = self.ends[place].astype(np.int64)
+        size[known] = self.ends[place + 1] - start
+        for some, _, count in parts:
+            size[some] = count
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(ends[-1], self.flat.dtype)
+        flat[_spans(ends[known], size[known])] = self.flat[_spans(start, size[known])]
+        for some, ids, count in parts:
+            flat[_spans(ends[some], count)] = ids
+        self._keep(keys, data, offsets, flat, ends, new)
+        return flat, ends
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block of texts, each with ``end_id`` behind, and their number for each text."""
-        words, first = pieces(data, offsets)
+        # Words that only differ in case have the ids of the small one.
+        words, first = pieces(data, offsets, self.mark.encode()[0] if self.folds and self.mark else None)
         coded = words.dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [w for w in distinct if w not in self.places]
-        if new and len(self.places) + len(new) > WORDS_KEPT:
-            self._thin()
-            new = [w for w in distinct if w not in self.places]
-        if new:
-            self._learn(new)
-        place_of = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
-        self.met[place_of] += 1
-        flat, ends = self.flat, self.ends
+        which = coded.indices.to_numpy()
+        flat, ends = self._ids(coded.dictionary)
         # A document's end is one more word, after its last.
         docs = len(offsets) - 1
-        place = np.empty(len(which) + docs, np.int64)
         last = first[1:] + np.arange(docs)
-        plain = np.ones(len(place), bool)
+        plain = np.ones(len(which) + docs, bool)
         plain[last] = False
-        place[plain] = place_of[which]
-        start = np.zeros(len(place), np.int64)
-        size = np.ones(len(place), np.int64)
-        start[plain] = ends[place[plain]]
-        size[plain] = ends[place[plain] + 1] - start[plain]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = (flat if len(flat) else np.zeros(1, np.uint32))[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
-        ids[upto[last]] = end_id
-        return ids, np.diff(upto[last + 1], prepend=0)
+        start, size = np.zeros(len(plain), np.int64), np.ones(len(plain), np.int64)
+        start[plain] = ends[which]
+        size[plain] = ends[which + 1] - ends[which]
+        upto = np.cumsum(size)
+        flat = flat if len(flat) else np.zeros(1, flat.dtype)
+        ids = (flat if end_id <= np.iinfo(flat.dtype).max else flat.astype(np.uint32))[_spans(start, size)]
+        ids[upto[last] - 1] = end_id
+        return ids, np.diff(upto[last], prepend=0)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans, one behind the other."""
+    upto = np.cumsum(sizes)
+    places = np.repeat(starts - (upto - sizes), sizes)
+    places += np.arange(len(places))
+    return places
 
 
 def _lower_cases(tokenizer: str) -> bool:
@@ -155,8 +200,11 @@ def _lower_cases(tokenizer: str) -> bool:
     return before is not None and set(before) <= {"NFC", "NFD", "NFKC", "NFKD", "blank"}
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """What stands between blanks and ends of lines, and the first such piece of each text, one more for the end."""
+def pieces(data: np.ndarray, offsets: np.ndarray, mark: int | None = None) -> tuple[pa.Array, np.ndarray]:
+    """What stands between blanks and ends of lines, and the first such piece of each text, one more for the end.
+
+    If a byte ``mark`` is given, A-Z become small in pieces of ASCII without it.
+    """
     n = len(data)
     inside, edge = PIECES[data], np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -164,8 +212,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     before[1:], after[:-1] = inside[:-1], inside[1:]
     start = np.flatnonzero(inside & (edge[:-1] | ~before))
     end = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
-    places = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(data[inside])), np.searchsorted(start, offsets)
+    places, letters = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64), data[inside]
+    if mark is not None:
+        big = (letters >= 65) & (letters <= 90)
+        apart = np.flatnonzero((letters >= 128) | (letters == mark))
+        whole = np.zeros(len(start), bool)
+        whole[np.searchsorted(places, apart, "right") - 1] = True
+        big &= ~np.repeat(whole, end - start)
+        letters[big] += 32
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(letters)), np.searchsorted(start, offsets)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -192,7 +247,8 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: np.ndarray, part: int, number: i
         return [place - len(raw), len(raw)]
 
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    rest = ids.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
+    rest, tokens = ids.astype(np.uint16 if levels <= 16 else np.uint32, copy=False), len(ids)
+    del ids
     planes, zeros = [], []
     for level in range(levels - 1, -1, -1):
         bits = (rest & rest.dtype.type(1 << level)) != 0
@@ -203,10 +259,13 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: np.ndarray, part: int, number: i
         before = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
         data = padded.tobytes()
         planes.append({"counts": put(squeeze(before.tobytes())), "pieces": [put(squeeze(data[i:i + PIECE])) for i in range(0, len(data), PIECE)]})
-        zeros.append(int(len(rest) - before[-1]))
-        rest = np.concatenate([rest[~bits], rest[bits]])
+        zeros.append(int(tokens - before[-1]))
+        split = np.empty_like(rest)
+        split[zeros[-1]:] = rest[bits]
+        split[:zeros[-1]] = rest[np.logical_not(bits, out=bits)]
+        rest = split
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    header = {"tokens": len(ids), "docs": len(doc_ids), "part": part, "number": number, "zeros": zeros, "planes": planes,
+    header = {"tokens": tokens, "docs": len(doc_ids), "part": part, "number": number, "zeros": zeros, "planes": planes,
               "doc_ids": put(squeeze(docs)), "null_ids": [i for i, d in enumerate(doc_ids) if d is None], "sizes": put(squeeze(sizes.astype("<i8").tobytes()))}
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *sections])
@@ -321,20 +380,26 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         coder, part, number = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         ids, sizes, names, held = [], [], [], 0
 
+        def joined() -> np.ndarray:
+            every = np.concatenate(ids)
+            ids.clear()
+            return every
+
         def shard() -> pa.RecordBatch:
-            nonlocal ids, sizes, names, held, number
-            every, ids = np.concatenate(ids), []
-            raw = pack(every, names, np.concatenate(sizes), part, number)
-            ids, sizes, names, held, number = [], [], [], 0, number + 1
+            nonlocal sizes, names, held, number
+            raw = pack(joined(), names, np.concatenate(sizes), part, number)
+            sizes, names, held, number = [], [], 0, number + 1
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.large_binary())], names=["shard"])
 
         for batch in batches:
             for a, b, data, offsets in blocks(*utf8(batch.column(1)), BLOCK):
                 found, counts = coder.encode(data, offsets, end_id)
-                ids.append(found.astype(np.uint16) if coder.narrow and end_id < 1 << 16 else found)
+                ids.append(found)
                 sizes.append(counts)
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 held += len(found)
+                give_back()  # the store's arrays are written anew with each block; what they leave would add up to several times the store
                 if held >= shard_tokens:
                     yield shard()
         if names:
@@ -379,6 +444,7 @@ def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType)
                 yield pa.RecordBatch.from_arrays([pa.array([shard.head["part"]] * n, pa.int32()), pa.array([shard.head["number"]] * n, pa.int32()),
                                                   pa.array(range(n), pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - sizes, pa.int64()),
                                                   pa.array(sizes, pa.int64()), pa.array(values, kind)], names=names)
+        give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, f"part int, number int, place int, doc_id long, begin long, n_tokens long, {column}")

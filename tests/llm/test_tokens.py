@@ -122,3 +122,87 @@ def test_words_of_one_hash_are_told_apart(monkeypatch, kept):
     for text in [*texts, *texts[::-1], *texts]:
         ids, sizes = coder.encode(*utf8(pa.array([text], pa.string())), 70_000)
         assert ids.tolist() == [*coder.library.encode(text, add_special_tokens=False).ids, 70_000] and sizes.tolist() == [len(ids)]
+
+
+def whole(library, text):
+    return [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+class Listening:
+    """The library, and what it was asked at once."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, []
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.library.encode_batch_fast(texts, **more)
+
+
+def test_words_are_cut_at_marks_and_letters_go_without_special_tokens():
+    coder = tokens.WordTokenizer(VOCABULARY)
+    coder.library = Listening(coder.library)
+    text = "thorn, thorn. (thorn) Thorn; thorn:thorn été, été Über über. слово! слово"
+    ids, _ = coder.encode(*utf8(pa.array([text])), 1)
+    assert ids.tolist() == whole(coder.library, text)
+    letters = [t for t in coder.library.texts if any(c.isalpha() for c in t.replace(coder.mark, ""))]
+    assert [sorted(t.split()) for t in letters] == [sorted(["thorn", "été", "Über", "über", "слово"])]
+
+
+def test_cut_words_have_the_ids_of_whole_texts():
+    """Beside marks: contractions, combining characters before and after, letters that become two when small, digits, special tokens, blanks of other kinds."""
+    import random
+
+    parts = ["a", "Z", "s", "t", "re", "'", "''", ",", ".", "\"", "=", "<", "|", ">", "-", "_", "1", "23", "é", "×", "÷", "İ", "ŉ", "́", "̸", "̇", "Σ", "ς", "ж", "҂",
+             "ſ", "µ", "ª", "٠", "क़", "क़", "Å", "가", "가", "中", "，", " ", " ", "\x1c", "\x85", "\t", " ", "\n", "<|endoftext|>", "<|STARTOFTEXT|>", "\U0001f469‍"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(4_000)] + [x + m + y for m in ",'.=" for x in parts for y in parts]
+    for coder in (tokens.WordTokenizer(VOCABULARY) for _ in range(2)):
+        for a in range(0, len(texts), 700):
+            ids, sizes = coder.encode(*utf8(pa.array(texts[a:a + 700])), 1)
+            want = [whole(coder.library, t) for t in texts[a:a + 700]]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        rng.shuffle(texts)
+
+
+def test_a_letter_that_becomes_several_characters_is_told_apart():
+    """Small İ is a letter and a mark, U+0958 a letter and a sign: two splits each, though all are letters."""
+    coder = tokens.WordTokenizer(VOCABULARY)
+    words = ["x", "İz", "y", "aİb", "क़", "zz"]
+    ids, sizes = coder._coded(words, False)
+    want = [whole(coder.library, w)[:-1] for w in words]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_other_tokenizers_are_not_cut():
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    library = Tokenizer.from_file(VOCABULARY)
+    assert tokens._marks(library)[0x2C] and not tokens._marks(library)[[0x27, 0x3C, 0x7C, 0x3E, 0x61, 0x20]].any()
+    usual = library.normalizer
+    library.normalizer = normalizers.Sequence([normalizers.NFKD(), normalizers.Lowercase()])
+    assert tokens._marks(library) is None
+    library.normalizer = usual
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    assert tokens._marks(library) is None
+
+
+def test_a_tokenizer_is_opened_in_little_memory():
+    """Every worker opens one while the JVM's heap is full; the whole of the vocabulary's JSON in Python objects took some 20 MB."""
+    tokens.WordTokenizer(VOCABULARY)
+    tracemalloc.start()
+    try:
+        tokens.WordTokenizer(VOCABULARY)
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_bits_are_dealt_in_runs(monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 700)
+    ids = np.random.default_rng(3).integers(0, 49_408, 10_001).astype(np.uint32)
+    ids[:1500], ids[5000:6000] = 0, 65_535
+    assert (tokens.Shard(tokens.pack(ids, [4], np.array([len(ids)]), 0, 0)).all() == ids).all()

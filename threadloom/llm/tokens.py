@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,26 @@ MAGIC = b"WAVE0001"
 SHARD_TOKENS = 8_000_000
 PIECE = 1 << 16  # bytes of a plane compressed together
 STEP = 512  # bits between stored counts
+RUN = 1 << 18  # ids dealt by a bit at once
 END_ID = 1
 #: Words remembered with their ids in each Python worker, some 40 bytes each in arrays; of a full store the half that was met most often
 #: stays. Words of more than LONG bytes are not remembered, so the store's size has a bound whatever the texts are.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 #: Bytes encoded at once; each time the new words are merged into the store.
 BLOCK = 1 << 20
+#: Words given to the library as one text.
+TOGETHER = 256
 #: Texts are cut at blanks and line ends only: what else counts as white space is left to the library.
 PIECES = np.ones(256, bool)
 PIECES[[0x20, 0x0A]] = False
+#: How the given tokenizer splits what is left after normal forms. No alternative goes on from a letter to a mark, or from a mark other than
+#: an apostrophe to a letter, and a digit stands alone: texts may be cut there, and letters alone are one split.
+SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: ASCII letters and digits, and letters of two bytes (as lead * 256 + next) that every normal form here and lower-casing leave one letter.
+FIRM, FIRM_PAIRS = np.zeros(256, bool), np.zeros(1 << 16, bool)
+FIRM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+FIRM_PAIRS[[int.from_bytes(c.encode()) for c in map(chr, [*range(0xC0, 0x180), *range(0x388, 0x3CF), *range(0x400, 0x460)])
+            if c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c]] = True
 
 
 class WordTokenizer:
@@ -56,8 +68,14 @@ class WordTokenizer:
         if self.mark and any(s[0] != self.mark[0] for s in special):
             self.mark = None  # special tokens of several kinds: every word goes alone
         #: Whether the tokenizer makes letters small before all else that sees their case.
-        self.folds = _lower_cases(self.library.to_str())
-        self.narrow = max(self.library.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16
+        self.folds = _lower_cases(self.library)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: Marks at which words are cut, none if it is not known how the tokenizer splits; and which ids end a split.
+        self.cuts = _marks(self.library)
+        self.last = _last_ids(self.library, vocabulary) if self.cuts is not None else None
+        self.narrow = max(vocabulary.values(), default=0) < 1 << 16
+        del vocabulary
+        give_back()
         # Words by place: bytes one behind the other, ids one behind the other, in how many blocks they were; and their sorted hashes with places.
         self.letters, self.letter_ends = np.zeros(0, np.uint8), np.zeros(1, np.uint32)
         self.flat, self.ends, self.met = np.zeros(0, np.uint16 if self.narrow else np.uint32), np.zeros(1, np.uint32), np.zeros(0, np.int32)
@@ -102,8 +120,18 @@ class WordTokenizer:
             ids = [self.library.encode(w, add_special_tokens=False).ids for w in words]
             return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64)
         # One text after the other: what the library holds of a text is many times its ids.
-        ids = np.concatenate([np.array(self.library.encode_batch_fast([f" {self.mark} ".join([*words[i:i + 512], ""])], add_special_tokens=False)[0].ids, np.uint32)
-                              for i in range(0, len(words), 512)])
+        ids, sizes = zip(*(self._together(words[i:i + TOGETHER]) for i in range(0, len(words), TOGETHER)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given to the library as one text. Words of letters only have one split each, and need no special token between them:
+        the ids that end a split tell them apart. If there are more of those than words, a letter has become several characters."""
+        if self.last is not None and "".join(words).isalpha():
+            ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            upto = np.flatnonzero(self.last[ids]) + 1
+            if len(upto) == len(words):
+                return ids, np.diff(upto, prepend=0)
+        ids = np.array(self.library.encode_batch_fast([f" {self.mark} ".join([*words, ""])], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(ids == self.mark_id)
         if len(marks) != len(words):
             raise RuntimeError("the tokenizer joins words across a special token")
@@ -111,11 +139,11 @@ class WordTokenizer:
 
     def _asked(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids of words from the library: for some of the words at a time, which they are, their ids, and how many each has."""
-        odd = np.array([self.mark is None or self.mark[0] in w for w in words], bool)
-        for alone in (False, True):
-            some = np.flatnonzero(odd == alone)
+        kind = np.array([2 if self.mark is None or self.mark[0] in w else not w.isalpha() for w in words], np.int8)
+        for k in range(3):
+            some = np.flatnonzero(kind == k)
             if len(some):
-                yield some, *self._coded([words[i] for i in some.tolist()], alone)
+                yield some, *self._coded([words[i] for i in some.tolist()], k == 2)
 
     def _keep(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, flat: np.ndarray, ends: np.ndarray, new: np.ndarray) -> None:
         """Remember new words, given by their numbers among all of a block. Of words with one hash one is kept."""
@@ -161,7 +189,7 @@ class WordTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block of texts, each with ``end_id`` behind, and their number for each text."""
         # Words that only differ in case have the ids of the small one.
-        words, first = pieces(data, offsets, self.mark.encode()[0] if self.folds and self.mark else None)
+        words, first = pieces(data, offsets, self.mark.encode()[0] if self.folds and self.mark else None, self.cuts)
         coded = words.dictionary_encode()
         which = coded.indices.to_numpy()
         flat, ends = self._ids(coded.dictionary)
@@ -188,26 +216,72 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return places
 
 
-def _lower_cases(tokenizer: str) -> bool:
-    """Whether a tokenizer, given as JSON, lower-cases all texts, after nothing but normal forms and white space, and has no added token that is
+def _steps(part, many: str) -> list[dict]:
+    """The steps of a tokenizer's normalizer or pre-tokenizer; its state is small, while the JSON of the whole holds the vocabulary."""
+    state = json.loads(part.__getstate__()) if part else {}
+    return state[many] if state.get("type") == "Sequence" else [state]
+
+
+def _lower_cases(library) -> bool:
+    """Whether a tokenizer lower-cases all texts, after nothing but normal forms and white space, and has no added token that is
     matched in normalised texts, where small letters may be one and capitals none."""
-    parts = json.loads(tokenizer)
-    steps = parts["normalizer"] or {}
-    steps = steps["normalizers"] if steps.get("type") == "Sequence" else [steps]
     blank = lambda step: step.get("type") == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
-    kinds = ["blank" if blank(step) else step.get("type") for step in steps]
+    kinds = ["blank" if blank(step) else step.get("type") for step in _steps(library.normalizer, "normalizers")]
     before = kinds[:kinds.index("Lowercase")] if "Lowercase" in kinds else None
     return before is not None and set(before) <= {"NFC", "NFD", "NFKC", "NFKD", "blank"}
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, mark: int | None = None) -> tuple[pa.Array, np.ndarray]:
+def _marks(library) -> np.ndarray | None:
+    """The bytes of ASCII marks beside which a tokenizer always splits if a letter or digit is on the other side: all but the apostrophe
+    and what special tokens are made of. None unless it lower-cases after no more than NFC, splits by ``SPLITS`` and goes on by bytes."""
+    kinds = [step.get("type") for step in _steps(library.normalizer, "normalizers")]
+    splits, added = _steps(library.pre_tokenizer, "pretokenizers"), library.get_added_tokens_decoder().values()
+    known = [{"type": "Split", "pattern": {"Regex": SPLITS}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    if splits != known or not _lower_cases(library) or kinds[-1] != "Lowercase" or not set(kinds) <= {"NFC", "Replace", "Lowercase"}:
+        return None
+    if any(t.normalized or t.single_word for t in added):
+        return None
+    cuts = np.zeros(256, bool)
+    cuts[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+    cuts[[0x27, *(b for t in added for b in t.content.encode())]] = False
+    return cuts
+
+
+def _last_ids(library, vocabulary: dict[str, int]) -> np.ndarray | None:
+    """For every id, whether it ends a split; None unless every split ends with one such id and has no other."""
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    model = library.model
+    suffix = getattr(model, "end_of_word_suffix", None)
+    if not isinstance(model, BPE) or not suffix or model.dropout or model.ignore_merges or any(c + suffix not in vocabulary for c in ByteLevel.alphabet()):
+        return None
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+    return last
+
+
+def _beside(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where bytes marked in ``cuts`` meet a letter or digit: the later byte of the two."""
+    at, n = np.flatnonzero(cuts[data]), len(data)
+    before, after = at[at > 0], at[at < n - 1] + 1
+    ahead, behind = data[np.maximum(before - 2, 0)].astype(np.int64), data[np.minimum(after + 1, n - 1)]
+    firm = FIRM[data[before - 1]] | FIRM_PAIRS[ahead << 8 | data[before - 1]]
+    return np.concatenate([before[firm], after[FIRM[data[after]] | FIRM_PAIRS[data[after].astype(np.int64) << 8 | behind]]])
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, mark: int | None = None, cuts: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
     """What stands between blanks and ends of lines, and the first such piece of each text, one more for the end.
 
-    If a byte ``mark`` is given, A-Z become small in pieces of ASCII without it.
+    If a byte ``mark`` is given, A-Z become small in pieces of ASCII without it; with ``cuts``, pieces also end where such a byte meets a
+    letter or digit.
     """
     n = len(data)
     inside, edge = PIECES[data], np.zeros(n + 1, bool)
     edge[offsets] = True
+    if cuts is not None and n:
+        edge[_beside(data, cuts)] = True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     start = np.flatnonzero(inside & (edge[:-1] | ~before))
@@ -232,6 +306,28 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _dealt(values: np.ndarray, bits: np.ndarray, zeros: int) -> np.ndarray:
+    """The values without the bit, then those with it, each in their order. By places, a run at a time: twice as fast as by masks."""
+    out, low, high = np.empty_like(values), 0, zeros
+    for i in range(0, len(values), RUN):
+        run, bit = values[i:i + RUN], bits[i:i + RUN]
+        ones, others = np.flatnonzero(bit), np.flatnonzero(~bit)
+        out[high:high + len(ones)], out[low:low + len(others)] = run[ones], run[others]
+        low, high = low + len(others), high + len(ones)
+    return out
+
+
+def _undealt(values: np.ndarray, bits: np.ndarray, zeros: int) -> np.ndarray:
+    """:func:`_dealt` undone."""
+    out, low, high = np.empty_like(values), 0, zeros
+    for i in range(0, len(values), RUN):
+        run, bit = out[i:i + RUN], bits[i:i + RUN]
+        ones, others = np.flatnonzero(bit), np.flatnonzero(~bit)
+        run[ones], run[others] = values[high:high + len(ones)], values[low:low + len(others)]
+        low, high = low + len(others), high + len(ones)
+    return out
+
+
 def pack(ids: np.ndarray, doc_ids: list, sizes: np.ndarray, part: int, number: int) -> bytes:
     """The bytes of a shard."""
     import zstandard
@@ -260,10 +356,7 @@ def pack(ids: np.ndarray, doc_ids: list, sizes: np.ndarray, part: int, number: i
         data = padded.tobytes()
         planes.append({"counts": put(squeeze(before.tobytes())), "pieces": [put(squeeze(data[i:i + PIECE])) for i in range(0, len(data), PIECE)]})
         zeros.append(int(tokens - before[-1]))
-        split = np.empty_like(rest)
-        split[zeros[-1]:] = rest[bits]
-        split[:zeros[-1]] = rest[np.logical_not(bits, out=bits)]
-        rest = split
+        rest = _dealt(rest, bits, zeros[-1])
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
     header = {"tokens": tokens, "docs": len(doc_ids), "part": part, "number": number, "zeros": zeros, "planes": planes,
               "doc_ids": put(squeeze(docs)), "null_ids": [i for i, d in enumerate(doc_ids) if d is None], "sizes": put(squeeze(sizes.astype("<i8").tobytes()))}
@@ -362,10 +455,9 @@ class Shard:
         for level in range(len(self.zeros) - 1, -1, -1):
             packed = np.concatenate([np.frombuffer(self._section(p), np.uint8) for p in self.head["planes"][level]["pieces"]] or [np.zeros(0, np.uint8)])
             bits = np.unpackbits(packed, count=self.tokens, bitorder="little").view(bool)
-            above, zeros = np.empty_like(rest), self.zeros[level]
-            above[~bits] = rest[:zeros]
-            above[bits] = rest[zeros:] | rest.dtype.type(1 << (len(self.zeros) - 1 - level))
-            rest = above
+            zeros = self.zeros[level]
+            rest[zeros:] |= rest.dtype.type(1 << (len(self.zeros) - 1 - level))
+            rest = _undealt(rest, bits, zeros)
         return rest.astype(np.uint32)
 
 

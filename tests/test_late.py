@@ -77,3 +77,18 @@ def test_documents_are_gathered_without_their_lists(crowd):
     assert any("@Cy\nde" in t[3] and "@Bob" in t[3] for t in shown)
     assert {r.metadata.request.user_id: c.channel_name for r in rows for c in r.channels if c.channel_id == "G1"} == {
         c.owner_id: c.channel_name for c in run.channel_summaries.collect() if c.channel == "G1"}
+
+
+def test_report_lines_put_in_late_are_those_of_the_report(crowd):
+    run, made = crowd(), F.lit(DAY * MIN)
+    early = report.report_lines(run.topic_summaries, run.channel_summaries, run.totals, run.periods, made)
+    lines = report.report_lines(run.topic_facts, run.channel_facts, run.totals, run.periods, made, run)
+    of = lambda rows: sorted((r.owner_id, r.line_no, r.line) for r in rows.collect())
+    got = of(lines)
+    assert got == of(early)
+    told = {r.owner_id: r.report.split("\n") for r in report.reports(run.topic_summaries, run.channel_summaries, run.totals, run.periods, made).collect()}
+    for owner in ("U1", "U3", "U9"):  # U2 has its topics twice, and lines of equal pieces take turns
+        assert [line for o, _, line in got if o == owner] == told[owner]
+    assert sum("de, @U4" in line for _, _, line in got) > 6 and sum(line.startswith("### Group: ") for _, _, line in got) >= 6
+    above = lines._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+    assert not re.search(r"Window|Aggregate|Sort", above)

@@ -92,3 +92,19 @@ def test_report_lines_put_in_late_are_those_of_the_report(crowd):
     assert sum("de, @U4" in line for _, _, line in got) > 6 and sum(line.startswith("### Group: ") for _, _, line in got) >= 6
     above = lines._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
     assert not re.search(r"Window|Aggregate|Sort", above)
+
+
+def test_prompts_get_names_late_and_stay_with_the_model(crowd):
+    def model(asked):
+        return ['{"narrative": "' + p.split("\n", 1)[0].replace('"', "'") + '"}' for p in asked]
+
+    run = crowd(model)
+    told = run.topic_summaries.collect()
+    named = {(c.owner_id, c.channel): c.channel_name for c in run.channel_summaries.collect()}
+    assert {n.startswith("Group: ") for (_, c), n in named.items() if c == "G1"} == {True}
+    for t in told:
+        assert t.narrative_summary.removesuffix(" (includes thread replies)") == "Channel: #" + named[t.owner_id, t.channel].split("\n")[0]
+    plain = {(t.owner_id, t.channel, t.start_us): tuple(t.participants) for t in crowd().topic_summaries.collect()}
+    for t in told:
+        mine = {"U1": ["@Ann Lee"], "U2": ["@Bo", "@Bob"], "U3": ["@Cy\nde"]}.get(t.owner_id, [f"@{t.owner_id}"])
+        assert tuple(t.participants) == tuple(p for p in plain[t.owner_id, t.channel, t.start_us] if p not in mine), "told from the user's side"

@@ -108,3 +108,18 @@ def test_prompts_get_names_late_and_stay_with_the_model(crowd):
     for t in told:
         mine = {"U1": ["@Ann Lee"], "U2": ["@Bo", "@Bob"], "U3": ["@Cy\nde"]}.get(t.owner_id, [f"@{t.owner_id}"])
         assert tuple(t.participants) == tuple(p for p in plain[t.owner_id, t.channel, t.start_us] if p not in mine), "told from the user's side"
+
+
+def test_participants_are_compared_by_sets(crowd):
+    run = crowd()
+    own = run._own_authors.join(run.placed, ["owner_id", "period_no", "channel", "conv_id"]).select("owner_id", "channel", "cluster_id", "user_id")
+    thread = run.threads.join(run.placed, ["owner_id", "period_no", "channel", "conv_id"]).select("owner_id", "period_no", "channel", "thread_us", "cluster_id").join(
+        run._thread_people, ["period_no", "channel", "thread_us"]).select("owner_id", "channel", "cluster_id", "user_id")
+    people = {}
+    for r in own.unionByName(thread).collect():
+        people.setdefault(r.cluster_id, set()).add(r.user_id)
+    convs = run.conv.select("owner_id", "period_no", "channel", "conv_id")
+    pairs = convs.withColumnRenamed("conv_id", "left_id").join(convs.withColumnRenamed("conv_id", "right_id"), ["owner_id", "period_no", "channel"]).filter("left_id < right_id")
+    got = {(r.left_id, r.right_id): (r._ln, r._rn, r._common or 0) for r in run.common_people(pairs).collect()}
+    assert len(got) > 6 and any(c for _, _, c in got.values())
+    assert got == {(a, b): (len(people[a]), len(people[b]), len(people[a] & people[b])) for a, b in got}
